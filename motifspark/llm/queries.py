@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import chat, exact_dedup, mixing, simhash
 from .common import table
 
 
@@ -16,7 +17,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op8_simhash)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.taken(mix).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.examples(turns.unionByName(own)))
+
+
+QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_chat, op8_simhash, op9_mixing)}
 
 ORACLES = {
     "op5_exact_dedup": """
@@ -30,4 +43,26 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM d""",
+    "op6_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), e AS (
+            SELECT *, replace(replace(replace(replace(replace(replace(text, '\', '\b'), '<|', '\l|'), '<s>', '\ls>'), '</s>', '\l/s>'), '[INST]', '\sINST]'), '[/INST]', '\s/INST]') AS et,
+                   replace(replace(replace(replace(replace(replace(replace(replace(role, '\', '\b'), '<|', '\l|'), '<s>', '\ls>'), '</s>', '\l/s>'), '[INST]', '\sINST]'), '[/INST]', '\s/INST]'), '|', '\p'), chr(10), '\n') AS er
+            FROM t
+        ), p AS (
+            SELECT *, '<|' || er || '|>' || chr(10) || et || '<|end|>' || chr(10) AS piece FROM e
+        ), o AS (
+            SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS of_n,
+                   sum(length(piece)) OVER (w ROWS UNBOUNDED PRECEDING) AS so_far
+            FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, piece)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(so_far) FILTER (role = 'assistant' OR n = of_n) AS BIGINT) AS formatted_chars
+        FROM o GROUP BY conv_id""",
 }
