@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, simhash
+from . import chat, exact_dedup, language, mixing, packing, simhash
 from .common import table
 
 
+def word_tokenizer() -> str:
+    """The public word-level tokenizer file that the packing contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, ~language.held_out())
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", language.held_out().alias("held_out"), "found.*")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -29,7 +47,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(own)))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_chat, op8_simhash, op9_mixing)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_packing, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing)}
 
 ORACLES = {
     "op5_exact_dedup": """
