@@ -6,10 +6,14 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, mixing, packing, simhash
+from . import chat, exact_dedup, language, mixing, packing, simhash, vector_dedup
 from .common import table
 
 
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def word_tokenizer() -> str:
     """The public word-level tokenizer file that the packing contract names."""
     import public_tokenizers
@@ -47,7 +51,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(own)))
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_packing, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_vector_dedup, op2_packing, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing)}
 
 ORACLES = {
     "op5_exact_dedup": """
