@@ -51,6 +51,22 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return p
 
 
+def bitmap(df: DataFrame, column: str, bits: int) -> bytes:
+    """A bitmap of fixed size with bit x mod bits set for every x of a long column; at most bits / 8 bytes reach the driver."""
+    at = F.pmod(F.col(column), F.lit(bits)) + 1  # Spark puts 1 to 32768 into bucket 1, and so on
+    rows = df.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("map"))
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for k, part in rows.collect():
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
+    return out.tobytes()
+
+
+def in_bitmap(marked: bytes, values: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bits of integer values are set."""
+    at = (values & values.dtype.type(bits - 1)).astype(np.int64)  # bits is a power of two
+    return (np.frombuffer(marked, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long nodes: (node, root), root the smallest node reachable.
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, mixing, packing, simhash, vector_dedup
+from . import chat, exact_dedup, language, mixing, packing, simhash, suffix_dedup, vector_dedup
 from .common import table
 
 
@@ -51,7 +51,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(own)))
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_vector_dedup, op2_packing, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_vector_dedup, op2_packing, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing, op10_suffix_dedup)}
 
 ORACLES = {
     "op5_exact_dedup": """
