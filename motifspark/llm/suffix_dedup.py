@@ -24,9 +24,10 @@ from .common import bitmap, in_bitmap, power_of_two, stored
 WINDOW = 100  # bytes of a string that counts as repeated
 GRAM = 40  # bytes whose hash is a candidate for a window's key
 SPAN = 1 << 18  # windows looked at together
-LONGEST = 256  # windows of a region
+LONGEST = 64  # windows of a region; only periodic texts have longer runs of a key
 SPLIT = 4096  # regions of a key that one shard takes
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 19  # of one suffix array: small enough for a processor's cache
+TASK_BYTES = 4 << 20
 MOST_BITS = 1 << 29  # of a broadcast bitmap: 64 MB
 REMEMBER = 100_000  # regions that a task compares new ones with
 NO_ID = -(2**63)  # stands for a null id, before all others
@@ -152,51 +153,69 @@ RESULT = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("first", pa.int64
 RESULT_SQL = "id bigint, mark bigint, first bigint, last bigint, h1 bigint, h2 bigint, salt int"
 
 
-def _shard(table: pa.Table) -> pa.Table:
-    """Repeated windows of a shard as runs (id, mark, first, last); of cut keys also each window kept, with its hash.
+def _shards(table: pa.Table) -> pa.Table:
+    """What _shard finds in the regions of a task, cut between keys into shards of about SHARD_BYTES.
 
     Rows without bytes are runs already known to repeat and pass through.
     """
-    known = table.filter(pa.compute.is_null(table["bytes"]))
-    table = table.filter(pa.compute.is_valid(table["bytes"]))
-    col = {x: table[x].to_numpy() for x in ("id", "mark", "first", "last", "salt")}
-    parts = table["bytes"].to_pylist()
-    text = np.frombuffer(SEPARATOR.join(parts) + SEPARATOR, np.uint8)
-    out = [{x: known[x].to_numpy() for x in ("id", "mark", "first", "last")}]
-    kept: list[tuple] = []
-    if parts:
-        sizes = np.array([len(x) for x in parts])
-        starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-        counts = col["last"] - col["first"] + 1
-        order, rank, tied = suffix_array(text)
-        shared = common_prefixes(text, order, rank, tied, starts, counts)
-        region = np.repeat(np.arange(len(parts)), counts)
-        within = np.arange(len(region)) - np.repeat(np.cumsum(counts) - counts, counts)
-        window = starts[region] + within
-        docs, doc = np.unique(np.rec.fromarrays([col["id"], col["mark"]]), return_inverse=True)
-        when = (doc[region] << 40) + col["first"][region] + within  # order among all windows of the corpus
-        sort = np.argsort(rank[window])
-        group = np.flatnonzero(np.concatenate(([True], shared[window[sort]][1:] < WINDOW)))
-        earliest = np.minimum.reduceat(when[sort], group)
-        gone = np.empty(len(window), bool)
-        gone[sort] = when[sort] != np.repeat(earliest, np.diff(np.append(group, len(window))))
-        lined = np.zeros(len(text), bool)
-        lined[window] = gone
-        a, b = _runs(lined)
-        r = np.searchsorted(starts, a, "right") - 1
-        out.append({"id": col["id"][r], "mark": col["mark"][r], "first": col["first"][r] + a - starts[r], "last": col["first"][r] + b - starts[r]})
-        for i in np.flatnonzero(~gone & (col["salt"][region] >= 0)):
-            k = region[i]
-            digest = hashlib.blake2b(parts[k][within[i] : within[i] + WINDOW], digest_size=16).digest()
-            at = int(col["first"][k] + within[i])
-            kept.append((int(col["id"][k]), int(col["mark"][k]), at, at, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), int(col["salt"][k])))
-    flat = pa.table({x: np.concatenate([o[x] for o in out]).astype(np.int64) for x in ("id", "mark", "first", "last")})
+    known = table.filter(pa.compute.is_null(table["bytes"])).select(["id", "mark", "first", "last"])
+    parts = [_result({x: known[x].to_numpy() for x in known.column_names}, [])]
+    table = table.filter(pa.compute.is_valid(table["bytes"])).sort_by([("key", "ascending"), ("salt", "ascending")])
+    if table.num_rows:
+        key = table["key"].to_numpy()
+        size = np.cumsum(pa.compute.binary_length(table["bytes"]).to_numpy() + 1)
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        at = 0
+        while at < len(key):
+            k = int(np.searchsorted(size[ends - 1], (size[at - 1] if at else 0) + SHARD_BYTES))
+            end = max(int(ends[min(k, len(ends) - 1)]), int(ends[np.searchsorted(ends, at, "right")]))
+            parts.append(_shard(table.slice(at, end - at)))
+            at = end
+    return pa.concat_tables(parts)
+
+
+def _result(runs: dict[str, np.ndarray], kept: list[tuple]) -> pa.Table:
+    flat = pa.table({x: v.astype(np.int64) for x, v in runs.items()})
     n = flat.num_rows
     flat = flat.append_column("h1", pa.nulls(n, pa.int64())).append_column("h2", pa.nulls(n, pa.int64())).append_column("salt", pa.nulls(n, pa.int32()))
     more = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*kept, strict=True), RESULT, strict=True)], schema=RESULT) if kept else RESULT.empty_table()
     return pa.concat_tables([flat.cast(RESULT), more])
 
 
+def _shard(table: pa.Table) -> pa.Table:
+    """Repeated windows of a shard as runs (id, mark, first, last); of cut keys also each window kept, with its hash."""
+    col = {x: table[x].to_numpy() for x in ("id", "mark", "first", "last", "salt")}
+    parts = table["bytes"].to_pylist()
+    text = np.frombuffer(SEPARATOR.join(parts) + SEPARATOR, np.uint8)
+    sizes = np.array([len(x) for x in parts])
+    starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    counts = col["last"] - col["first"] + 1
+    order, rank, tied = suffix_array(text)
+    shared = common_prefixes(text, order, rank, tied, starts, counts)
+    region = np.repeat(np.arange(len(parts)), counts)
+    within = np.arange(len(region)) - np.repeat(np.cumsum(counts) - counts, counts)
+    window = starts[region] + within
+    _, doc = np.unique(np.rec.fromarrays([col["id"], col["mark"]]), return_inverse=True)
+    when = (doc[region] << 40) + col["first"][region] + within  # order among all windows of the shard
+    sort = np.argsort(rank[window])
+    group = np.flatnonzero(np.concatenate(([True], shared[window[sort]][1:] < WINDOW)))
+    earliest = np.minimum.reduceat(when[sort], group)
+    gone = np.empty(len(window), bool)
+    gone[sort] = when[sort] != np.repeat(earliest, np.diff(np.append(group, len(window))))
+    lined = np.zeros(len(text), bool)
+    lined[window] = gone
+    a, b = _runs(lined)
+    r = np.searchsorted(starts, a, "right") - 1
+    runs = {"id": col["id"][r], "mark": col["mark"][r], "first": col["first"][r] + a - starts[r], "last": col["first"][r] + b - starts[r]}
+    kept = []
+    for i in np.flatnonzero(~gone & (col["salt"][region] >= 0)):
+        k = region[i]
+        digest = hashlib.blake2b(parts[k][within[i] : within[i] + WINDOW], digest_size=16).digest()
+        at = int(col["first"][k] + within[i])
+        kept.append((int(col["id"][k]), int(col["mark"][k]), at, at, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), int(col["salt"][k])))
+    return _result(runs, kept)
+
+
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """Windows that some other shard of their key has earlier, by binary search of each shard's hashes in those before it."""
     gone = []
@@ -292,9 +311,9 @@ def repeated(texts: DataFrame, split: int = SPLIT, most_bits: int = MOST_BITS) -
     found = _shared_regions(texts, counts, n_keys, most_bits)
     full = stored(counts.where(F.col("n") > split).select("key", F.ceil(F.col("n") / split).alias("salts")))
     found = found.join(full, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.lit(5), "id", "mark", "first"), F.col("salts")), F.lit(-1)).cast("int")).drop("salts")
-    bins = 8 + int(n_regions) * 132 // SHARD_BYTES
+    bins = 8 + int(n_regions) * 132 // TASK_BYTES
     dealt = found.withColumn("bin", F.pmod(F.xxhash64(F.lit(6), "key", "salt"), F.lit(bins)))
-    done = stored(dealt.groupBy("bin").applyInArrow(_shard, RESULT_SQL))
+    done = stored(dealt.groupBy("bin").applyInArrow(_shards, RESULT_SQL))
     cut = done.where(F.col("h1").isNotNull())
     merged = cut.withColumn("bin", F.pmod(F.col("h1"), F.lit(bins))).groupBy("bin").applyInPandas(_merge, "id bigint, mark bigint, first bigint, last bigint")
     return done.where(F.col("h1").isNull()).select("id", "mark", "first", "last").unionByName(merged)
