@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, mixing, packing, simhash, suffix_dedup, vector_dedup
+from . import chat, exact_dedup, language, mixing, packing, personal_data, simhash, suffix_dedup, vector_dedup
 from .common import table
 
 
@@ -25,6 +25,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in personal_data.KINDS]
+    digest = F.sha2(F.expr(personal_data.written("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, F.expr(personal_data.written("concat(base, added)")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -55,7 +62,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_vector_dedup, op2_packing, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing, op10_suffix_dedup)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_vector_dedup, op2_packing, op4_personal_data, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing, op10_suffix_dedup)}
 
 ORACLES = {
     "op5_exact_dedup": """
