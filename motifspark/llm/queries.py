@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, mixing, packing, personal_data, simhash, suffix_dedup, vector_dedup
+from . import chat, exact_dedup, html_text, language, mixing, packing, personal_data, simhash, suffix_dedup, vector_dedup
 from .common import table
 
 
@@ -25,6 +25,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = html_text.fit(html_text.labelled_pages())
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, weights).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.personal_data(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in personal_data.KINDS]
@@ -62,7 +68,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_vector_dedup, op2_packing, op4_personal_data, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing, op10_suffix_dedup)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_vector_dedup, op2_packing, op3_html_text, op4_personal_data, op5_exact_dedup, op6_chat, op7_language, op8_simhash, op9_mixing, op10_suffix_dedup)}
 
 ORACLES = {
     "op5_exact_dedup": """
