@@ -1,4 +1,507 @@
-"""Registered queries of the sequence-scoring library, with their DuckDB SQL."""
+"""Registered queries of the sequence-scoring library over whole tables, with the DuckDB SQL that checks them."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from motifspark.functions.alphabet import matrix_reverse_complement, normalised, reverse_complement, upper_reverse_complement
+from motifspark.operators import background, features, peaks, scan, stats, windows
+from motifspark.operators.kernel import Background, Scorer
+from motifspark.plans import commands, corpus
+from motifspark.sources import readers, sinks
+
+WINDOW = 50  # of local backgrounds, on either side
+UP, DOWN, WIDTH = 500, 100, 100  # of tiles
+PEAK_RANGE = (-1000, 1000)
+POSITIONS = (-40, 0, 40)
+HIST = [("MOTIF_A", "BG", -12.0, 0.4), ("MOTIF_A", "BG", -4.0, 0.35), ("MOTIF_A", "BG", 1.0, 0.25), ("MOTIF_A", "FG", -12.0, 0.1), ("MOTIF_A", "FG", -4.0, 0.2), ("MOTIF_A", "FG", 1.0, 0.7)]
+MAX_SCORES = [6.0, 4.0]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- pieces of the DuckDB SQL
+
+SEQS = f"""
+seqs AS (
+    SELECT doc_id AS seq_idx, 's' || doc_id AS seq_id,
+           translate(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g'), '{corpus.LETTERS}', '{corpus.DEALT}') AS seq
+    FROM documents
+)"""
+MASKED = SEQS.replace("'[^a-zA-Z]', ''", "'[^a-zA-Z]', '.'")
+PLACES = """
+places AS (
+    SELECT seq_idx, length(seq) AS n, unnest(string_split(seq, '')) AS c, unnest(range(length(seq))) AS i
+    FROM seqs WHERE length(seq) > 0
+)"""
+_AHEAD = [f"lead(c, {m}) OVER w" for m in range(1, 6)]
+SITES = f"""
+sites AS (
+    SELECT seq_idx, n, i, i - (n - n // 2) AS loc, {' || '.join(['c', *_AHEAD])} AS k6, {' || '.join(['c', *_AHEAD[:3]])} AS k4
+    FROM places WINDOW w AS (PARTITION BY seq_idx ORDER BY i)
+)"""
+
+
+def _theta(pseudo: float) -> str:
+    rows = [(s, p.pwm_idx, p.pwm_id, len(p.mat), m, "ACGT"[b], float(p.log(s)[m][b])) for p in corpus.library(pseudo) for s in ("FWD", "REV") for m in range(len(p.mat)) for b in range(4)]
+    return "theta(strand, pwm_idx, pwm_id, w, m, base, lnp) AS (VALUES " + ", ".join(f"('{s}', {i}, '{k}', {w}, {m}, '{b}', {lnp!r}::DOUBLE)" for s, i, k, w, m, b, lnp in rows) + ")"
+
+
+GLOBAL = """
+m0 AS (SELECT c AS base, ln(count(*) / sum(count(*)) OVER ()) AS lnb FROM places WHERE c IN ('A', 'C', 'G', 'T') GROUP BY c),
+pairs AS (SELECT c AS prev, lead(c) OVER (PARTITION BY seq_idx ORDER BY i) AS base FROM places),
+m1 AS (
+    SELECT prev, base, ln(count(*) / sum(count(*)) OVER (PARTITION BY prev)) AS lnb
+    FROM pairs WHERE prev IN ('A', 'C', 'G', 'T') AND base IN ('A', 'C', 'G', 'T') GROUP BY prev, base
+)"""
+_DEN = {
+    "equal": "SELECT kmer, length(kmer) * ln(0.25) AS den FROM kmers",
+    "m0": "SELECT kmer, sum(lnb) AS den FROM (SELECT kmer, unnest(string_split(kmer, '')) AS base FROM kmers) JOIN m0 USING (base) GROUP BY kmer",
+    "m1": """SELECT kmer, sum(coalesce(m0.lnb, m1.lnb)) AS den
+             FROM (SELECT kmer, m, substr(kmer, m + 1, 1) AS x, CASE WHEN m > 0 THEN substr(kmer, m, 1) END AS y FROM (SELECT kmer, unnest(range(length(kmer))) AS m FROM kmers)) k
+             LEFT JOIN m0 ON k.m = 0 AND m0.base = k.x LEFT JOIN m1 ON k.m > 0 AND m1.base = k.x AND m1.prev = k.y GROUP BY kmer""",
+}
+
+
+def _global_hits(kind: str, cutoffs: tuple[float, float] = (0.0, 0.0), pseudo: float = 0.25, tss: str = "n", seqs: str = SEQS) -> str:
+    """CTEs up to hits(strand, pwm_idx, pwm_id, seq_idx, loc, score) under a global background, scored once per k-mer."""
+    return f"""WITH {seqs}, {PLACES}, {SITES}, {_theta(pseudo)}, {GLOBAL},
+kmers AS (SELECT k6 AS kmer FROM sites WHERE regexp_full_match(k6, '[ACGT]{{6}}') UNION SELECT k4 FROM sites WHERE regexp_full_match(k4, '[ACGT]{{4}}')),
+num AS (SELECT strand, pwm_idx, pwm_id, kmer, sum(lnp) AS num FROM kmers JOIN theta ON length(kmer) = w AND substr(kmer, m + 1, 1) = base GROUP BY ALL),
+den AS ({_DEN[kind]}),
+scored AS (SELECT strand, pwm_idx, pwm_id, kmer, num - den AS score FROM num JOIN den USING (kmer) WHERE num - den > CASE pwm_idx WHEN 0 THEN {cutoffs[0]} ELSE {cutoffs[1]} END),
+hits AS (
+    SELECT strand, pwm_idx, pwm_id, seq_idx, i - {tss} AS loc, score FROM sites JOIN scored ON k6 = kmer
+    UNION ALL SELECT strand, pwm_idx, pwm_id, seq_idx, i - {tss} AS loc, score FROM sites JOIN scored ON k4 = kmer
+)"""
+
+
+_MID = "(n - n // 2)"
+_PAIRS = [a + b for a in "ACGT" for b in "ACGT"]
+
+
+def _local_hits(pseudo: float, window: int = WINDOW) -> str:
+    """CTEs up to hits under local backgrounds of both orders, from running counts."""
+    runs = ", ".join([*(f"sum((c = '{b}')::INT) OVER r AS n{b}" for b in "ACGT"), *(f"sum((coalesce(c || d, '') = '{p}')::INT) OVER r AS n{p}" for p in _PAIRS)])
+    diff = lambda x: f"(h.n{x} - coalesce(l.n{x}, 0))"
+    total = " + ".join(diff(b) for b in "ACGT")
+    freqs = ", ".join(f"{diff(p)} / nullif({' + '.join(diff(p[0] + b) for b in 'ACGT')}, 0)" for p in _PAIRS)
+    code = lambda x: f"(strpos('ACGT', {x}) - 1)"
+    step = lambda k, m: f"ln(f[{code(f'substr({k}, {m}, 1)')} * 4 + {code(f'substr({k}, {m + 1}, 1)')} + 1])"
+    den = lambda k, w: " + ".join([f"ln(b[strpos('ACGT', substr({k}, 1, 1))])", *(step(k, m) for m in range(1, w))])
+    return f"""WITH {SEQS}, {PLACES}, {SITES}, {_theta(pseudo)},
+ahead AS (SELECT seq_idx, n, c, i, lead(c) OVER (PARTITION BY seq_idx ORDER BY i) AS d FROM places),
+runs AS (SELECT seq_idx, n, i, {runs} FROM ahead WINDOW r AS (PARTITION BY seq_idx ORDER BY i ROWS UNBOUNDED PRECEDING)),
+around AS (
+    SELECT s.seq_idx, s.i, [{', '.join(f'{diff(b)} / ({total})' for b in 'ACGT')}] AS b, [{freqs}] AS f
+    FROM runs s JOIN runs h ON h.seq_idx = s.seq_idx AND h.i = least(s.i + {window}, s.n - 1)
+    LEFT JOIN runs l ON l.seq_idx = s.seq_idx AND l.i = s.i - {window} - 1
+    WHERE s.n >= {2 * window + 2}
+),
+num AS (SELECT strand, pwm_idx, pwm_id, kmer, sum(lnp) AS num FROM (SELECT DISTINCT k6 AS kmer FROM sites WHERE k6 IS NOT NULL UNION SELECT DISTINCT k4 FROM sites WHERE k4 IS NOT NULL) JOIN theta ON length(kmer) = w AND substr(kmer, m + 1, 1) = base GROUP BY ALL),
+below AS (SELECT seq_idx, loc, k6, k4, {den('k6', 6)} AS d6, {den('k4', 4)} AS d4 FROM sites JOIN around USING (seq_idx, i)),
+hits AS (
+    SELECT strand, pwm_idx, pwm_id, seq_idx, loc, num - d6 AS score FROM below JOIN num ON k6 = kmer WHERE num - d6 > 0
+    UNION ALL SELECT strand, pwm_idx, pwm_id, seq_idx, loc, num - d4 FROM below JOIN num ON k4 = kmer WHERE num - d4 > 0
+)"""
+
+
+SUMMARY = """SELECT strand, pwm_id, count(*) AS n_hits, count(DISTINCT seq_idx) AS n_seqs, round(sum(score), 4) AS total, min(loc) AS first_loc, max(loc) AS last_loc
+FROM hits GROUP BY strand, pwm_id"""
+
+
+def _summary(hits: DataFrame) -> DataFrame:
+    each = hits.groupBy("strand", "pwm_id", "seq_idx").agg(F.count("*").alias("c"), F.sum("score").alias("s"), F.min("loc").alias("a"), F.max("loc").alias("b"))
+    return each.groupBy("strand", "pwm_id").agg(F.sum("c").alias("n_hits"), F.count("*").alias("n_seqs"), F.round(F.sum("s"), 4).alias("total"), F.min("a").alias("first_loc"), F.max("b").alias("last_loc"))
+
+
+def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.sequences(spark, sf_dir)
+
+
+def _local_scorer(pseudo: float = 0.01) -> Scorer:
+    return Scorer(corpus.library(pseudo), Background("local", window=WINDOW))
+
+
+# ---- composition and backgrounds
+
+
+@query(f"WITH {SEQS}, {PLACES} SELECT c AS base, round(count(*) / sum(count(*)) OVER (), 6) AS freq FROM places GROUP BY c")
+def bg_m0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return background.base_frequencies(_seqs(spark, sf_dir)).select("base", F.round("freq", 6).alias("freq"))
+
+
+@query(f"WITH {SEQS}, {PLACES}, {GLOBAL} SELECT prev, base, round(exp(lnb), 6) AS freq FROM m1")
+def bg_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return background.pair_frequencies(_seqs(spark, sf_dir)).select("prev", "base", F.round("freq", 6).alias("freq"))
+
+
+_AROUND = _local_hits(0.01).split("\nnum AS")[0].rstrip(",\n ")
+
+
+@query(f"{_AROUND} SELECT seq_idx, count(*) AS n_places, {', '.join(f'round(sum(b[{k + 1}]), 4) AS {x}' for k, x in enumerate('acgt'))} FROM around GROUP BY seq_idx")
+def bg_local_m0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = background.local_frequencies(_seqs(spark, sf_dir), WINDOW).where(F.col("b1").isNotNull() & F.col("b1")[0].isNotNull() | F.exists("b1", lambda x: x.isNotNull()))
+    return rows.groupBy("seq_idx").agg(F.count("*").alias("n_places"), *[F.round(F.sum(F.col("b")[k]), 4).alias(x) for k, x in enumerate("acgt")])
+
+
+@query(f"{_AROUND} SELECT seq_idx, {', '.join(f'round(sum(f[{k + 1}]), 4) AS {p.lower()}' for k, p in enumerate(_PAIRS))} FROM around GROUP BY seq_idx")
+def bg_local_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = background.local_frequencies(_seqs(spark, sf_dir), WINDOW).where(F.exists("b1", lambda x: x.isNotNull()))
+    return rows.groupBy("seq_idx").agg(*[F.round(F.sum(F.col("b1")[k]), 4).alias(p.lower()) for k, p in enumerate(_PAIRS)])
+
+
+_CUT = f"substr(seq, greatest(0, {{}} - 100 + length(seq) - length(seq) // 2) + 1, greatest(0, least(length(seq), {{}} + 100 + length(seq) - length(seq) // 2) - greatest(0, {{}} - 100 + length(seq) - length(seq) // 2)))"
+
+
+@query(f"WITH {SEQS}, cut AS (SELECT seq_id, {_CUT.format(0, 0, 0)} AS x FROM seqs) SELECT seq_id || '_0' AS sample_id, " + ", ".join(f"round(length(regexp_replace(x, '[^{b}]', '', 'g')) / nullif(length(x), 0), 6) AS {k}" for k, b in features.CONTENT) + " FROM cut")
+def content_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.content_features(_seqs(spark, sf_dir))
+    return found.select("sample_id", *[F.round(k, 6).alias(k) for k, _ in features.CONTENT])
+
+
+_RC = "reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))"
+
+
+@query(f"WITH {SEQS} SELECT seq_idx, md5({_RC}) AS rc, md5(upper({_RC})) AS upper_rc FROM seqs")
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seqs(spark, sf_dir).select("seq_idx", F.md5(reverse_complement(F.col("seq"))).alias("rc"), F.md5(upper_reverse_complement(F.col("seq"))).alias("upper_rc"))
+
+
+def _matrix_rows(table: DataFrame) -> DataFrame:
+    rows = table.select("pwm_idx", "pwm_id", F.posexplode("mat").alias("pos", "row"))
+    return rows.select("pwm_idx", "pwm_id", "pos", F.posexplode("row").alias("b", "p")).select("pwm_idx", "pwm_id", "pos", F.substr(F.lit("ACGT"), F.col("b") + 1, F.lit(1)).alias("base"), F.round("p", 8).alias("p"))
+
+
+def _cells(reverse: bool = False) -> str:
+    rows = [(i, k, (len(m) - 1 - r if reverse else r), "ACGT"[3 - b if reverse else b], m[r][b]) for i, (k, m) in enumerate(corpus.MATRICES.items()) for r in range(len(m)) for b in range(4)]
+    return "cells(pwm_idx, pwm_id, pos, base, x) AS (VALUES " + ", ".join(f"({i}, '{k}', {r}, '{b}', {x!r}::DOUBLE)" for i, k, r, b, x in rows) + ")"
+
+
+def _raw_library(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, k, m) for i, (k, m) in enumerate(corpus.MATRICES.items())], "pwm_idx int, pwm_id string, mat array<array<double>>")
+
+
+@query(f"WITH {_cells()} SELECT pwm_idx, pwm_id, pos, base, round((x + 0.25) / sum(x + 0.25) OVER (PARTITION BY pwm_idx, pos), 8) AS p FROM cells")
+def pwm_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix_rows(_raw_library(spark).withColumn("mat", normalised(F.col("mat"), 0.25)))
+
+
+@query(f"WITH {_cells(True)} SELECT pwm_idx, pwm_id, pos, base, round(x, 8) AS p FROM cells")
+def pwm_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix_rows(_raw_library(spark).withColumn("mat", matrix_reverse_complement(F.col("mat"))))
+
+
+@query(f"""WITH g AS (
+    SELECT n_regionkey, n_nationkey, translate(regexp_replace(n_name, '[^a-zA-Z]', '', 'g'), '{corpus.LETTERS}', '{corpus.DEALT}') AS site FROM nation
+), w AS (SELECT n_regionkey, length(arg_min(site, n_nationkey)) AS w FROM g GROUP BY 1),
+p AS (SELECT n_regionkey, unnest(string_split(site, '')) AS c, unnest(range(length(site))) AS pos FROM g)
+SELECT 'r' || n_regionkey AS pwm_id, pos::INT AS pos, {', '.join(f"count(*) FILTER (c = '{b}') AS {b.lower()}" for b in 'ACGT')}
+FROM p JOIN w USING (n_regionkey) WHERE pos < w GROUP BY n_regionkey, pos""")
+def pwm_from_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    site = F.translate(F.regexp_replace("n_name", "[^a-zA-Z]", ""), corpus.LETTERS, corpus.DEALT)
+    groups = nation.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", site.alias("site")))), lambda x: x["site"]).alias("sites"))
+    return readers.count_matrices(groups.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("pwm_id"), "sites"))
+
+
+# ---- scans
+
+
+@query(f"{_global_hits('m0')} {SUMMARY}")
+def scan_m0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25)))
+
+
+@query(f"{_global_hits('m1')} {SUMMARY}")
+def scan_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25), use_m1=True))
+
+
+@query(f"{_global_hits('equal')} {SUMMARY}")
+def scan_equal_bg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(scan.score_sites(_seqs(spark, sf_dir), Scorer(corpus.library(0.25)), 0))
+
+
+@query(f"{_global_hits('m1', seqs=MASKED)} {SUMMARY}")
+def scan_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(commands.scan_hits(corpus.sequences(spark, sf_dir, masked=True), corpus.library(0.25), use_m1=True))
+
+
+@query(f"{_global_hits('m0')} SELECT strand, pwm_id, count(DISTINCT seq_idx) AS n_seqs FROM hits GROUP BY strand, pwm_id")
+def scan_header_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.header_counts(commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25)))
+
+
+@query(f"{_global_hits('m0', (1.5, 0.75))} SELECT strand, pwm_id, 's' || seq_idx AS seq_id, count(*) AS n_hits, round(sum(score), 4) AS total FROM hits GROUP BY strand, pwm_id, seq_idx")
+def scan_cutoff_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25), cutoffs=[1.5, 0.75])
+    return hits.groupBy("strand", "pwm_id", "seq_id").agg(F.count("*").alias("n_hits"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query(f"{_global_hits('equal')} SELECT strand, pwm_id, count(*) AS n_hits, round(sum(score), 4) AS total FROM hits WHERE strand = 'FWD' GROUP BY strand, pwm_id")
+def scan_sql_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = scan.score_sites_sql(_seqs(spark, sf_dir), Scorer(corpus.library(0.25), strands=("FWD",)), 0)
+    return hits.groupBy("strand", "pwm_id").agg(F.count("*").alias("n_hits"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query(f"{_local_hits(0.25)} {SUMMARY}")
+def scan_local_bg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(scan.score_sites(_seqs(spark, sf_dir), _local_scorer(0.25)))
+
+
+# ---- curves and regions
+
+
+@query(f"{_global_hits('m0', tss=_MID)} SELECT pwm_id, loc, round(sum(score), 4) AS cumscore FROM hits GROUP BY pwm_id, loc")
+def cum_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25), nucs_after_tss=None)
+    return features.cumulative(hits).withColumn("cumscore", F.round("cumscore", 4))
+
+
+@query(f"{_local_hits(0.25)}, long AS (SELECT seq_idx FROM seqs WHERE length(seq) // 2 >= 100 AND length(seq) - length(seq) // 2 - 1 >= 100) SELECT strand, pwm_id, loc, round(sum(score), 4) AS cumscore FROM hits JOIN long USING (seq_idx) GROUP BY strand, pwm_id, loc")
+def cum_score_local_bg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = commands.curves(_seqs(spark, sf_dir), corpus.library(0.25), WINDOW, min_flank=100)
+    return curve.withColumn("cumscore", F.round("cumscore", 4))
+
+
+_PEAKS = f""", curve AS (SELECT strand, pwm_id, loc, sum(score) AS s FROM hits GROUP BY ALL),
+bg AS (SELECT strand, pwm_id, round_even(avg(s) FILTER (loc < {PEAK_RANGE[0]} OR loc > {PEAK_RANGE[1]}), 2) AS bg, max(s) AS top FROM curve GROUP BY ALL),
+k AS (SELECT c.*, bg, row_number() OVER (PARTITION BY c.strand, c.pwm_id ORDER BY loc) - 1 AS k, coalesce(s < bg, false)::INT AS below FROM curve c JOIN bg USING (strand, pwm_id)),
+p AS (SELECT strand, pwm_id, max(loc) AS peak, max(k) AS pk, any_value(bg) AS bg FROM k JOIN (SELECT strand, pwm_id, top FROM bg) USING (strand, pwm_id) WHERE s = top GROUP BY ALL),
+l AS (SELECT strand, pwm_id, k, below, sum(below) OVER (PARTITION BY strand, pwm_id ORDER BY k DESC) AS run FROM k JOIN p USING (strand, pwm_id) WHERE k <= pk),
+r AS (SELECT strand, pwm_id, k, below, sum(below) OVER (PARTITION BY strand, pwm_id ORDER BY k) AS run FROM k JOIN p USING (strand, pwm_id) WHERE k >= pk),
+e AS (
+    SELECT p.*, (SELECT max(k) FROM k WHERE k.strand = p.strand AND k.pwm_id = p.pwm_id) AS last,
+           (SELECT max(k) FROM l WHERE l.strand = p.strand AND l.pwm_id = p.pwm_id AND run = 5 AND below = 1) AS l5,
+           (SELECT min(k) FROM r WHERE r.strand = p.strand AND r.pwm_id = p.pwm_id AND run = 5 AND below = 1) AS r5
+    FROM p
+), f AS (SELECT *, greatest(0, coalesce(l5 - 1, 0)) AS li, least(last, coalesce(r5 + 1, last)) AS ri FROM e),
+x AS (SELECT f.*, a.loc AS lo, b.loc AS hi, (b.loc - a.loc) / 2 AS half FROM f JOIN k a ON a.strand = f.strand AND a.pwm_id = f.pwm_id AND a.k = li JOIN k b ON b.strand = f.strand AND b.pwm_id = f.pwm_id AND b.k = ri),
+y AS (SELECT *, peak BETWEEN {PEAK_RANGE[0]} AND {PEAK_RANGE[1]} AND li <> pk AND ri <> pk AS ok, least(half, 250.0) AS hw FROM x)
+SELECT strand, pwm_id, CASE WHEN ok THEN peak END AS max_peak_loc,
+       CASE WHEN ok THEN floor(hw * pow(10, 1 - floor(log10(hw))) + 0.5) / pow(10, 1 - floor(log10(hw))) END AS half_width,
+       CASE WHEN ok THEN CASE WHEN half > 250 THEN peak - 250 ELSE lo END END AS "left",
+       CASE WHEN ok THEN CASE WHEN half > 250 THEN peak + 250 ELSE hi END END AS "right", bg AS background
+FROM y"""
+
+
+@query(_local_hits(0.25) + _PEAKS)
+def roe_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = commands.curves(_seqs(spark, sf_dir), corpus.library(0.25), WINDOW, min_flank=0)
+    return peaks.peaks(curve, *PEAK_RANGE)
+
+
+@query()
+def roe_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = commands.curves(_seqs(spark, sf_dir), corpus.library(0.25), WINDOW, min_flank=0)
+    return peaks.smoothed_peaks(curve)
+
+
+# ---- windows
+
+_ROE = "roe(row_idx, pwm_id, strand, peak, hw) AS (VALUES " + ", ".join(f"({i}, '{k}', '{s}', {'NULL' if p is None else p}::DOUBLE, {'NULL' if h is None else h}::DOUBLE)" for i, k, s, p, h in corpus.REGIONS) + ")"
+ROE7 = f"""{_ROE},
+roe_v AS (SELECT *, trunc(peak)::INT AS cent, trunc(2 * hw)::INT AS reach, greatest(1, trunc(2 * hw / 6)::INT) AS h, unnest(range(-3, 4))::INT AS v FROM roe WHERE peak IS NOT NULL AND hw IS NOT NULL),
+roe_m AS (SELECT *, CASE WHEN hw < 100 AND v = -3 THEN cent - reach WHEN hw < 100 AND v = 3 THEN cent + reach ELSE cent + v * h END AS mid, CASE WHEN hw < 100 AND abs(v) = 3 THEN reach - 3 * h ELSE h END AS half FROM roe_v),
+wins AS (SELECT row_idx, row_idx AS pwm_idx, pwm_id, strand, v + 4 AS win_no, pwm_id || '_' || strand || '_' || (v + 4) AS feature_id, mid - half AS "left", mid + half AS "right" FROM roe_m)"""
+TILES = f"""tiles AS (SELECT k AS win_no, -{UP} + (k - 1) * {WIDTH} AS "left", -{UP} + k * {WIDTH} AS "right" FROM range(1, ({UP} + {DOWN}) // {WIDTH} + 1) t(k))"""
+
+
+@query(f"WITH {TILES} SELECT * FROM tiles")
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.tiles(spark, UP, DOWN, WIDTH)
+
+
+@query(f"WITH {ROE7} SELECT * FROM wins")
+def roe7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.roe_windows(corpus.regions(spark))
+
+
+@query(f'WITH {ROE7} SELECT feature_id, f::INT AS flank, ("left" + f * 25)::INT AS "left", ("right" + f * 25)::INT AS "right" FROM wins, range(-2, 3) t(f)')
+def flank_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.flanks(windows.roe_windows(corpus.regions(spark)), 50, 2).select("feature_id", "flank", "left", "right")
+
+
+@query(f'WITH {ROE7} SELECT row_idx, pwm_idx, pwm_id, strand, 7 AS win_no, arg_max(feature_id, win_no) AS feature_id, arg_min("left", win_no) AS "left", arg_max("right", win_no) AS "right" FROM wins GROUP BY row_idx, pwm_idx, pwm_id, strand')
+def collapsed_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.collapsed(windows.roe_windows(corpus.regions(spark)))
+
+
+@query(f"WITH {SEQS} SELECT seq_id, pos::INT AS pos FROM seqs, range(-90, 91, 45) t(pos)")
+def pos_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.range_positions(_seqs(spark, sf_dir).select("seq_idx", "seq_id"), 45, -90, 90).select("seq_id", "pos")
+
+
+@query()
+def pos_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.random_positions(_seqs(spark, sf_dir).select("seq_idx", "seq_id"), 5, -50, 50).select("seq_id", "pos")
+
+
+_MINUS = "seq_idx % 3 = 0"
+
+
+@query(f"""WITH {SEQS}, {ROE7},
+a AS (SELECT seq_id, seq_idx, length(seq) AS n, length(seq) // 2 AS aft, unnest([{', '.join(map(str, POSITIONS))}]) AS pos FROM seqs),
+b AS (SELECT *, CASE WHEN {_MINUS} THEN aft + 1 ELSE n - aft END AS tss, CASE pwm_idx WHEN 0 THEN 6 ELSE 4 END AS w FROM a, wins),
+c AS (SELECT *, greatest(0, CASE WHEN {_MINUS} THEN -"right" ELSE "left" END + pos + tss) AS lo, least(n - w, CASE WHEN {_MINUS} THEN -"left" ELSE "right" END + pos + tss) AS hi FROM b)
+SELECT seq_id || '_' || pos AS seq_id, feature_id, "left" + pos AS relative_start, "right" + pos AS relative_end, tss AS tss_start, lo AS absolute_start, hi AS absolute_end,
+       'Chr' || (seq_idx % 5) AS ref_seq, seq_idx * 1000 + lo AS genomic_start, seq_idx * 1000 + hi AS genomic_end FROM c""")
+def genomic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = windows.fixed_positions(_seqs(spark, sf_dir), list(POSITIONS))
+    at = F.col("seq_idx")
+    seqs = seqs.withColumns({"ref_seq": F.concat(F.lit("Chr"), (at % 5).cast("string")), "ref_start": at * 1000, "ref_strand": F.when(at % 3 == 0, "-").otherwise("+")})
+    widths = readers.pwm_table(spark, corpus.library(0)).select("pwm_idx", "w")
+    return windows.genomic_map(seqs, windows.roe_windows(corpus.regions(spark)), widths)
+
+
+# ---- features
+
+_TILE_SUMS = f""", {TILES}, every AS (SELECT seq_idx, strand, pwm_id, pwm_idx, win_no, "left", "right" FROM seqs, (SELECT DISTINCT strand, pwm_id, pwm_idx FROM theta), tiles),
+sums AS (
+    SELECT 's' || e.seq_idx || '_0' AS sample_id, e.pwm_id || '_' || e.strand || '_' || win_no || '_tile{WIDTH}' AS feature_id, e.pwm_idx, coalesce(sum(score), 0.0) AS value
+    FROM every e LEFT JOIN hits h ON h.seq_idx = e.seq_idx AND h.strand = e.strand AND h.pwm_idx = e.pwm_idx AND h.loc BETWEEN e."left" AND e."right" GROUP BY ALL
+)"""
+
+
+@query(f"{_local_hits(0.01)} {_TILE_SUMS} SELECT sample_id, feature_id, round(value, 4) AS value FROM sums")
+def tiled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, specs = commands.tiled_features(_seqs(spark, sf_dir), corpus.library(0.01), UP, DOWN, WIDTH, WINDOW)
+    return features.long_features(table, specs).select("sample_id", "feature_id", F.round("value", 4).alias("value"))
+
+
+_TILE_NAMES = [s.feature_id for s in commands.tile_specs(corpus.library(0.01), UP, DOWN, WIDTH)]
+
+
+@query(f"{_local_hits(0.01)} {_TILE_SUMS} SELECT sample_id AS sample, " + ", ".join(f"round(sum(value) FILTER (feature_id = '{k}'), 4) AS {k}" for k in _TILE_NAMES) + " FROM sums GROUP BY sample_id")
+def tiled_features_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, specs = commands.tiled_features(_seqs(spark, sf_dir), corpus.library(0.01), UP, DOWN, WIDTH, WINDOW)
+    wide = features.wide_features(table, specs)
+    return wide.select("sample", *[F.round(k, 4).alias(k) for k in wide.columns[1:]])
+
+
+@query(f"{_local_hits(0.01)} {_TILE_SUMS} SELECT sample_id, feature_id, round(value / ({WIDTH} * CASE pwm_idx WHEN 0 THEN {MAX_SCORES[0]} ELSE {MAX_SCORES[1]} END) * 10, 6) AS value FROM sums")
+def tiled_norm_by_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, specs = commands.tiled_features(_seqs(spark, sf_dir), corpus.library(0.01), UP, DOWN, WIDTH, WINDOW, max_scores=MAX_SCORES)
+    return features.long_features(table, specs).select("sample_id", "feature_id", F.round("value", 6).alias("value"))
+
+
+_ROE_SUMS = f""", {ROE7}, every AS (SELECT seq_idx, pos, w.* FROM seqs, (SELECT unnest([{', '.join(map(str, POSITIONS))}]) AS pos), wins w),
+sums AS (
+    SELECT 's' || e.seq_idx || '_' || pos AS sample_id, feature_id, e.pwm_idx, e."left", e."right", coalesce(sum(score), 0.0) AS value
+    FROM every e LEFT JOIN hits h ON h.seq_idx = e.seq_idx AND h.strand = e.strand AND h.pwm_idx = e.pwm_idx AND h.loc BETWEEN e."left" + pos AND e."right" + pos GROUP BY ALL
+)"""
+
+
+@query(f"{_local_hits(0.01)} {_ROE_SUMS} SELECT sample_id, feature_id, round(value, 4) AS value FROM sums")
+def roe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = windows.fixed_positions(_seqs(spark, sf_dir), list(POSITIONS))
+    table, specs = commands.region_features(seqs, corpus.library(0.01), corpus.regions(spark), WINDOW)
+    return features.long_features(table, specs).select("sample_id", "feature_id", F.round("value", 4).alias("value"))
+
+
+@query(f"""{_local_hits(0.01)} {_ROE_SUMS} SELECT sample_id, feature_id, round(value / (abs("left" - "right") * CASE pwm_idx WHEN 0 THEN {MAX_SCORES[0]} ELSE {MAX_SCORES[1]} END) * 10, 6) AS value FROM sums""")
+def roe_norm_by_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = windows.fixed_positions(_seqs(spark, sf_dir), list(POSITIONS))
+    table, specs = commands.region_features(seqs, corpus.library(0.01), corpus.regions(spark), WINDOW, max_scores=MAX_SCORES)
+    return features.long_features(table, specs).select("sample_id", "feature_id", F.round("value", 6).alias("value"))
+
+
+@query(f"""{_local_hits(0.0)}, {ROE7}, every AS (SELECT seq_idx, w.*, unnest(range("right" - "left" + 1))::INT AS place FROM seqs, wins w WHERE pwm_idx = 0)
+SELECT 's' || e.seq_idx || '_0' AS sample_id, feature_id, place, round(coalesce(score, 0.0), 4) AS value
+FROM every e LEFT JOIN hits h ON h.seq_idx = e.seq_idx AND h.strand = e.strand AND h.pwm_idx = e.pwm_idx AND h.loc = e."left" + place""")
+def by_nt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roe = corpus.regions(spark).where("row_idx = 0")
+    found, _ = commands.region_features(_seqs(spark, sf_dir), corpus.library(0.0), roe, WINDOW, by_place=True)
+    return found.withColumn("value", F.round("value", 4))
+
+
+OPEN = """oc AS (SELECT 's' || user_id AS seq_id, user_id AS seq_idx, CASE WHEN event_id % 2 = 0 THEN 'LEAF' ELSE 'ROOT' END AS tissue, event_id % 900 - 520 AS lo, event_id % 900 - 515 + event_id % 40 AS hi FROM events)"""
+
+
+@query(f"""{_local_hits(0.001)}, {TILES}, {OPEN}, cut AS (SELECT seq_id, seq_idx, tissue, win_no, greatest("left", lo) AS a, least("right", hi) AS b FROM oc JOIN tiles ON lo <= "right" AND hi >= "left")
+SELECT seq_id, pwm_id, strand, tissue, win_no, round(sum(score), 4) AS value FROM cut JOIN hits USING (seq_idx) WHERE loc BETWEEN a AND b
+GROUP BY GROUPING SETS ((seq_id, pwm_id, strand, tissue, win_no), (seq_id, pwm_id, strand, tissue))""")
+def roc_tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = commands.open_tiles(_seqs(spark, sf_dir), corpus.library(0.001), corpus.open_intervals(spark, sf_dir), UP, DOWN, WIDTH, WINDOW)
+    return found.withColumn("value", F.round("value", 4))
+
+
+@query(f"""{_local_hits(0.001)}, {ROE7}, {OPEN}, named AS (SELECT oc.*, w.feature_id, w.pwm_idx, w.strand FROM oc, wins w)
+SELECT n.seq_id, n.feature_id, n.tissue, round(sum(score), 4) AS value FROM named n JOIN hits h ON h.seq_idx = n.seq_idx AND h.pwm_idx = n.pwm_idx AND h.strand = n.strand AND h.loc BETWEEN n.lo AND n.hi GROUP BY ALL""")
+def roe_roc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = windows.roe_windows(corpus.regions(spark)).select("feature_id")
+    intervals = corpus.open_intervals(spark, sf_dir).join(F.broadcast(own), F.lit(True))
+    found = commands.open_regions(_seqs(spark, sf_dir), corpus.library(0.001), corpus.regions(spark), intervals, WINDOW)
+    return found.withColumn("value", F.round("value", 4))
+
+
+# ---- statistics
+
+_LAGGED = f"""WITH {SEQS}, {PLACES}, {SITES}, {_theta(0.01)}, bgs(base, lnb) AS (VALUES {', '.join(f"('{b}', {math.log(x)!r}::DOUBLE)" for b, x in zip('ACGT', stats.SITE_BACKGROUND, strict=True))}),
+kmers AS (SELECT DISTINCT k6 AS motif FROM sites WHERE k6 IS NOT NULL),
+scored AS (
+    SELECT motif, sum(lnp - lnb) AS score FROM (SELECT motif, unnest(range(6)) AS m FROM kmers) k
+    JOIN theta t ON t.strand = 'FWD' AND t.pwm_idx = 0 AND t.m = k.m AND t.base = substr(motif, k.m::INT + 1, 1)
+    JOIN bgs ON bgs.base = substr(motif, greatest(k.m::INT, 1), 1) GROUP BY motif
+)"""
+
+
+def _kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different 6-mer of the sequences, with the first matrix's lagged score."""
+    seqs = _seqs(spark, sf_dir).where("length(seq) >= 6")
+    mers = seqs.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 5), lambda i: F.substr("seq", i, F.lit(6)))).alias("motif")).distinct()
+    theta = F.array(*[F.lit(x) for row in corpus.library(0.01)[0].mat for x in row])
+    return mers.withColumn("score", stats.lagged_score(F.col("motif"), theta))
+
+
+@query(f"{_LAGGED} SELECT motif, round(score, 6) AS score FROM scored")
+def motif_m0_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kmers(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+_HIST = "hist(kind, lb, height) AS (VALUES " + ", ".join(f"('{k}', {lb}::DOUBLE, {h}::DOUBLE)" for _, k, lb, h in HIST) + ")"
+
+
+@query(f"""{_LAGGED}, {_HIST} SELECT motif, round(1 - coalesce(sum(height) FILTER (kind = 'BG'), 0), 6) AS fp, round(coalesce(sum(height) FILTER (kind = 'FG'), 0), 6) AS fn
+FROM scored LEFT JOIN hist ON lb < score GROUP BY motif""")
+def error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = spark.createDataFrame(HIST, "pwm_id string, kind string, lb double, height double")
+    found = stats.error_rates(_kmers(spark, sf_dir).withColumn("pwm_id", F.lit("MOTIF_A")), hist, ["motif"])
+    return found.select("motif", F.round("fp", 6).alias("fp"), F.round("fn", 6).alias("fn"))
+
+
+@query(f"""{_global_hits('m0')}, b AS (SELECT pwm_id, floor(score / 0.5)::INT AS bin_idx, count(*) AS c FROM hits WHERE score >= 0 AND score < 10 GROUP BY ALL), t AS (SELECT pwm_id, count(*) AS n FROM hits GROUP BY pwm_id)
+SELECT pwm_id, bin_idx, bin_idx * 0.5::DOUBLE AS lb, (bin_idx + 1) * 0.5::DOUBLE AS ub, round(c / n, 8) AS height FROM b JOIN t USING (pwm_id)""")
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25))
+    return stats.score_histogram(hits, 0.0, 10.0, 20).withColumn("height", F.round("height", 8))
+
+
+@query()
+def score_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bg = background.global_background(_seqs(spark, sf_dir), first_order=True)
+    return stats.thresholds(spark, corpus.library(0.25), bg)
+
+
+@query(f"""{_global_hits('m0')}, v AS (SELECT strand, pwm_id, seq_idx, string_agg(loc::VARCHAR, chr(9) ORDER BY loc) AS v FROM hits GROUP BY ALL)
+SELECT strand, 's' || seq_idx || chr(9) || v AS line FROM v
+UNION ALL SELECT strand, '>' || chr(9) || pwm_id || chr(9) || count(*) AS line FROM v GROUP BY strand, pwm_id""")
+def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.hit_lines(commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25)))
