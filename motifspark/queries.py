@@ -436,11 +436,11 @@ OPEN = """oc AS (SELECT 's' || user_id AS seq_id, user_id AS seq_idx, CASE WHEN
 
 
 @query(f"""{_local_hits(0.001)}, {TILES}, {OPEN}, cut AS (SELECT seq_id, seq_idx, tissue, win_no, greatest("left", lo) AS a, least("right", hi) AS b FROM oc JOIN tiles ON lo <= "right" AND hi >= "left")
-SELECT seq_id, pwm_id, strand, tissue, win_no, round(sum(score), 4) AS value FROM cut JOIN hits USING (seq_idx) WHERE loc BETWEEN a AND b
-GROUP BY GROUPING SETS ((seq_id, pwm_id, strand, tissue, win_no), (seq_id, pwm_id, strand, tissue))""")
+SELECT seq_id, pwm_id, strand, tissue, coalesce(cut.win_no, 0) AS win_no, round(sum(score), 4) AS value FROM cut JOIN hits USING (seq_idx) WHERE loc BETWEEN a AND b
+GROUP BY GROUPING SETS ((seq_id, pwm_id, strand, tissue, cut.win_no), (seq_id, pwm_id, strand, tissue))""")
 def roc_tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = commands.open_tiles(_seqs(spark, sf_dir), corpus.library(0.001), corpus.open_intervals(spark, sf_dir), UP, DOWN, WIDTH, WINDOW)
-    return found.withColumn("value", F.round("value", 4))
+    return found.withColumns({"win_no": F.coalesce("win_no", F.lit(0)), "value": F.round("value", 4)})  # 0: all tiles
 
 
 @query(f"""{_local_hits(0.001)}, {ROE7}, {OPEN}, named AS (SELECT oc.*, w.feature_id, w.pwm_idx, w.strand FROM oc, wins w)

@@ -13,15 +13,17 @@ from motifspark.functions.alphabet import reverse_complement
 from motifspark.operators.kernel import Pwm
 
 
-def read_fasta(spark: SparkSession, path: str, limit: list[str] | None = None) -> DataFrame:
-    """(seq_idx, seq_id, header, seq, n); records start at lines with >, spaces around lines go, text before them is ignored.
+def read_fasta(spark: SparkSession, path: str, limit: list[str] | None = None, preamble: bool = False) -> DataFrame:
+    """(seq_idx, seq_id, header, seq, n); records start at lines with >, spaces around lines go; limit keeps the named ones.
 
-    limit keeps the named sequences. A record is one line of a text reader whose lines end before a >, so files are split
-    over tasks; seq_idx follows the order of files and places.
+    A record is one line of a text reader whose lines end before a >, so files are split over tasks; seq_idx follows the
+    order of files and places. preamble: drop text before a file's first header, at the price of another pass.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("value"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq_idx"))
-    body = F.regexp_replace("value", "^[^>]*\n>", ">")  # what comes before the file's first header
-    body = F.when(F.col("value").startswith(">"), F.substr("value", F.lit(2))).when(body.startswith(">"), F.substr(body, F.lit(2))).otherwise(F.col("value"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq_idx"))
+    if preamble:
+        first = raw.groupBy("file").agg(F.min("seq_idx").alias("first"))
+        raw = raw.join(first, "file").where((F.col("seq_idx") > F.col("first")) | F.ltrim("value").startswith(">"))
+    body = F.regexp_replace("value", r"^\s*>", "")
     rows = raw.select("seq_idx", F.split(body, "\n", 2).alias("p"))
     header = F.trim(F.regexp_replace(F.col("p")[0], "[\r\n]", ""))
     seq = F.regexp_replace(F.coalesce(F.try_element_at("p", F.lit(2)), F.lit("")), r"\s", "")
@@ -186,9 +188,9 @@ def read_open_windows(spark: SparkSession, leaf: str, root: str) -> DataFrame:
 
 def read_histograms(spark: SparkSession, path: str) -> DataFrame:
     """(pwm_id, kind, bin_idx, lb, ub, height) of files `<pwm>.hbin`: BG, a blank line, FG; lines `x,lb,ub<tab>height`."""
-    files = spark.read.text(f"{path}/*.hbin", wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.hbin$", "").alias("pwm_id"), F.split(F.regexp_replace(F.trim("value"), "\r", ""), r"\n\s*\n").alias("blocks"))
+    files = spark.read.text(f"{path}/*.hbin", wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.hbin$", "").alias("pwm_id"), F.split(F.regexp_replace("value", r"\r|^\s+|\s+$", ""), r"\n\s*\n").alias("blocks"))
     blocks = files.select("pwm_id", F.posexplode("blocks").alias("k", "block")).where("k < 2")
-    lines = blocks.select("pwm_id", F.when(F.col("k") == 0, "BG").otherwise("FG").alias("kind"), F.posexplode(F.split(F.trim("block"), "\n")).alias("bin_idx", "line"))
+    lines = blocks.select("pwm_id", F.when(F.col("k") == 0, "BG").otherwise("FG").alias("kind"), F.posexplode(F.split("block", "\n")).alias("bin_idx", "line"))
     p = F.split("line", "\t")
     bounds = F.split(p[0], ",")
     return lines.select("pwm_id", "kind", "bin_idx", F.try_element_at(bounds, F.lit(2)).try_cast("double").alias("lb"), F.try_element_at(bounds, F.lit(3)).try_cast("double").alias("ub"), F.try_element_at(p, F.lit(2)).try_cast("double").alias("height"))

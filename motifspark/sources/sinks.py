@@ -14,7 +14,7 @@ TWO, THREE, FOUR = "####0.00", "####0.000", "####0.0000"
 
 
 def number(x: Column, pattern: str) -> Column:
-    return F.format_number(x, pattern)
+    return F.call_function("format_number", x, F.lit(pattern))
 
 
 def hit_lines(hits: DataFrame, what: str = "locations") -> DataFrame:
