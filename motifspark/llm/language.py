@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 DIM = 16
-PER_LANGUAGE, MOST_LANGUAGES = 800, 100  # bounds of the training sample
+PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 800, 100, 8000  # bounds of the training sample
 EPOCHS, RATE = 8, 4.0
 SPAN = 1 << 18  # bytes hashed at once
 UNKNOWN = "und"
@@ -112,13 +112,15 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Mod
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     """Fit on labelled rows that are usable: about per_language of each of the most_languages most frequent languages.
 
-    Rows are chosen by a hash of their id; their subword counts, of at most BUCKETS numbers each, go to the driver.
+    Rows are chosen by a hash of their id, MOST_ROWS at most; their subword counts, of at most BUCKETS numbers each, go to
+    the driver.
     Without a labelled row the model knows no language and answers und.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counted = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counted:
         return Model([], np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 0)), np.zeros(0))
+    per_language = min(per_language, MOST_ROWS // len(counted))
     part = F.element_at(F.create_map(*[F.lit(x) for k, n in counted.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     chance = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(F.col("lang").isin(*counted)).where(chance < part)
@@ -130,7 +132,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.float32).tobytes() for c, a in zip(counts, at, strict=True)], pa.binary())], ["id", "lang", "at", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = chosen.mapInArrow(work, f"id {kind}, lang string, at binary, n binary").orderBy(F.xxhash64(F.lit(12), "id"), "id", "lang", "at", "n").limit(2 * per_language * len(counted)).collect()
+    found = chosen.mapInArrow(work, f"id {kind}, lang string, at binary, n binary").orderBy(F.xxhash64(F.lit(12), "id"), "id", "lang", "at", "n").limit(MOST_ROWS).collect()
     return fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.float32), r.lang) for r in found])
 
 
