@@ -17,6 +17,7 @@ from motifspark.operators.kernel import Scorer
 
 HITS = "strand string, pwm_idx int, pwm_id string, seq_idx bigint, seq_id string, loc bigint, score double"
 PIECE = 1 << 18  # starts of a piece
+SHORT = 1 << 10  # of a piece whose substrings are taken by expressions
 
 
 def pieces(seqs: DataFrame, width: int, window: int, size: int = PIECE) -> DataFrame:
@@ -71,7 +72,7 @@ def _gathered(work):
 
 
 def score_sites_sql(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None) -> DataFrame:
-    """score_sites for equal and global backgrounds in plain expressions over exploded starts."""
+    """score_sites for equal and global backgrounds in plain expressions: every different k-mer is scored once and joined to its starts."""
     bg, spark = scorer.background, seqs.sparkSession
     if bg.kind == "local":
         raise ValueError("local backgrounds are scored by score_sites")
@@ -81,14 +82,17 @@ def score_sites_sql(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None
     b = F.array(*[F.lit(ln(x)) for x in (bg.m0 if bg.kind == "global" else [0.25] * 4)])
     first_order = bg.kind == "global" and bg.m1 is not None
     b1 = F.array(*[F.lit(ln(x)) for row in bg.m1 for x in row]) if first_order else None
-    n = F.length("seq").cast("long")
-    tss = n - (F.floor(n / 2) if nucs_after_tss is None else F.lit(nucs_after_tss))
-    starts = seqs.select("seq_idx", "seq_id", F.upper("seq").alias("seq"), n.alias("n"), tss.alias("tss"))
-    sites = starts.join(F.broadcast(lib.select("w").distinct()), F.col("n") >= F.col("w")).withColumn("j", F.explode(F.expr("sequence(0L, n - w)")))
-    sites = sites.withColumn("kmer", F.substr("seq", (F.col("j") + 1).cast("int"), F.col("w"))).where(F.col("kmer").rlike("^[ACGT]+$"))
+    tss = F.col("n") - (F.floor(F.col("n") / 2) if nucs_after_tss is None else F.lit(nucs_after_tss))
+    width = max((len(p.mat) for p in scorer.pwms), default=1)
+    starts = pieces(seqs, width, 0, SHORT).select("seq_idx", "seq_id", F.upper("piece").alias("piece"), "skip", (F.col("skip") + F.col("own") - 1).alias("last"), (F.col("offset") - tss).alias("shift"))
+    sites = starts.join(F.broadcast(lib.select("w").distinct()), F.length("piece") >= F.col("w"))
+    sites = sites.where(F.least("last", F.length("piece") - F.col("w")) >= F.col("skip"))
+    sites = sites.withColumn("j", F.explode(F.expr("sequence(skip, least(last, length(piece) - w))")))
+    sites = sites.select("seq_idx", "seq_id", (F.col("j") + F.col("shift")).alias("loc"), "w", F.substr("piece", (F.col("j") + 1).cast("int"), F.col("w")).alias("kmer"))
+    sites = sites.where(F.col("kmer").rlike("^[ACGT]+$"))
+    kmers = sites.select("w", "kmer").distinct()
     codes = F.transform(F.split("kmer", ""), lambda c: F.instr(F.lit("ACGT"), c) - 1)
-    sites = sites.withColumn("codes", F.slice(codes, F.lit(1), F.col("w")))
-    scored = sites.join(F.broadcast(lib), "w")
+    scored = kmers.withColumn("codes", F.slice(codes, F.lit(1), F.col("w"))).join(F.broadcast(lib), "w")
 
     def term(i):
         c = F.element_at("codes", i)
@@ -98,8 +102,8 @@ def score_sites_sql(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None
         return above - F.when(i == 1, F.element_at(b, c + 1)).otherwise(F.element_at(b1, F.element_at("codes", F.greatest(i - 1, F.lit(1))) * 4 + c + 1))
 
     score = F.aggregate(F.sequence(F.lit(1), F.col("w")), F.lit(0.0), lambda acc, i: acc + term(i))
-    hits = scored.withColumn("score", score).where((F.col("score") > F.col("cutoff")) & ~F.isnan("score"))
-    return hits.select("strand", "pwm_idx", "pwm_id", "seq_idx", "seq_id", (F.col("j") - F.col("tss")).alias("loc"), "score")
+    scored = scored.withColumn("score", score).where((F.col("score") > F.col("cutoff")) & ~F.isnan("score"))
+    return sites.join(scored.drop("codes", "theta", "cutoff"), ["w", "kmer"]).select("strand", "pwm_idx", "pwm_id", "seq_idx", "seq_id", "loc", "score")
 
 
 def ordered(hits: DataFrame) -> DataFrame:

@@ -465,8 +465,9 @@ scored AS (
 
 def _kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every different 6-mer of the sequences, with the first matrix's lagged score."""
-    seqs = _seqs(spark, sf_dir).where("length(seq) >= 6")
-    mers = seqs.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 5), lambda i: F.substr("seq", i, F.lit(6)))).alias("motif")).distinct()
+    cut = scan.pieces(_seqs(spark, sf_dir), 6, 0, scan.SHORT).withColumn("last", F.least(F.col("skip") + F.col("own"), F.length("piece") - 5))
+    cut = cut.where("last > skip")
+    mers = cut.select(F.explode(F.transform(F.sequence(F.col("skip") + 1, F.col("last")), lambda i: F.substr("piece", i.cast("int"), F.lit(6)))).alias("motif")).distinct()
     theta = F.array(*[F.lit(x) for row in corpus.library(0.01)[0].mat for x in row])
     return mers.withColumn("score", stats.lagged_score(F.col("motif"), theta))
 
