@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bitmap, stored
 
 MODULUS = 2**31 - 1
 BASES = (1_103_515_245, 1_664_525)
@@ -94,13 +94,8 @@ def _sign(docs: DataFrame, parallel_bytes: int, modulus: int) -> DataFrame:
 
 
 def _marked(classes: DataFrame, bits: int) -> bytes:
-    """A bitmap of fixed size of the fingerprints that more than one row has: at most bits / 8 bytes reach the driver."""
-    at = F.pmod(F.col("h1") + F.col("h2") * 7919, F.lit(bits)) + 1  # Spark puts 1 to 32768 into bucket 1, and so on
-    rows = classes.where("n > 1").select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("map"))
-    out = np.zeros(max(bits // 8, 4096), np.uint8)
-    for k, part in rows.collect():
-        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
-    return out.tobytes()
+    """A bitmap of fixed size of the fingerprints that more than one row has."""
+    return bitmap(classes.where("n > 1").select((F.col("h1") + F.col("h2") * 7919).alias("at")), "at", bits)
 
 
 def _collided(docs: DataFrame, marked: bytes, bits: int, piece_bytes: int, modulus: int) -> DataFrame:

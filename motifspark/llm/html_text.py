@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 # fixed values: HTML's element kinds
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select datalist textarea button option optgroup".split())
+HEAD = frozenset("base link meta noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
@@ -53,7 +54,8 @@ class Page(HTMLParser):
     def __init__(self, label: str | None = None):
         super().__init__(convert_charrefs=True)
         self.nodes, self.open = [Node(-1, "body")], [0]
-        self.hidden: list[str] = []
+        self.hidden: list[str] = []  # open elements whose text is not seen
+        self.inside: list[str] = []  # block elements opened in those
         self.parts: list[str] = []
         self.linked, self.in_link = 0, 0
         self.label, self.labels = label, [0]
@@ -61,13 +63,16 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.handle_data(" ")
-        if tag in UNSEEN:
-            self.hidden.append(tag)
+        if tag == "body" or tag == "html" or self.hidden == ["head"] and tag not in HEAD:
+            self.hidden.clear()  # a head ends where its end tag should be
         if tag == "body" or tag == "html":
-            self.hidden.clear()
             return
+        if tag in UNSEEN:
+            self.hidden.append(tag)
         if tag in VOID or tag in UNSEEN or self.hidden:
-            if tag == "hr":
+            if self.hidden and tag not in VOID and tag not in UNSEEN and tag not in INLINE:
+                self.inside.append(tag)
+            elif tag == "hr":
                 self._flush()
             return
         if tag in INLINE:
@@ -93,13 +98,20 @@ class Page(HTMLParser):
         if tag in UNSEEN:
             if tag in self.hidden:
                 del self.hidden[self.hidden.index(tag) :]
+            if not self.hidden:
+                self.inside.clear()
             return
         if tag in INLINE:
             self.in_link -= tag == "a" and self.in_link > 0
             return
-        if self.hidden or tag in VOID or tag in ("body", "html"):
+        if self.hidden and tag in self.inside:
+            del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+            return
+        if tag in VOID or tag in ("body", "html"):
             return
         if any(self.nodes[i].tag == tag for i in self.open[1:]):
+            self.hidden.clear()  # what was opened in the element ends with it
+            self.inside.clear()
             self._flush()
             self.in_link = 0
             while self.nodes[self.open[-1]].tag != tag:

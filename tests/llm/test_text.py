@@ -99,6 +99,14 @@ def test_messages_give_exact_marginals():
     assert np.allclose(p, np.array(on) / total)
 
 
+def test_unclosed_elements_hide_no_more_than_they_must():
+    seen = lambda page: [n.text for n in html_text.read_page(page) if n.text is not None]
+    assert seen("<head><title>t</title><p>one<p>two") == ["one", "two"]
+    assert seen("<div><button>press<p>x</p></div><p>after</p>") == ["after"]
+    assert seen("<div>a<svg><text>no</text></svg>b<select><option>c</div>d") == ["ab", "d"]
+    assert seen("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>d<td>e</table>f") == ["a", "b", "c", "d", "e", "f"]
+
+
 def test_pages(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>A  title</h1><p>First &amp; <b>bold\n text<br>here.<p>Second &eacute;&#33; <!-- no --> part.</p></article><div class='ad'>Buy this now.</div><section id=comments><p>I like it.</p></section><footer>&copy; me</footer></body></html>"
     rows = [(1, "u", page, "old"), (2, None, None, "old"), (3, "u", "", "old"), (4, "u", "<<<>>&nope; <p", "old"), (1, "u", page, "old"), (None, "u", "<article>" + "<p>Some words are here.</p>" * 3000 + "</article>", "old")]
