@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,8 +25,8 @@ from .common import power_of_two, stored
 
 CAPACITY = 2048
 CLOSE = b"\0\0\0\0"
-KEEP_WORDS = 400_000  # encoded words that a worker remembers
-_TAIL = re.compile(rb"([a-z])([.,])(?=[ \t\n\v\f\r]|$)")
+KEEP_WORDS = 1_200_000  # encoded words that a worker remembers, some 250 MB
+_TAIL = re.compile(rb"[.,](?<=[a-z].)(?!\S)")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -88,8 +90,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
+@lru_cache(1)
 class Encoder:
-    """Encodes words with a tokenizer file and remembers them; the tokenizer never looks past white space."""
+    """Encodes words with a tokenizer file and remembers them, from task to task; the tokenizer never looks past white space."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -103,14 +106,14 @@ class Encoder:
         A file whose tokenizer lower-cases and drops white space is asked for; words are cut at ASCII white space, and a
         full stop or comma after a letter is a word of its own, as it is for the tokenizer. Texts with a marker keep their case.
         """
-        cut = [_TAIL.sub(rb"\1 \2", x if b"<|" in x else x.lower()).split() for x in texts]
+        cut = [_TAIL.sub(rb" \g<0>", x if b"<|" in x else x.lower()).split() for x in texts]
         if len(self.known) > KEEP_WORDS:
             self.known.clear()
         new = list({w for words in cut for w in words} - self.known.keys())
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
