@@ -17,6 +17,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers.
@@ -109,12 +113,26 @@ class Encoder:
         cut = [_TAIL.sub(rb" \g<0>", x if b"<|" in x else x.lower()).split() for x in texts]
         if len(self.known) > KEEP_WORDS:
             self.known.clear()
-        new = list({w for words in cut for w in words} - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        self._learn(list(set().union(*cut).difference(self.known)))
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words: those of letters alone many at once, cut again at the tokens that end words; the others one by one."""
+        rest = []
+        for at in range(0, len(words), 1000):
+            texts = {w: w.decode("utf-8", "replace") for w in words[at : at + 1000]}
+            plain = [w for w, s in texts.items() if s.isalpha()]
+            ids = np.array(self.tokenizer.encode(" ".join(texts[w] for w in plain), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(plain):  # some word is cut otherwise
+                plain, ends = [], ends[:0]
+            data = ids.tobytes()
+            self.known.update((w, data[a:b]) for w, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist()))
+            rest += texts.keys() - set(plain)
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
             for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 self.known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
