@@ -24,7 +24,7 @@ ROUNDS = 24  # of the permutations
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5  # of all words, that the mix holds
 CAP = 2.0  # times its own size, that a source may give
-CHUNK = 1 << 16  # slots that one row of the slot table is expanded to
+CHUNK = 1 << 12  # slots that one row of the slot table is expanded to
 SEED = 20
 
 
@@ -120,7 +120,9 @@ def _slots(sources: DataFrame, block: int) -> DataFrame:
     epochs = epochs.withColumn("n_slots", F.least(n, F.col("full") + more.cast("long")))
     before = Window.orderBy(F.col("source").asc_nulls_last(), "epoch").rowsBetween(Window.unboundedPreceding, -1)
     epochs = epochs.withColumns({"base": F.coalesce(F.sum("n_slots").over(before), F.lit(0)), "all_slots": F.sum("n_slots").over(Window.partitionBy())})
-    chunks = epochs.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})"))).repartition("source", "epoch", "chunk")
+    # with a number Spark does not put the few chunk rows together again: all the work comes after them
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = epochs.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})"))).repartition(parts, "source", "epoch", "chunk")
     slots = chunks.withColumn("i", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n_slots, (chunk + 1) * {CHUNK}) - 1)")))
     slots = slots.withColumns({"block": permuted(i, n, key), "slot": permuted(F.col("base") + i, F.col("all_slots"), F.lit("slots"))})
     done = i * block - F.when(F.col("short") < i, block - F.col("last")).otherwise(0)
