@@ -2,7 +2,8 @@
 
 Every 100-byte window has a key that only its content decides: the smallest hash of its 40-byte strings. Runs of windows
 with one key are regions of some 130 bytes, and all copies of a window lie in regions of its key. Regions whose key occurs
-once in the corpus hold no repeat and go. The others are dealt to shards by key. A shard sorts the suffixes of its regions
+once in the corpus hold no repeat and go, unless the gram of the key recurs in the text: a periodic region may repeat
+windows of its own, so it counts twice. The others are dealt to shards by key. A shard sorts the suffixes of its regions
 by Larsson-Sadakane refinement, takes common prefixes with Kasai's algorithm (regions are its lanes), and of every set of
 equal windows keeps the earliest. Keys with very many regions are cut into several shards; the windows that each of those
 keeps are merged by binary search. Whole copies of a document are found first and enter only once.
@@ -34,8 +35,8 @@ NO_ID = -(2**63)  # stands for a null id, before all others
 SEPARATOR = b"\xff"  # not a byte of UTF-8
 
 
-def window_keys(data: np.ndarray) -> np.ndarray:
-    """Key of every window of data: the minimum over its 61 grams of a mixed polynomial hash."""
+def window_keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every window of data, the minimum over its 61 grams of a mixed polynomial hash; and the hash of every gram."""
     step, power, n = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x9E3779B97F4A7C15), 1
     hashes = {1: data.astype(np.uint64) + np.uint64(1)}
     with np.errstate(over="ignore"):
@@ -51,22 +52,33 @@ def window_keys(data: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
+    grams = h
     for k in (1, 2, 4, 8, 16):
         h = np.minimum(h[:-k], h[k:])
-    return np.minimum(h[:-29], h[29:])
+    return np.minimum(h[:-29], h[29:]), grams
 
 
-def regions(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys, first and last windows of the regions of data, a span of it at a time."""
+def regions(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, first and last windows of the regions of data, and its gram hashes, a span of it at a time."""
     for at in range(0, len(data) - WINDOW + 1, SPAN):
         part = np.frombuffer(data, np.uint8, min(SPAN + WINDOW - 1, len(data) - at), at)
-        keys = window_keys(part)
+        keys, grams = window_keys(part)
         cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         end = np.append(cut[1:], len(keys))
         if (end - cut).max() > LONGEST:
             cut = np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(cut, end, strict=True)])
             end = np.append(cut[1:], len(keys))
-        yield keys[cut].view(np.int64), cut + at, end + at - 1
+        yield keys[cut].view(np.int64), cut + at, end + at - 1, grams.view(np.int64)
+
+
+def _counted(data: bytes) -> Iterator[np.ndarray]:
+    """Keys of the regions of data; those whose gram recurs in their span twice, as equal windows of one region share it."""
+    for keys, _, _, grams in regions(data):
+        yield keys
+        grams = np.sort(grams)
+        again = grams[1:][grams[1:] == grams[:-1]]
+        if len(again):
+            yield keys[np.isin(keys, again)]
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,12 +251,12 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _count_keys(texts: DataFrame) -> DataFrame:
-    """(key, n) of keys that more than one region has."""
+    """(key, n) of keys that more than one region has, or one region that may repeat windows of its own and counts twice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                keys = [k for x in whole.column(0).slice(at, 256).to_pylist() for k, _, _ in regions(x)]
+                keys = [k for x in whole.column(0).slice(at, 256).to_pylist() for k in _counted(x)]
                 key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
@@ -252,7 +264,7 @@ def _count_keys(texts: DataFrame) -> DataFrame:
 
 
 def _shared_regions(texts: DataFrame, counts: DataFrame, n_keys: int, most_bits: int) -> DataFrame:
-    """(key, id, mark, first, last, bytes) of regions whose key occurs more than once.
+    """(key, id, mark, first, last, bytes) of regions whose key counts more than once.
 
     Within the bound, a broadcast bitmap of the keys tells them (a few others may come along) and a task drops the bytes of
     regions that it has seen before; beyond it, regions are joined with the keys and then with their texts.
@@ -269,7 +281,7 @@ def _shared_regions(texts: DataFrame, counts: DataFrame, n_keys: int, most_bits:
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             for who, mark, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                for keys, first, last in regions(data):
+                for keys, first, last, _ in regions(data):
                     at = np.flatnonzero(in_bitmap(marked.value, keys, bits))
                     for key, a, b in zip(keys[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True):
                         part, mine = data[a : b + WINDOW], (who, mark, a)
@@ -296,7 +308,7 @@ def _rows(cols: tuple[list, ...]) -> pa.RecordBatch:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for who, mark, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            for keys, first, last in regions(data):
+            for keys, first, last, _ in regions(data):
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, who)), pa.array(np.full(n, mark)), pa.array(keys), pa.array(first), pa.array(last)], ["id", "mark", "key", "first", "last"])
 

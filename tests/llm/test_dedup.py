@@ -234,6 +234,18 @@ def test_repeated_strings(spark, options):
         assert sum(s.end - s.first for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
 
 
+@pytest.mark.parametrize("options", [{}, {"split": 1}, {"most_bits": 8}], ids=["plain", "cut keys", "joined"])
+def test_strings_repeated_in_one_region(spark, options):
+    """Unique periodic runs of so few windows that they are one region, alone and amid other words."""
+    runs = ["a" * 101, "b" * 120, "xyzq" * 32, "=-" * 70, "lol " * 33, "a phrase that comes again, and then ... " * 4, "c" * 100, "d" * 163, "e" * 165]
+    words = lambda: " ".join(f"w{R.randrange(10**9)}" for _ in range(30))
+    rows = dict(enumerate([*runs, *(f"{words()} {x.swapcase()} {words()}" for x in runs if x[0].isalpha())]))
+    want = strings_wanted(rows)
+    assert want[1][1] == 119 and sum(w[1] > 0 for w in want.values()) >= 14
+    got = suffix_dedup.repeated_spans(docs_frame(spark, rows.items()), **options).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 def test_repeated_strings_edges(spark):
     assert suffix_dedup.repeated_spans(docs_frame(spark, [])).count() == 0
     text = "".join(R.choice("abc") for _ in range(150))
