@@ -2,13 +2,16 @@
 
 A text is lower-cased, all but letters become blanks, and its byte 2- to 4-grams without an inner blank are hashed into
 `BUCKETS`. Their embeddings are averaged and classified; both layers are trained by stochastic gradient descent in numpy
-on a bounded sample of labelled rows. A temperature and a threshold, set on rows held back from the sample, calibrate
-the score and the rejection.
+on a bounded sample of labelled rows, with one more class for texts of no language: rows of the sample whose letters are
+shuffled or drawn anew. A temperature and a threshold, set on rows held back from the sample, calibrate the score and the
+rejection: a text goes when its best language leads the class of no language by less than the threshold.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +27,7 @@ PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 800, 100, 8000  # bounds of the traini
 EPOCHS, RATE = 8, 4.0
 SPAN = 1 << 18  # bytes hashed at once
 UNKNOWN = "und"
+KEPT = 0.998  # least share of the rightly classified held-back rows that the rejection keeps
 _LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 32, np.uint32)
 _CLASS[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
@@ -50,14 +54,28 @@ def subwords(text: str) -> np.ndarray:
     return counts
 
 
+def no_language(text: str) -> str:
+    """text with its letters shuffled or, one time in two, drawn from a to z; the same for the same text."""
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    letters = _LETTER.findall(text.lower())
+    if rng.random() < 0.5:
+        letters = rng.choices("abcdefghijklmnopqrstuvwxyz", k=len(letters))
+    else:
+        rng.shuffle(letters)
+    new = iter(letters)
+    return _LETTER.sub(lambda _: next(new), text.lower())
+
+
 @dataclass
 class Model:
+    """The last column of weights and bias is the class of no language."""
+
     languages: list[str]
     embedding: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    reject_below: float = 0.0
+    reject_below: float = -np.inf
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(counts)
@@ -68,9 +86,10 @@ class Model:
         """Language, calibrated score and whether it is rejected; und, 0, True without a letter or without a model."""
         if not isinstance(text, str) or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        p = _softmax(self.logits(subwords(text)) / self.temperature)
+        z = self.logits(subwords(text))
+        p = _softmax(z[:-1] / self.temperature)
         k = int(p.argmax())
-        return self.languages[k], float(p[k]), bool(p[k] < self.reject_below)
+        return self.languages[k], float(p[k]), bool(_lead(z) < self.reject_below)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -78,12 +97,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model:
-    """Train on (buckets, counts, language) samples; every fifth one calibrates instead."""
-    languages = sorted({x[2] for x in samples})
+def _lead(z: np.ndarray) -> float:
+    """Logit of the best language above that of no language."""
+    return float(z[:-1].max() - z[-1])
+
+
+def fit(samples: list[tuple[np.ndarray, np.ndarray, str | None]], seed: int = 7) -> Model:
+    """Train on (buckets, counts, language) samples, of no language where it is null; every fifth one calibrates instead."""
+    languages = sorted({x[2] for x in samples if x[2] is not None})
+    classes = [*languages, None]
     rng = np.random.default_rng(seed)
-    model = Model(languages, rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages)))
-    rows = [(at, (c / max(1, c.sum())).astype(np.float32), languages.index(x)) for at, c, x in samples]
+    model = Model(languages, rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, len(classes))), np.zeros(len(classes)))
+    rows = [(at, (c / max(1, c.sum())).astype(np.float32), classes.index(x)) for at, c, x in samples]
     held, train = rows[::5], [x for i, x in enumerate(rows) if i % 5] or rows
     steps, done = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
@@ -98,38 +123,48 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Mod
             model.bias -= 0.02 * rate * error
             model.embedding[at] -= np.float32(rate) * np.outer(w / (w.max() if len(w) else 1), back) * np.float32(0.1)
             done += 1
-    if held:
-        z = np.array([(w @ model.embedding[at]) @ model.weights + model.bias for at, w, _ in held])
-        y = np.array([x[2] for x in held])
-        loss = lambda t: -np.mean([np.log(_softmax(a / t)[b] + 1e-300) for a, b in zip(z, y, strict=True)])
+    leads: tuple[list[float], list[float]] = ([], [])  # of right rows, and of rows of no language
+    z = [((w @ model.embedding[at]) @ model.weights + model.bias, y) for at, w, y in held]
+    named = [(a[:-1], y) for a, y in z if y < len(languages)]
+    if named:
+        loss = lambda t: -np.mean([np.log(_softmax(a / t)[b] + 1e-300) for a, b in named])
         model.temperature = float(min(np.geomspace(1, 8, 13), key=loss))
-        sure = np.array([p.max() for a, b in zip(z, y, strict=True) if (p := _softmax(a / model.temperature)).argmax() == b])
-        # documents that are sure of nothing go: at most half the confidence of the least sure right ones, and of one half
-        model.reject_below = 0.5 * float(min(0.5, *np.quantile(sure, [0.002]))) if len(sure) else 0.0
+    for a, y in z:
+        if y == len(languages) or a[:-1].argmax() == y:
+            leads[y == len(languages)].append(_lead(a))
+    if leads[0] and leads[1]:
+        # half-way between the two where they lie apart, and never so high that more than 1 - KEPT of the right rows go
+        right, none = np.quantile(leads[0], 1 - KEPT), np.quantile(leads[1], 0.99)
+        model.reject_below = float(min(right, (right + none) / 2))
     return model
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     """Fit on labelled rows that are usable: about per_language of each of the most_languages most frequent languages.
 
-    Rows are chosen by a hash of their id, MOST_ROWS at most; their subword counts, of at most BUCKETS numbers each, go to
-    the driver.
+    Rows are chosen by a hash of their id, and as many as a language has are repeated as texts of no language, MOST_ROWS at
+    most in all; their subword counts, of at most BUCKETS numbers each, go to the driver.
     Without a labelled row the model knows no language and answers und.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counted = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counted:
-        return Model([], np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 0)), np.zeros(0))
-    per_language = min(per_language, MOST_ROWS // len(counted))
+        return Model([], np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 1)), np.zeros(1))
+    per_language = min(per_language, MOST_ROWS // (len(counted) + 1))
     part = F.element_at(F.create_map(*[F.lit(x) for k, n in counted.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     chance = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(F.col("lang").isin(*counted)).where(chance < part)
+    again = F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(len(counted))) == 0
+    chosen = chosen.select("id", "text", "lang", again.alias("again"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [subwords(x) for x in batch.column(1).to_pylist()]
+            ids, texts, langs, again = (x.to_pylist() for x in batch.columns)
+            more = [i for i, x in enumerate(again) if x and _LETTER.search(texts[i])]
+            counts = [subwords(x) for x in [*texts, *(no_language(texts[i]) for i in more)]]
+            ids, langs = [*ids, *(ids[i] for i in more)], [*langs, *(None for _ in more)]
             at = [np.flatnonzero(c) for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.float32).tobytes() for c, a in zip(counts, at, strict=True)], pa.binary())], ["id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(langs, pa.string()), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.float32).tobytes() for c, a in zip(counts, at, strict=True)], pa.binary())], ["id", "lang", "at", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = chosen.mapInArrow(work, f"id {kind}, lang string, at binary, n binary").orderBy(F.xxhash64(F.lit(12), "id"), "id", "lang", "at", "n").limit(MOST_ROWS).collect()
@@ -148,7 +183,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects (no letter, or a score below its threshold)."""
+    """docs without the rows that the model rejects (no letter, or too little lead over texts of no language)."""
     marked = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text_")), model, "text_")
     return marked.where(~F.col("found.rejected")).select("row.*")
 

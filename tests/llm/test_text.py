@@ -203,6 +203,20 @@ def test_language_edges(spark):
     assert language.train(df.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).languages == []
 
 
+def test_texts_of_no_language_are_rejected(spark):
+    """Held-out documents stay; their letters shuffled, words of random letters and other scripts go."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs, ~language.held_out())
+    clean = [r.text for r in docs.where(language.held_out()).select("text").collect()]
+    rng = random.Random(9)
+    noise = ["".join(rng.sample(list(x), len(x))) for x in clean if len(x) > 100]
+    noise += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (5, 20, 100) * 20]
+    assert not any(model.predict(x)[2] for x in clean)
+    assert np.mean([model.predict(x)[2] for x in noise]) >= 0.95
+    rows = [(1, clean[0]), (2, noise[-1]), (3, "Это русский текст о погоде")]
+    assert [r.doc_id for r in language.keep_identified(docs_frame(spark, rows), model).collect()] == [1]
+
+
 def test_subwords_of_spans_add_up():
     text = "Die Straße, der Weg; l'été " * 20_000
     whole = language.subwords(text)
