@@ -1,7 +1,8 @@
 """Operator 1: near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A bounded sample teaches rotations of the principal axes (Gong and Lazebnik 2011); thresholds at the sample's medians make
-every bit of the codes balanced. The bits are cut into substrings, one for each table; vectors of a label that agree on a
+every bit of the codes balanced. The bits are cut into substrings, one for each table, and there are more tables the wider
+the substrings, so that the chance to miss a pair at the threshold stays the same; vectors of a label that agree on a
 substring are candidates, and their cosine is computed from the original vectors in double precision. Equal vectors are
 one class. Buckets are dealt out in pairs of blocks; a task returns link counts and a spanning forest, never the pairs.
 """
@@ -20,7 +21,8 @@ from .common import block_pairs, components, forest, in_bins, stored
 
 COSINE = 0.93
 SAMPLE = 10_000  # vectors that the rotations are learned from
-TABLES = 16
+TABLES = 16  # at least
+RECALL = 0.98  # least chance that a pair at the threshold agrees in some table
 BLOCK = 1024
 BUCKET = 32  # vectors of a bucket that substrings are made for
 LEAST_BITS, MOST_BITS = 8, 20  # of a substring
@@ -44,6 +46,12 @@ def rotations(sample: np.ndarray, n_bits: int, rounds: int = 30, seed: int = 5)
     return projection, np.median(sample @ projection, 0)
 
 
+def n_tables(width: int, cosine: float) -> int:
+    """Tables of `width` bits in which vectors at this cosine agree on a substring with a chance of RECALL; a bit agrees by their angle."""
+    agree = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** width
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log1p(-agree))) if 0 < agree < 1 else TABLES
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(1, keepdims=True)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
@@ -58,10 +66,10 @@ def _stack(column: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-def substrings(classes: DataFrame, sample: np.ndarray, width: int) -> DataFrame:
+def substrings(classes: DataFrame, sample: np.ndarray, width: int, tables: int) -> DataFrame:
     """classes with codes, an array of one substring of `width` bits for each table."""
     dim = sample.shape[1]
-    projection, thresholds = rotations(_unit(sample), TABLES * width)
+    projection, thresholds = rotations(_unit(sample), tables * width)
     model = classes.sparkSession.sparkContext.broadcast((projection, thresholds))
     weights = 1 << np.arange(width)
 
@@ -70,7 +78,7 @@ def substrings(classes: DataFrame, sample: np.ndarray, width: int) -> DataFrame:
         p, t = model.value
         rows = _stack(vectors, dim)
         bits = _unit(np.where(rows.any(1, keepdims=True), rows, 1.0)) @ p > t
-        return pd.Series(list(bits.reshape(len(bits), TABLES, width) @ weights))
+        return pd.Series(list(bits.reshape(len(bits), tables, width) @ weights))
 
     return classes.withColumn("codes", codes("vector"))
 
@@ -104,7 +112,7 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     Vectors link when their labels are equal and not null, their lengths equal, and their cosine, in double precision, is at
     least `cosine`. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows
     without an id; they are components of their own. Rows that repeat an id are vectors of their own in n_links, and one node of
-    the components. Without `width`, substrings get so many bits that a bucket holds about `BUCKET` classes of a label.
+    the components. Without `width`, substrings get so many bits that a bucket holds about `BUCKET` classes of a label. The number of tables follows from the width, see `n_tables`.
     """
     vector = F.col("vector")
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & vector.isNotNull() & F.exists(vector, lambda x: x != 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -119,7 +127,7 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
         if width is None:
             busiest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
             width = max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(busiest / BUCKET + 1))))
-        coded = stored(substrings(classes, _stack(sample, dim), width))
+        coded = stored(substrings(classes, _stack(sample, dim), width, n_tables(width, cosine)))
         keys = ["label", "size", "t", "code"]
         dealt = coded.select("*", F.posexplode("codes").alias("t", "code"))
         counts = stored(dealt.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))

@@ -193,6 +193,23 @@ def test_vector_recall_at_the_threshold(spark):
     assert sum(r.n_links for r in got.collect()) >= 0.9 * 3000
 
 
+@pytest.mark.parametrize("width", [12, 16, 20])
+def test_vector_recall_of_wide_substrings(spark, width):
+    """As many pairs at the threshold are found with the widths of large labels."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * noise
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((x, y)))]
+    got = vector_dedup.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), width=width)
+    found = sum(r.n_links for r in got.collect()) / 3000
+    print(f"width {width}: recall {found:.3f}")
+    assert found >= 0.95
+
+
 # ---- repeated strings
 
 
