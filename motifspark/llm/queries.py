@@ -35,7 +35,9 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.personal_data(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in personal_data.KINDS]
     digest = F.sha2(F.expr(personal_data.written("base")), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, F.expr(personal_data.written("concat(base, added)")).alias("spans"))
+    learned = [F.expr(f"cast(size(filter(added, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in personal_data.LEARNED]
+    spans = F.expr(personal_data.written("concat(base, added)")).alias("spans")
+    return found.select("doc_id", *counts, digest, spans, *learned, (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
