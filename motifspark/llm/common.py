@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -29,18 +31,44 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+_folder: ContextVar[str] = ContextVar("folder", default="")  # of the scratch tables of a step, see own_scratch
+
+
+def _path(spark: SparkSession, *parts: str) -> str:
+    return "/".join([scratch_dir(spark), f"motifspark-{spark.sparkContext.applicationId}", *filter(None, parts)])
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    keep: the table outlives the step that own_scratch cleans up after.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/motifspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = _path(spark, "" if keep else _folder.get(), uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within, but for kept ones, are deleted at the end, also after an error."""
+    folder = uuid.uuid4().hex
+    before = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        _delete(spark, _path(spark, folder))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every table that stored() wrote in this session; results that still read them become invalid."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/motifspark-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _path(spark))
 
 
 def power_of_two(n: float, least: int, most: int) -> int:
@@ -98,6 +126,24 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).first())
 
 
+def only_kept(docs: DataFrame, keys: list[Column], kept: DataFrame) -> DataFrame:
+    """The rows of docs whose keys are those of a row of kept, one for each of its rows.
+
+    kept: (the keys' columns, in order; n), one row per key with the number of rows of docs that have it. Keys compare null-safely.
+    Of several rows with the same keys the one with the smallest hash stays, found by partial aggregation. All columns of
+    docs stay; names used here cannot clash with them.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(f"key{i}") for i, k in enumerate(keys)])
+    names = [c for c in kept.columns if c != "n"]
+    same = [F.col(f"key{i}").eqNullSafe(F.col(f"kept{i}")) for i in range(len(keys))]
+    held = kept.select(*[F.col(c).alias(f"kept{i}") for i, c in enumerate(names)], F.col("n").alias("times"))
+    out = rows.join(held, same)
+    if not kept.where("n > 1").isEmpty():
+        again = out.where("times > 1").groupBy(*[f"key{i}" for i in range(len(keys))]).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.where("times = 1").select("row").unionByName(again.select("row"))
+    return out.select("row.*")
+
+
 def block_pairs(rows: DataFrame, sizes: DataFrame, keys: list[str], spread: list[str], block: int) -> DataFrame:
     """Cut every group of rows into blocks of about `block` rows and deal out each pair of blocks.
 
@@ -111,14 +157,25 @@ def block_pairs(rows: DataFrame, sizes: DataFrame, keys: list[str], spread: list
     return out.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "nb")
 
 
+def bins_for(sizes: DataFrame, block: int, rows: int) -> int:
+    """Bins that hold about so many rows each, of the rows that block_pairs makes of groups of these sizes."""
+    dealt = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(block)))).first()[0]
+    return 16 + int(dealt or 0) // rows
+
+
 def in_bins(rows: DataFrame, keys: list[str], n_bins: int, work: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Apply work to every group of rows that agree in keys; many groups share one call, chosen by hash."""
+    """Apply work to every group of rows that agree in keys; many groups share one call, chosen by hash.
+
+    There are as many partitions as bins allow, so that a task's share does not grow with the table.
+    """
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [out for _, group in pdf.groupby(keys, sort=False) for out in work(group)]
         return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(",")})
 
-    return rows.withColumn("bin", F.pmod(F.xxhash64(F.lit(29), *keys), F.lit(n_bins))).groupBy("bin").applyInPandas(apply, schema)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bins // 8)
+    binned = rows.withColumn("bin", F.pmod(F.xxhash64(F.lit(29), *keys), F.lit(n_bins)))
+    return binned.repartition(parts, "bin").groupBy("bin").applyInPandas(apply, schema)
 
 
 def forest(linked: np.ndarray) -> np.ndarray:

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, stored
+from .common import bitmap, only_kept, power_of_two, stored
 
 MODULUS = 2**31 - 1
 BASES = (1_103_515_245, 1_664_525)
 CHUNK = 1 << 16  # bytes hashed by one dot product: sums stay below 2^63
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEYS = ["n_bytes", "h1", "h2"]
+MOST_BITS = 1 << 29  # of the broadcast bitmap: 64 MB
 
 
 @lru_cache(8)
@@ -117,18 +118,19 @@ def _collided(docs: DataFrame, marked: bytes, bits: int, piece_bytes: int, modul
     return rows.groupBy(*KEYS, "part").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("lo <> hi").select(*KEYS).distinct()
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parallel_bytes: int = 4 << 20, piece_bytes: int = 1 << 20, bits: int = 1 << 24, modulus: int = MODULUS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parallel_bytes: int = 4 << 20, piece_bytes: int = 1 << 20, most_bits: int = MOST_BITS, modulus: int = MODULUS) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they agree after lower-casing A-Z; null counts as empty. The row with the largest id of
     a group stays. Rows that repeat an id count as rows of their group and are marked alike; a null id ranks below
     all others, and a group of null ids alone has keep_id null and is kept. Other columns are not looked at.
-    `bits` bounds the broadcast bitmap that spares unique texts the comparison; more duplicates than it can hold
-    only mean that more texts are compared.
+    A broadcast bitmap of 16 bits for each fingerprint that several rows have, at most `most_bits`, spares unique texts the
+    comparison; beyond it more of them are compared. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     signed = stored(_sign(rows, parallel_bytes, modulus))
     counted = stored(signed.groupBy(*KEYS).agg(F.count("*").alias("n")))
+    bits = power_of_two(16 * counted.where("n > 1").count(), 1 << 20, most_bits)
     collided = stored(_collided(rows, _marked(counted, bits), bits, piece_bytes, modulus))
     if not collided.isEmpty():
         bad = collided.withColumn("bad", F.lit(True))
@@ -142,6 +144,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups does not keep; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of docs for each group of equal texts, with all its columns: the one of the largest id.
+
+    A null id stays only where a group has no other. Of rows that repeat id and text (but for the case of A-Z) one stays, the
+    one with the smallest hash of the whole row. Rows of other texts that repeat an id are not touched. An empty table gives
+    an empty one.
+    """
+    kept = exact_groups(docs, id_col, text_col).where(F.col("kept")).groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).agg(F.count("*").alias("n"))
+    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).cast("binary"), 256)
+    return only_kept(docs, [F.col(id_col), sha], stored(kept))

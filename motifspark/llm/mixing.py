@@ -156,6 +156,8 @@ def mixed_texts(docs: DataFrame, m: Mix, id_col: str = "doc_id", text_col: str =
     """The documents of the mix: all columns of docs, one row for each epoch that takes words of a document.
 
     A text that is taken whole stays as it is; of others the taken runs of words stay, each with the white space that follows it.
+    Null texts and texts without a word are never taken; null ids and sources are like any other; rows that repeat id, text and
+    source are taken each for itself, in the order of their hashes; columns may have any name; an empty table gives an empty one.
     """
     runs = m.pieces.groupBy(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("no_name"), "start", "epoch")
     runs = runs.agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("first", F.col("words").alias("n")))).alias("runs"))
@@ -165,11 +167,13 @@ def mixed_texts(docs: DataFrame, m: Mix, id_col: str = "doc_id", text_col: str =
     # rows that repeat id, source and text have places of their own in the stream: the n-th row takes the n-th place
     place = Window.partitionBy("m_id", "m_mark", "name", "no_name").orderBy("m_start")
     wanted = wanted.withColumn("m_no", F.dense_rank().over(place))
-    rows = docs.withColumns({"d_id": F.col(id_col), "d_mark": F.xxhash64(text_col), "d_name": F.coalesce(source_col, F.lit("")), "d_no_name": F.col(source_col).isNull()})
-    rows = rows.withColumn("d_no", F.row_number().over(Window.partitionBy("d_id", "d_mark", "d_name", "d_no_name").orderBy(F.lit(0))))
+    # the row is one column here, so that no name of docs can clash with those used in between
+    row = lambda c: F.col(f"row.`{c}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumns({"d_id": row(id_col), "d_mark": F.xxhash64(row(text_col)), "d_name": F.coalesce(row(source_col), F.lit("")), "d_no_name": row(source_col).isNull()})
+    rows = rows.withColumn("d_no", F.row_number().over(Window.partitionBy("d_id", "d_mark", "d_name", "d_no_name").orderBy(F.xxhash64("row"))))
     same = F.col("m_id").eqNullSafe(F.col("d_id")) & (F.col("m_mark") == F.col("d_mark")) & (F.col("name") == F.col("d_name")) & (F.col("no_name") == F.col("d_no_name")) & (F.col("m_no") == F.col("d_no"))
-    tokens = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    tokens = F.regexp_extract_all(row(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     some = F.array_join(F.flatten(F.transform("m_runs", lambda r: F.slice(tokens, (r["first"] + 1).cast("int"), r["n"].cast("int")))), "")
-    text = F.when(F.col("m_words") == F.col("m_size"), F.col(text_col)).otherwise(some)
-    out = rows.join(wanted, same).withColumn(text_col, text)
-    return out.select(*docs.columns)
+    text = F.when(F.col("m_words") == F.col("m_size"), row(text_col)).otherwise(some)
+    return rows.join(wanted, same).select(*[(text if c == text_col else row(c)).alias(c) for c in docs.columns])

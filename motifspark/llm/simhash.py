@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, forest, in_bins, stored
+from .common import bins_for, block_pairs, components, forest, in_bins, only_kept, stored
 
 SEED = 42
 BLOCK = 1024  # fingerprints of a block
@@ -41,14 +41,16 @@ def simhash(data: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
-    """(id, fp) of each row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    """(id, mark, fp) of each row; mark is a hash of the text as it is."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("data"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash(x, width) for x in batch.column(1).to_pylist()], pa.int64())], ["id", "fp"])
+            prints = [simhash(x, width) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], ["id", "mark", "fp"])
 
-    return rows.mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, mark bigint, fp bigint")
 
 
 def _nibble_counts(half: Column) -> Column:
@@ -81,13 +83,26 @@ def _linked(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b) whose components are those of all pairs of distinct fingerprints (column fp) at 2 or fewer differing bits."""
-    points = distinct.select("fp", F.explode(unit_ball(cell(F.col("fp")))).alias("point"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = distinct.select("fp").repartition(parts, "fp")  # the few files of the table would make few tasks
+    points = stored(balls.select("fp", F.explode(unit_ball(cell(F.col("fp")))).alias("point")))
     met = stored(points.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b").distinct()
     full = met.where("n > 2")
-    rows = full.agg(F.sum("n")).first()[0] or 0
     dealt = block_pairs(points, full, ["point"], ["fp"], BLOCK)
-    return pairs.unionByName(in_bins(dealt, ["point", "lo", "hi"], 64 + int(rows) // 20_000, _linked, "a bigint, b bigint").distinct())
+    return pairs.unionByName(in_bins(dealt, ["point", "lo", "hi"], bins_for(full, BLOCK, 20_000), _linked, "a bigint, b bigint").distinct())
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, mark, fp, root, component_id) of each row."""
+    prints = stored(fingerprints(docs, id_col, text_col, width))
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    rooted = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = stored(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"))
+    # the fingerprint of empty texts may be that of a third of all rows: it is looked up without a shuffle of those
+    hot = prints.where("fp = 0").join(F.broadcast(named.where("fp = 0")), "fp")
+    return prints.where("fp <> 0").join(named, "fp").unionByName(hot)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -98,16 +113,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest id reachable over links of 2 or fewer differing bits; null ids are passed over, and a component of null
     ids alone has null. Rows that repeat an id are fingerprinted one by one. Other columns are not looked at.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, width))
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted)
-    named = stored(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _components(docs, id_col, text_col, width)
+    return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with only the smallest id of each component; rows of null id in a component with other ids go."""
-    gone = simhash_groups(docs, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)
-    return docs.join(gone.distinct(), id_col, "left_anti").select(*docs.columns)
+    """One row of docs for each component, with all its columns: the one of the smallest id.
+
+    Null ids come last, so one of them stays only where a component has no other. Of rows of a component that repeat its
+    smallest id the one with the smallest fingerprint stays, then the smallest hash of the text, then of the row. Rows of
+    other components that repeat an id are not touched. An empty table gives an empty one.
+    """
+    rows = stored(_components(docs, id_col, text_col, 3))
+    first = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id", "fp", "mark").agg(F.count("*").alias("n"))
+    first = first.groupBy("root").agg(F.min(F.struct("fp", "mark", "id", "n")).alias("x"))
+    return only_kept(docs, [F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))], stored(first.select("x.id", "x.mark", "x.n")))

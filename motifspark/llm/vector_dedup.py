@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, forest, in_bins, stored
+from .common import bins_for, block_pairs, components, forest, in_bins, stored
 
 COSINE = 0.93
 SAMPLE = 10_000  # vectors that the rotations are learned from
@@ -131,9 +131,8 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
         keys = ["label", "size", "t", "code"]
         dealt = coded.select("*", F.posexplode("codes").alias("t", "code"))
         counts = stored(dealt.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
-        bins = 16 + int(counts.agg(F.sum("n")).first()[0] or 0) // 8192
         met = block_pairs(dealt, counts, keys, ["rep", "vector"], BLOCK)
-        found = stored(in_bins(met, [*keys, "lo", "hi"], bins, lambda g: _linked(g, cosine), "a bigint, b bigint, n bigint"))
+        found = stored(in_bins(met, [*keys, "lo", "hi"], bins_for(counts, BLOCK, 8192), lambda g: _linked(g, cosine), "a bigint, b bigint, n bigint"))
         roots = components(found.where("a <> b"))
         links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
         named = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

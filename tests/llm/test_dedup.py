@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
-from motifspark.llm import exact_dedup, simhash, suffix_dedup, vector_dedup
+from motifspark.llm import common, exact_dedup, simhash, suffix_dedup, vector_dedup
 from motifspark.llm.common import components
 
 R = random.Random(5)
@@ -42,6 +43,51 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+class Largest:
+    """Wraps a function of groups and notes the rows of the largest in a file."""
+
+    def __init__(self, work, path):
+        self.work, self.path = work, path
+
+    def __call__(self, group):
+        with open(self.path, "a") as f:
+            f.write(f"{len(group)}\n")
+        return self.work(group)
+
+
+def test_hot_bucket_is_cut(spark, tmp_path):
+    """A bucket of 40 blocks: no group has more than a pair of blocks, no bin more than its share, and every pair meets."""
+    block, n = 50, 2000
+    rows = spark.range(n).select(common.F.lit(7).alias("key"), "id")
+    sizes = spark.createDataFrame([(7, n)], "key int, n long")
+    path = str(tmp_path / "groups")
+
+    def pairs(group):
+        lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
+        a, b = (group["own"] == lo).sum(), (group["own"] == hi).sum()
+        yield pd.DataFrame({"n": [a * (a - 1) // 2 if lo == hi else a * b]})
+
+    dealt = common.block_pairs(rows, sizes, ["key"], ["id"], block)
+    bins = common.bins_for(sizes, block, 400)
+    assert bins == 16 + n * 40 // 400
+    met = common.in_bins(dealt, ["key", "lo", "hi"], bins, Largest(pairs, path), "n long")
+    assert met.agg(common.F.sum("n")).first()[0] == n * (n - 1) // 2
+    with open(path) as f:
+        assert max(map(int, f)) <= 2.6 * block  # blocks are dealt by hash
+    per_bin = dealt.groupBy(common.F.expr(f"pmod(xxhash64(29, key, lo, hi), {bins})")).count().agg(common.F.max("count")).first()[0]
+    assert per_bin <= 3000
+
+
+def test_scratch_goes_with_its_step(spark):
+    with pytest.raises(ValueError), common.own_scratch(spark):
+        kept = common.stored(spark.range(3), keep=True)
+        gone = common.stored(spark.range(3))
+        raise ValueError
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.?exist|FAILED_READ"):
+        gone.count()
+
+
 # ---- exact
 
 EXACT = [(i, R.choice(["Abc", "aBC", "", "é", "É", "x" * 50, "X" * 50, "y" * 49 + "z", "ab\ncd", None, "long " * 40 + str(i % 3)])) for i in range(60)] + [(3, "Abc"), (3, "abc"), (None, "é"), (None, "alone"), (77, "q" * 300)]
@@ -70,8 +116,39 @@ def test_exact_edges(spark):
     assert exact_dedup.exact_groups(docs_frame(spark, [])).count() == 0
     kept = exact_dedup.drop_exact(docs_frame(spark, EXACT))
     assert kept.columns == [x.split()[0] for x in DOC.split(", ")]
-    want = {i for i, k, *_ in exact_wanted(EXACT) if i == k and i is not None}
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
+    lower = lambda t: (t or "").translate(str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER))
+    want = {(k, sha) for _, k, _, _, sha in exact_wanted(EXACT)}
+    got = [(r.doc_id, hashlib.sha256(lower(r.text).encode()).hexdigest()) for r in kept.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert exact_dedup.drop_exact(docs_frame(spark, [])).count() == 0
+
+
+REPEATED = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "c"), (None, "c"), (2, "A"), (5, None), (4, ""), (None, None)]
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row string, key0 long, kept0 long, times long, n long, name string, m_id long, d_id long, id long, mark long, fp long, root long, `a.b` long"
+
+
+def clashing_frame(spark, rows):
+    """(doc_id, text) with further columns of all the names that the operators use themselves."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", *[100 + k] * 4, "n", *[200 + k] * 7) for k, (i, t) in enumerate(rows)], CLASHING)
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Texts of their own are never lost with an id, and copies never stay with one."""
+    df = clashing_frame(spark, REPEATED)
+    for drop in (exact_dedup.drop_exact, simhash.drop_near):
+        got = drop(df).collect()
+        whole = {tuple(r) for r in df.collect()}
+        assert all(tuple(r) in whole for r in got) and got[0].asDict().keys() == set(df.columns)
+        kept = sorted(((r.doc_id, (r.text or "").lower()) for r in got), key=str)
+        want = [(2, "a"), (1, "b"), (None, "c"), (5, "")] if drop is exact_dedup.drop_exact else [(1, "a"), (1, "b"), (None, "c"), (4, "")]
+        assert kept == sorted(want, key=str)
+        assert drop(df.limit(0)).count() == 0
+
+
+def test_exact_bitmap_overflow(spark):
+    """Far more shared fingerprints than bits: more is compared, with the same result."""
+    rows = exact_dedup.exact_groups(docs_frame(spark, EXACT), most_bits=1 << 3).collect()
+    assert sorted((tuple(r) for r in rows), key=str) == exact_wanted(EXACT)
 
 
 def test_fingerprints_combine():
@@ -128,8 +205,12 @@ def test_simhash(spark, monkeypatch, block):
 def test_simhash_edges(spark):
     assert simhash.simhash_groups(docs_frame(spark, [])).count() == 0
     rows = near_texts()
-    kept = simhash.drop_near(docs_frame(spark, rows))
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {w[2] for w in simhash_wanted(rows) if w[2] is not None}
+    kept = simhash.drop_near(docs_frame(spark, rows)).collect()
+    wanted = simhash_wanted(rows)
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({w[2] for w in wanted if w[2] is not None})
+    assert len(kept) == len({w[2] for w in wanted})  # the one component of null ids has one row
+    long = " ".join(f"word{i}" for i in range(200_000))
+    assert [r.fingerprint for r in simhash.simhash_groups(docs_frame(spark, [(1, long)])).collect()] == [f"{plain_simhash(long):016x}"]
 
 
 def test_unit_balls_meet(spark):

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from motifspark.llm import chat, exact_dedup, html_text, language, mixing, packing, personal_data, queries
-from tests.llm.test_dedup import docs_frame, exact_wanted, plain_simhash, roots
+from tests.llm.test_dedup import clashing_frame, docs_frame, exact_wanted, plain_simhash, roots
 
 R = random.Random(6)
 SF = "/root/testdata/sf0.01"
@@ -367,6 +367,18 @@ def test_mixing_edges(spark):
     assert [(r.taken, r.target) for r in mixing.taken(mixing.mix(blank)).collect()] == [(0, 0.0)]
 
 
+def test_mixed_texts_of_clashing_columns(spark):
+    rows = [(i % 7 or None, f"word{i % 9} and {'more ' * (i % 5)}words") for i in range(60)]
+    df = clashing_frame(spark, rows).withColumn("source", F.when(F.col("n_chars") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("s"), (F.col("n_chars") % 4).cast("string"))))
+    m = mixing.mix(df, block=4)
+    got = mixing.mixed_texts(df, m)
+    assert got.columns == df.columns and "a.b" in got.columns
+    rows = got.collect()
+    whole = {(r["row"], r.key0, r.m_id, r.d_id, r.doc_id, r.source) for r in df.collect()}
+    assert {(r["row"], r.key0, r.m_id, r.d_id, r.doc_id, r.source) for r in rows} <= whole
+    assert sum(len(r.text.split()) for r in rows) == sum(r.taken for r in mixing.taken(m).collect())
+
+
 def test_permutations(spark):
     for n in (1, 2, 7, 100, 1009):
         x = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("y"), "id")
@@ -410,6 +422,31 @@ def test_pipeline(spark, tmp_path):
     tokenizer = Tokenizer.from_file(WORD_FILE)
     tokens = sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in seen[3].collect())
     packed = seen[4].collect()
-    assert sum(r.length for r in packed) == tokens
+    assert sum(r.length for r in packed) == tokens and all(len(r.ids) == r.length for r in packed)
     assert len({r.sequence_id for r in packed}) <= tokens / 2048 * 1.02 + 1
     assert exact_dedup.UPPER.lower() == exact_dedup.LOWER
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Repeated and null ids, null sources, whole rows twice and extra columns with the names that stages use."""
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()]
+    rows = [(i % 40 if i % 9 else None, real[i % 50], "en", ("src0", "src1", None)[i % 3], i, "x", i, i, "y") for i in range(120)]
+    rows += [rows[0], rows[0], (7, None, None, None, 0, None, None, None, None), (7, "", None, "src9", 0, None, None, None, None)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, name string, m_id long, d_id long, found string"
+    for some in (rows, []):
+        path = str(tmp_path / f"in{len(some)}")
+        spark.createDataFrame(some, shape).write.parquet(f"{path}/documents.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        texts = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            was = docs.columns
+            stage(spark, docs, path).write.parquet(f"{path}/stage{k}")
+            docs = spark.read.parquet(f"{path}/stage{k}")
+            assert k == 4 or docs.columns == was
+            texts.append([r.text for r in docs.collect()] if k < 4 else docs.count())
+        assert bool(texts[4]) == bool(some)
+        if some:
+            assert set(texts[0]) == {t for t in real[:50]} and len(texts[1]) == len({t.lower() for t in texts[0]})
+            assert len(texts[2]) == len({plain_simhash(t) for t in texts[2]})
+    got = corpus_pipeline.run(spark, str(tmp_path / f"in{len(rows)}"))
+    assert got.count() == spark.read.parquet(str(tmp_path / f"in{len(rows)}/stage4")).count()
