@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from motifspark.functions.alphabet import BASES
 from motifspark.operators.kernel import Background, encode, local_background
+from motifspark.operators.scan import PIECE, pieces
 
 
 def _count(seq: Column, what: str) -> Column:
@@ -61,23 +62,31 @@ def slice_background(seqs: DataFrame, start: int, end: int, first_order: bool =
     return pair_frequencies(cut) if first_order else base_frequencies(cut)
 
 
-def local_frequencies(seqs: DataFrame, window: int = 250, first_order: bool = True) -> DataFrame:
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows as lists, NaN as null."""
+    if not x.shape[1]:
+        return pa.array([[]] * len(x), pa.list_(pa.float64()))
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), from_pandas=True), x.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def local_frequencies(seqs: DataFrame, window: int = 250, first_order: bool = True, piece: int = PIECE) -> DataFrame:
     """(seq_idx, pos, b, b1): arrays of 4 base and 16 pair frequencies around every place, null where undefined."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for idx, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code = encode(seq or "")
-                b, b1 = local_background(code, window, first_order)
-                if len(code) < 2 * window + 1:
+            for idx, n, offset, skip, own, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b, b1 = local_background(encode(seq), window, first_order)
+                if n < 2 * window + 1:
                     b[:] = np.nan
-                if b1 is not None and len(code) < 2 * window + 2:
+                if b1 is not None and n < 2 * window + 2:
                     b1[:] = np.nan
-                b1 = np.full((len(code), 0), np.nan) if b1 is None else b1
-                listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), from_pandas=True), x.shape[1]).cast(pa.list_(pa.float64())) if x.shape[1] else pa.array([[]] * len(x), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array([idx] * len(code), pa.int64()), pa.array(np.arange(len(code)), pa.int64()), listed(b), listed(b1)], ["seq_idx", "pos", "b", "b1"])
+                b1 = np.full((len(b), 0), np.nan) if b1 is None else b1
+                mine = slice(skip, skip + own)
+                places = pa.array(np.arange(offset + skip, offset + skip + own), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(idx, pa.int64()), own), places, _lists(b[mine]), _lists(b1[mine])], ["seq_idx", "pos", "b", "b1"])
 
-    return seqs.select("seq_idx", "seq").mapInArrow(work, "seq_idx bigint, pos bigint, b array<double>, b1 array<double>")
+    cut = pieces(seqs.withColumn("seq_id", F.lit("")), 1, window, piece).drop("seq_id")
+    return cut.mapInArrow(work, "seq_idx bigint, pos bigint, b array<double>, b1 array<double>")
 
 
 def local_base_frequencies_sql(seqs: DataFrame, window: int = 250) -> DataFrame:

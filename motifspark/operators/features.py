@@ -1,6 +1,7 @@
 """Aggregations of site scores over places and windows, and the feature tables made of them.
 
-window_features scores and sums inside one Arrow kernel, by prefix sums: no hit leaves the task and nothing is shuffled.
+window_features scores and sums inside one Arrow kernel, by prefix sums: no hit leaves the task. Only what the windows need of
+each sequence is moved and scored.
 hits_in_windows is the relational form, for intervals that differ by sequence and as the plain form to test against.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifspark.functions.alphabet import content
+from motifspark.operators import scan
 from motifspark.operators.kernel import Scorer, window_values
 
 BUCKET = 64  # places of a bucket of the range join
@@ -62,34 +64,77 @@ def window_sums(hits: DataFrame, windows: DataFrame) -> DataFrame:
     return hits_in_windows(hits, windows.select("pwm_idx", "strand", "feature_id", "left", "right"), ["pwm_idx", "strand"]).groupBy("seq_idx", "feature_id").agg(F.sum("score").alias("value"))
 
 
-def window_features(seqs: DataFrame, scorer: Scorer, specs: list[WindowSpec], nucs_after_tss: int | None = None) -> DataFrame:
-    """(seq_idx, seq_id, pos, values): the features of each sequence and position (column pos, 0 if absent), in order of specs."""
+def _sums(scored: dict, sides: dict, size: int, shift: int) -> np.ndarray:
+    """Values of the windows over scored starts; shift: from a window's place to that of a start."""
+    row = np.zeros(size)
+    for key, (at, left, right, scale) in sides.items():
+        if key in scored:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                row[at] = window_values(*scored[key], left + shift, right + shift) / scale
+    return row
+
+
+def _places(scored: dict, specs: list[WindowSpec], size: int, shift: int) -> np.ndarray:
+    """Scores of the places of every window, one window after the other."""
+    row, at = np.zeros(size), 0
+    for s in specs:
+        w = s.right - s.left + 1
+        if (s.pwm_idx, s.strand) in scored:
+            score, cutoff = scored[s.pwm_idx, s.strand]
+            lo, hi = max(0, s.left + shift), min(len(score), s.right + shift + 1)
+            if lo < hi:
+                part = score[lo:hi]
+                row[at + lo - s.left - shift : at + hi - s.left - shift] = np.where(part > cutoff, part, 0.0) / s.scale
+        at += w
+    return row
+
+
+def _values(seqs: DataFrame, scorer: Scorer, specs: list[WindowSpec], nucs_after_tss: int | None, by_place: bool, piece: int) -> DataFrame:
+    """(seq_idx, seq_id, pos, values) of each row of seqs.
+
+    Only the starts that some window holds are scored. Rows are spread over the tasks; where the windows reach over more
+    than a piece, the pieces' values are added up by row.
+    """
     if "pos" not in seqs.columns:
         seqs = seqs.withColumn("pos", F.lit(0))
+    seqs = seqs.select("seq_idx", "seq_id", F.col("pos").cast("int").alias("pos"), F.coalesce("seq", F.lit("")).alias("seq"))
+    low, high = min((s.left for s in specs), default=0), max((s.right for s in specs), default=-1)
+    size = sum(s.right - s.left + 1 for s in specs) if by_place else len(specs)
     by: dict[tuple[int, str], list[int]] = {}
     for i, s in enumerate(specs):
         by.setdefault((s.pwm_idx, s.strand), []).append(i)
     sides = {k: (np.array(v), np.array([specs[i].left for i in v], int), np.array([specs[i].right for i in v], int), np.array([specs[i].scale for i in v], float)) for k, v in by.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, scored = None, {}
         for batch in batches:
             out = []
-            for idx, pos, seq in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n = len(seq or "")
+            for pos, n, start, skip, own, seq in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
                 tss = n - (n // 2 if nucs_after_tss is None else nucs_after_tss)
-                if last != (idx, seq):
-                    last, scored = (idx, seq), {(p.pwm_idx, strand): (score, scorer.cutoff(p)) for p, strand, score in scorer.scores(seq or "")}
-                row = np.zeros(len(specs))
-                for key, (at, left, right, scale) in sides.items():
-                    if key in scored:
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            row[at] = window_values(*scored[key], np.maximum(left + pos + tss, 0), right + pos + tss) / scale
-                out.append(row)
-            flat = pa.array(np.concatenate(out) if out else np.empty(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(specs), pa.int32()), flat)], ["seq_idx", "seq_id", "pos", "values"])
-
-    return seqs.select("seq_idx", "seq_id", F.col("pos").cast("int"), "seq").mapInArrow(work, "seq_idx bigint, seq_id string, pos int, values array<double>")
+                scored = {(p.pwm_idx, strand): (score[skip : skip + own], scorer.cutoff(p)) for p, strand, score in scorer.scores(seq, n)} if own else {}
+                out.append(_places(scored, specs, size, pos + tss - start) if by_place else _sums(scored, sides, size, pos + tss - start))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * size, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], values], ["seq_idx", "seq_id", "k", "pos", "values"])
+
+    n = F.length("seq")
+    tss = F.col("pos") + n - (F.floor(n / 2) if nucs_after_tss is None else F.lit(nucs_after_tss))
+    width = max((len(p.mat) for p in scorer.pwms), default=1)
+    window = scorer.background.window if scorer.background.kind == "local" else 0
+    rows = scan.cut(seqs, F.greatest(F.lit(0), F.least(n, tss + low)), F.greatest(F.lit(0), F.least(n, tss + high + 1)), width, window, piece)
+    rows = scan.spread(rows.select("seq_idx", "seq_id", "k", "pos", "n", "start", "skip", "own", "piece"), "seq_idx", "pos", "k")
+    found = rows.mapInArrow(work, "seq_idx bigint, seq_id string, k bigint, pos int, values array<double>")
+    if high - low + 1 > piece:
+        parts = found.groupBy("seq_idx", "seq_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "values"))).alias("parts"))
+        added = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0]["values"], lambda a, x: F.zip_with(a, x["values"], lambda y, z: y + z))
+        found = parts.withColumn("values", added)
+    return found.select("seq_idx", "seq_id", "pos", "values")
+
+
+def window_features(seqs: DataFrame, scorer: Scorer, specs: list[WindowSpec], nucs_after_tss: int | None = None, piece: int = scan.PIECE) -> DataFrame:
+    """(seq_idx, seq_id, pos, values): the features of each sequence and position (column pos, 0 if absent), in order of specs.
+
+    Rows that repeat a sequence and position have one row where the windows reach over more than a piece, with their sum.
+    """
+    return _values(seqs, scorer, specs, nucs_after_tss, False, piece)
 
 
 def long_features(table: DataFrame, specs: list[WindowSpec]) -> DataFrame:
@@ -122,17 +167,16 @@ def content_features(seqs: DataFrame, nucs_after_tss: int | None = None, suffix:
     return seqs.select(_sample().alias("sample_id"), *[content(F.col("seq"), bases, left, right, after).alias(name + suffix) for name, bases in CONTENT])
 
 
-def scores_by_place(seqs: DataFrame, scorer: Scorer, specs: list[WindowSpec], nucs_after_tss: int | None = None) -> DataFrame:
+def scores_by_place(seqs: DataFrame, scorer: Scorer, specs: list[WindowSpec], nucs_after_tss: int | None = None, piece: int = scan.PIECE) -> DataFrame:
     """(sample_id, feature_id, place, value): the score of every start in each window as given, 0 where there is no hit.
 
     Places count from the window's left end; those outside the sequence have value 0, so every sample has the same columns.
     """
-    single = [WindowSpec(f"{s.feature_id}_{k}", s.pwm_idx, s.strand, s.left + k, s.left + k) for s in specs for k in range(s.right - s.left + 1)]
-    names = [(s.feature_id, k) for s in specs for k in range(s.right - s.left + 1)]
-    table = window_features(seqs, scorer, single, nucs_after_tss)
-    keys = F.array(*[F.struct(F.lit(f).alias("feature_id"), F.lit(k).alias("place")) for f, k in names])
-    rows = table.select(_sample().alias("sample_id"), F.posexplode("values").alias("i", "value"))
-    return rows.select("sample_id", F.element_at(keys, F.col("i") + 1).alias("k"), "value").select("sample_id", "k.*", "value")
+    table = _values(seqs, scorer, specs, nucs_after_tss, True, piece)
+    ends = np.cumsum([0, *(s.right - s.left + 1 for s in specs)]).tolist()
+    own = F.array(*[F.struct(F.lit(s.feature_id).alias("feature_id"), F.lit(a + 1).alias("at"), F.lit(b - a).alias("width")) for s, a, b in zip(specs, ends, ends[1:], strict=False)])
+    rows = table.select(_sample().alias("sample_id"), "values", F.explode(own).alias("w"))
+    return rows.select("sample_id", "w.feature_id", F.posexplode(F.slice("values", F.col("w.at"), F.col("w.width"))).alias("place", "value"))
 
 
 def open_tile_features(hits: DataFrame, clipped: DataFrame) -> DataFrame:

@@ -38,15 +38,16 @@ def peaks(curves: DataFrame, max_up: int, max_down: int, first_tie: bool = False
     down = F.sum(F.when(F.col("k") <= F.col("pk"), F.col("below")).otherwise(0)).over(by.orderBy(F.desc("k")))
     up = F.sum(F.when(F.col("k") >= F.col("pk"), F.col("below")).otherwise(0)).over(by.orderBy("k"))
     rows = rows.withColumns({"down": down, "up": up})
-    fifth = (F.col("below") == 1)
+    fifth = F.col("below") == 1
+    l5 = F.max(F.when(fifth & (F.col("down") == BUFFER) & (F.col("k") <= F.col("pk")), F.col("k"))).over(by)
+    r5 = F.min(F.when(fifth & (F.col("up") == BUFFER) & (F.col("k") >= F.col("pk")), F.col("k"))).over(by)
+    rows = rows.withColumns({"l5": l5, "r5": r5, "last": F.max("k").over(by)})
+    rows = rows.withColumns({"li": F.greatest(F.lit(0), F.coalesce(F.col("l5") - 1, F.lit(0))), "ri": F.least("last", F.coalesce(F.col("r5") + 1, F.col("last")))})
     found = rows.groupBy(*keys).agg(
-        F.first("peak").alias("peak"), F.first("pk").alias("pk"), F.first("background").alias("background"), F.max("k").alias("last"),
-        F.max(F.when(fifth & (F.col("down") == BUFFER) & (F.col("k") <= F.col("pk")), F.col("k"))).alias("l5"),
-        F.min(F.when(fifth & (F.col("up") == BUFFER) & (F.col("k") >= F.col("pk")), F.col("k"))).alias("r5"),
-        F.map_from_entries(F.collect_list(F.struct("k", "loc"))).alias("loc_of"),
+        *[F.first(c).alias(c) for c in ("peak", "pk", "background", "li", "ri")],
+        F.max(F.when(F.col("k") == F.col("li"), F.col("loc"))).alias("l"),
+        F.max(F.when(F.col("k") == F.col("ri"), F.col("loc"))).alias("r"),
     )
-    found = found.withColumns({"li": F.greatest(F.lit(0), F.coalesce(F.col("l5") - 1, F.lit(0))), "ri": F.least("last", F.coalesce(F.col("r5") + 1, F.col("last")))})
-    found = found.withColumns({"l": F.col("loc_of")[F.col("li")], "r": F.col("loc_of")[F.col("ri")]})
     half = (F.col("r") - F.col("l")) / 2
     ok = F.col("peak").between(max_up, max_down) & (F.col("li") != F.col("pk")) & (F.col("ri") != F.col("pk"))
     wide = half > CAP
@@ -64,6 +65,40 @@ def search_range(n: int, nucs_after_tss: int, flank: int = 1000) -> tuple[int, i
     return -(n - (nucs_after_tss + 1) - flank), nucs_after_tss + 1 - flank
 
 
+def local_lines(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """At each place the value of a line fitted to the k nearest places by index, with tricube weights of their distance."""
+    n = len(x)
+    fit = np.empty(n)
+    step = max(1, (1 << 21) // k)
+    for at in range(0, n, step):  # so many places at once that a matrix holds 2 M numbers
+        i = np.arange(at, min(n, at + step))
+        near = np.clip(i - k // 2, 0, n - k)[:, None] + np.arange(k)
+        xs, ys = x[near], y[near]
+        d = np.abs(xs - x[i, None])
+        w = (1 - np.minimum(1, d / np.maximum(d.max(1, keepdims=True), 1e-12)) ** 3) ** 3 + 1e-12
+        total = w.sum(1)
+        mx, my = (w * xs).sum(1) / total, (w * ys).sum(1) / total
+        dx = xs - mx[:, None]
+        slope = (w * dx * (ys - my[:, None])).sum(1) / np.maximum((w * dx * dx).sum(1), 1e-12)
+        fit[i] = my + slope * (x[i] - mx)
+    return fit
+
+
+def highest_near(x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
+    """The largest y within reach of each x (sorted), from maxima over runs of 1, 2, 4, ... places."""
+    lo, hi = np.searchsorted(x, x - reach, "left"), np.searchsorted(x, x + reach, "right")
+    runs = [y]
+    while 2 ** len(runs) <= len(y):
+        half = 2 ** (len(runs) - 1)
+        runs.append(np.maximum(runs[-1][:-half], runs[-1][half:]))
+    level = np.floor(np.log2(hi - lo)).astype(int)
+    out = np.empty(len(y))
+    for k in np.unique(level):
+        at = np.flatnonzero(level == k)
+        out[at] = np.maximum(runs[k][lo[at]], runs[k][hi[at] - 2**k])
+    return out
+
+
 def smoothed_peaks(curves: DataFrame, span: float = 0.05, max_dist: int = 4000, buffer: int = 2) -> DataFrame:
     """Regions on locally regressed curves: tricube-weighted lines over a share of the places, threshold at mid-range.
 
@@ -75,27 +110,14 @@ def smoothed_peaks(curves: DataFrame, span: float = 0.05, max_dist: int = 4000,
         pdf = pdf.sort_values("loc")
         x, y = pdf["loc"].to_numpy(float), pdf["cumscore"].to_numpy(float)
         n = len(x)
-        k = min(n, max(3, math.ceil(span * n)))
-        fit = np.empty(n)
-        for i in range(n):
-            a = min(max(0, i - k // 2), n - k)
-            d = np.abs(x[a : a + k] - x[i])
-            w = (1 - np.minimum(1, d / max(d.max(), 1e-12)) ** 3) ** 3 + 1e-12
-            mx, my = np.average(x[a : a + k], weights=w), np.average(y[a : a + k], weights=w)
-            dx = x[a : a + k] - mx
-            slope = (w * dx * (y[a : a + k] - my)).sum() / max((w * dx * dx).sum(), 1e-12)
-            fit[i] = my + slope * (x[i] - mx)
+        fit = local_lines(x, y, min(n, max(3, math.ceil(span * n))))
         level = (fit.min() + fit.max()) / 2
-        tops = [i for i in range(n) if fit[i] >= fit[(x >= x[i] - 1000) & (x <= x[i] + 1000)].max()]
-        p = min(tops, key=lambda i: abs(x[i] - x[int(y.argmax())]))
-        reach = []
-        for step in (-1, 1):
-            i, low = p, 0
-            while 0 <= i < n and low < buffer:
-                low += fit[i] < level
-                i += step
-            reach.append(int(min(max(i, 0), n - 1)))
-        left, right = max(x[reach[0]], x[p] - CAP), min(x[reach[1]], x[p] + CAP)
+        tops = np.flatnonzero(fit >= highest_near(x, fit, 1000))
+        p = int(tops[np.abs(x[tops] - x[int(y.argmax())]).argmin()])
+        below = np.flatnonzero(fit < level)
+        down, up = below[below <= p][::-1], below[below >= p]
+        reach = (down[buffer - 1] - 1 if len(down) >= buffer else 0, up[buffer - 1] + 1 if len(up) >= buffer else n - 1)
+        left, right = max(x[max(0, reach[0])], x[p] - CAP), min(x[min(n - 1, reach[1])], x[p] + CAP)
         good = abs(x[p]) <= max_dist and left < x[p] < right
         return pd.DataFrame({"strand": [pdf["strand"].iloc[0]], "pwm_id": [pdf["pwm_id"].iloc[0]], "max_peak_loc": [x[p] if good else None], "half_width": [(right - left) / 2 if good else None], "left": [left if good else None], "right": [right if good else None]})
 

@@ -1,7 +1,8 @@
 """Log-likelihood scans: hits of every matrix on either strand.
 
-The production form is an Arrow kernel over batches of sequences (no shuffle; long sequences are cut into overlapping
-pieces first, so one chromosome feeds many tasks). The sql form scores with plain expressions and is what it is tested against.
+The production form is an Arrow kernel over batches of pieces: sequences are cut with an overlap and the pieces are spread over
+the tasks, so that neither a chromosome nor a file of one split keeps a single task busy. Moving a base costs far less than
+scoring it. The sql form scores with plain expressions and is what it is tested against.
 """
 
 from __future__ import annotations
@@ -10,29 +11,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifspark.operators.kernel import Scorer
 
-HITS = "strand string, pwm_idx int, pwm_id string, seq_idx bigint, seq_id string, loc bigint, score double"
 PIECE = 1 << 18  # starts of a piece
 SHORT = 1 << 10  # of a piece whose substrings are taken by expressions
 
 
-def pieces(seqs: DataFrame, width: int, window: int, size: int = PIECE) -> DataFrame:
-    """(seq_idx, seq_id, n, offset, own, seq): overlapping pieces, own the number of starts from `skip` on that a piece answers for."""
+def ascii_bytes(seq: Column) -> Column:
+    """seq as bytes, one for each character, so that substrings are taken without a walk from the start."""
+    return F.when(F.octet_length(seq) == F.length(seq), seq).otherwise(F.regexp_replace(seq, r"[^\x00-\x7F]", "N")).cast("binary")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by hash of keys to spark.sql.shuffle.partitions tasks; without the number Spark would join small ones again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def cut(rows: DataFrame, first: Column, end: Column, width: int, window: int, size: int) -> DataFrame:
+    """rows (with seq) once for each run of `size` starts in [first, end), and once where there is none.
+
+    Adds n (the sequence's length), k and last_k (this and the last run), start and own (first start of the run and how many),
+    offset (place of the piece's first character), skip (of the run's first start in it) and piece, which holds what the
+    starts' sites and the window on either side need.
+    """
     margin = window + 1
-    cut = seqs.select("seq_idx", "seq_id", "seq", F.length("seq").cast("long").alias("n")).where("n > 0")
-    cut = cut.withColumn("k", F.explode(F.expr(f"sequence(0L, (n - 1) div {size})")))
-    offset = F.greatest(F.lit(0), F.col("k") * size - margin)
-    end = F.least(F.col("n"), (F.col("k") + 1) * size + margin + width)
-    cut = cut.withColumns({"offset": offset, "skip": F.col("k") * size - offset, "own": F.least(F.col("n") - F.col("k") * size, F.lit(size)), "piece": F.substr("seq", (offset + 1).cast("int"), (end - offset).cast("int"))})
-    return cut.select("seq_idx", "seq_id", "n", "offset", "skip", "own", "piece")
+    out = rows.withColumns({"n": F.length("seq").cast("long"), "seq": ascii_bytes(F.col("seq"))})
+    out = out.withColumns({"first": first.cast("long"), "end": end.cast("long")})
+    out = out.withColumn("last_k", F.greatest(F.lit(0), F.expr(f"(`end` - `first` - 1) div {size}")))
+    out = out.withColumn("k", F.explode(F.expr("sequence(0L, last_k)")))
+    out = out.withColumn("start", F.col("first") + F.col("k") * size)
+    out = out.withColumn("own", F.greatest(F.lit(0), F.least(F.col("end") - F.col("start"), F.lit(size))))
+    out = out.withColumn("offset", F.greatest(F.lit(0), F.col("start") - margin))
+    stop = F.when(F.col("own") > 0, F.least(F.col("n"), F.col("start") + F.col("own") + margin + width)).otherwise(F.col("offset"))
+    piece = F.substr("seq", (F.col("offset") + 1).cast("int"), (stop - F.col("offset")).cast("int")).cast("string")
+    return out.withColumns({"skip": F.col("start") - F.col("offset"), "piece": piece}).drop("seq", "first", "end")
+
+
+def pieces(seqs: DataFrame, width: int, window: int, size: int = PIECE) -> DataFrame:
+    """(seq_idx, seq_id, n, offset, skip, own, piece): overlapping pieces, own the number of starts from `skip` on that a piece answers for."""
+    rows = cut(seqs.select("seq_idx", "seq_id", "seq").where(F.length("seq") > 0), F.lit(0), F.length("seq"), width, window, size)
+    return spread(rows.select("seq_idx", "seq_id", "n", "offset", "skip", "own", "k", "piece"), "seq_idx", "k").drop("k")
 
 
 def score_sites(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None, piece: int = PIECE) -> DataFrame:
-    """Hits (score above the matrix's cutoff) of all sequences (seq_idx, seq_id, seq).
+    """Hits (strand, pwm_idx, pwm_id, seq_idx, seq_id, loc, score above the matrix's cutoff) of all sequences (seq_idx, seq_id, seq).
 
     loc is relative to the TSS, which has nucs_after_tss characters from it on; half the length if None. A NaN score (masked
     character or undefined background) is no hit; an infinite one is.
@@ -42,33 +67,38 @@ def score_sites(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None = No
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, at_, scores, sizes = [], [], [], [0]
             for idx, seq_id, n, offset, skip, own, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tss = n - (n // 2 if nucs_after_tss is None else nucs_after_tss)
-                for p, strand, score in scorer.scores(seq, n):
-                    score = score[: skip + own]
-                    at = np.flatnonzero(score > scorer.cutoff(p))
-                    at = at[at >= skip]
-                    if k := len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([strand] * k), pa.array([p.pwm_idx] * k, pa.int32()), pa.array([p.pwm_id] * k), pa.array([idx] * k, pa.int64()), pa.array([seq_id] * k, pa.string()), pa.array(at + offset - tss, pa.int64()), pa.array(score[at])], [x.split()[0] for x in HITS.split(", ")])
-
-    return pieces(seqs, width, window, piece).mapInArrow(_gathered(work), HITS)
-
-
-def _gathered(work):
-    """Joins small batches into larger ones before they go to the JVM."""
-
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in work(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows > 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return inner
+                for k, (p, strand, score) in enumerate(scorer.scores(seq, n)):
+                    mine = score[skip : skip + own]
+                    at = np.flatnonzero(mine > scorer.cutoff(p))
+                    if len(at):
+                        rows.append((k, idx, seq_id))
+                        at_.append(at + (offset + skip - tss))
+                        scores.append(mine[at])
+                        sizes.append(sizes[-1] + len(at))
+                if sizes[-1] > 1 << 20:
+                    yield _lists(rows, at_, scores, sizes)
+                    rows, at_, scores, sizes = [], [], [], [0]
+            yield _lists(rows, at_, scores, sizes)
+
+    # a row holds all hits of a matrix and strand in a piece, in the order of the kernel; Spark takes it apart
+    found = pieces(seqs, width, window, piece).mapInArrow(work, "which int, seq_idx bigint, seq_id string, locs array<bigint>, scores array<double>")
+    kinds = [(s, p) for s in scorer.strands for p in scorer.pwms]
+    named = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("which") + 1)
+    rows = found.select("which", "seq_idx", "seq_id", "scores", F.posexplode("locs").alias("i", "loc"))
+    return rows.select(
+        named([s for s, _ in kinds]).alias("strand"), named([p.pwm_idx for _, p in kinds]).alias("pwm_idx"), named([p.pwm_id for _, p in kinds]).alias("pwm_id"),
+        "seq_idx", "seq_id", "loc", F.get("scores", F.col("i")).alias("score"),
+    )
+
+
+def _lists(rows: list[tuple], locs: list[np.ndarray], scores: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
+    which, idx, seq_id = zip(*rows, strict=True) if rows else ((), (), ())
+    ends = pa.array(ends, pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.empty(0, kind))) for x, kind in ((locs, np.int64), (scores, np.float64))]
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(idx, pa.int64()), pa.array(seq_id, pa.string()), *lists], ["which", "seq_idx", "seq_id", "locs", "scores"])
 
 
 def score_sites_sql(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None) -> DataFrame:

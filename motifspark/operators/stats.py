@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifspark.functions.alphabet import upper_reverse_complement
@@ -51,9 +51,9 @@ def site_statistics(sites: DataFrame, pwms: DataFrame, hist: DataFrame) -> DataF
 def score_histogram(hits: DataFrame, low: float, high: float, bins: int = 500) -> DataFrame:
     """(pwm_id, bin_idx, lb, ub, height): shares of the scores in equal bins of [low, high); others are left out of the bins."""
     width = (high - low) / bins
-    inside = hits.where((F.col("score") >= low) & (F.col("score") < high)).withColumn("bin_idx", F.floor((F.col("score") - low) / width).cast("int"))
-    totals = hits.groupBy("pwm_id").agg(F.count("*").alias("n"))
-    counted = inside.groupBy("pwm_id", "bin_idx").agg(F.count("*").alias("c")).join(totals, "pwm_id")
+    inside = (F.col("score") >= low) & (F.col("score") < high)
+    counted = hits.groupBy("pwm_id", F.when(inside, F.floor((F.col("score") - low) / width).cast("int")).alias("bin_idx")).agg(F.count("*").alias("c"))
+    counted = counted.withColumn("n", F.sum("c").over(Window.partitionBy("pwm_id"))).where("bin_idx IS NOT NULL")
     return counted.select("pwm_id", "bin_idx", (low + F.col("bin_idx") * width).alias("lb"), (low + (F.col("bin_idx") + 1) * width).alias("ub"), (F.col("c") / F.col("n")).alias("height"))
 
 

@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BUCKET = 1024  # places
+MOST_PARAMETERS = 100_000  # rows of a table that is broadcast
+
+
+def parameters(table: DataFrame) -> DataFrame:
+    """A table of parameters (windows, matrices), to be broadcast; an error if it is none by its size."""
+    if table.limit(MOST_PARAMETERS + 1).count() > MOST_PARAMETERS:
+        raise ValueError(f"more than {MOST_PARAMETERS} rows of parameters")
+    return F.broadcast(table)
+
+
 def tiles(spark: SparkSession, up: int, down: int, width: int) -> DataFrame:
     """(win_no, left, right) from -up on, inclusive at both ends, so that neighbours share a start; a remainder is dropped."""
     if width <= 0 or up + down < 0:
@@ -89,7 +100,7 @@ def genomic_map(anchored: DataFrame, windows: DataFrame, widths: DataFrame, nucs
     n = F.length("seq").cast("long")
     after = F.floor(n / 2) if nucs_after_tss is None else F.lit(nucs_after_tss)
     rows = anchored.select("seq_idx", "seq_id", "pos", "ref_seq", "ref_start", "ref_strand", n.alias("n"), after.alias("after"))
-    out = rows.join(F.broadcast(windows.join(widths, "pwm_idx").select("feature_id", "left", "right", "w")), F.lit(True))
+    out = rows.join(parameters(windows.join(widths, "pwm_idx").select("feature_id", "left", "right", "w")), F.lit(True))
     minus = F.col("ref_strand") == "-"
     tss = F.when(minus, F.col("after") + 1).otherwise(F.col("n") - F.col("after"))
     lo = F.when(minus, -F.col("right")).otherwise(F.col("left")) + F.col("pos") + F.col("tss")
@@ -104,9 +115,15 @@ def collapsed(windows: DataFrame) -> DataFrame:
 
 
 def clipped_to_open(windows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Tiles cut to open-chromatin intervals (seq_id, tissue, start, end): one row per overlap, so overlaps count twice."""
-    both = intervals.join(F.broadcast(windows), (F.col("start") <= F.col("right")) & (F.col("end") >= F.col("left")))
-    return both.select("seq_id", "tissue", "win_no", F.greatest("left", "start").alias("left"), F.least("right", "end").alias("right"))
+    """Tiles cut to open-chromatin intervals (seq_id, tissue, start, end): one row per overlap, so overlaps count twice.
+
+    Both are listed in the buckets of places that they touch and joined on those; an overlap counts in the bucket of its start.
+    """
+    listed = lambda df, a, b: df.withColumn("bucket", F.explode(F.expr(f"sequence(cast(floor(`{a}` / {BUCKET}) as bigint), cast(floor(`{b}` / {BUCKET}) as bigint))")))
+    both = listed(intervals.where("start <= `end`"), "start", "end").join(listed(windows.where("left <= right"), "left", "right"), "bucket")
+    first = F.greatest("left", "start")
+    both = both.where((F.col("start") <= F.col("right")) & (F.col("end") >= F.col("left")) & (F.col("bucket") == F.floor(first / BUCKET)))
+    return both.select("seq_id", "tissue", "win_no", first.alias("left"), F.least("right", "end").alias("right"))
 
 
 def with_order(windows: DataFrame, *order: str) -> DataFrame:

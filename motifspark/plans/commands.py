@@ -102,5 +102,5 @@ def open_regions(seqs: DataFrame, pwms: list[Pwm], roe: DataFrame, intervals: Da
     """(seq_id, feature_id, tissue, value) over the open intervals of the regions' windows, as they are given."""
     hits = scan.score_sites(seqs, Scorer(pwms, local(bg_window), cutoffs=cutoffs), nucs_after_tss)
     own = windows.roe_windows(roe).select("feature_id", "pwm_idx", "strand")
-    met = intervals.join(F.broadcast(own), "feature_id").select("seq_id", "feature_id", "tissue", "pwm_idx", "strand", F.col("start").alias("left"), F.col("end").alias("right"))
+    met = intervals.join(own, "feature_id").select("seq_id", "feature_id", "tissue", "pwm_idx", "strand", F.col("start").alias("left"), F.col("end").alias("right"))
     return features.open_window_features(hits, met)

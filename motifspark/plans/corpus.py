@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifspark.operators import scan
 from motifspark.operators.kernel import Pwm
 from motifspark.sources.readers import normalise
 
@@ -31,6 +32,7 @@ def regions(spark: SparkSession) -> DataFrame:
 def sequences(spark: SparkSession, sf_dir: str, masked: bool = False) -> DataFrame:
     """(seq_idx, seq_id, seq) of whole documents: letters dealt to bases; others dropped, or kept as masked characters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = scan.spread(docs, "doc_id")  # the table's one row group would be one task
     kept = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]", "." if masked else "")
     return docs.select(F.col("doc_id").alias("seq_idx"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("seq_id"), F.translate(kept, LETTERS, DEALT).alias("seq"))
 

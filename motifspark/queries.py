@@ -447,7 +447,7 @@ def roc_tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n.seq_id, n.feature_id, n.tissue, round(sum(score), 4) AS value FROM named n JOIN hits h ON h.seq_idx = n.seq_idx AND h.pwm_idx = n.pwm_idx AND h.strand = n.strand AND h.loc BETWEEN n.lo AND n.hi GROUP BY ALL""")
 def roe_roc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = windows.roe_windows(corpus.regions(spark)).select("feature_id")
-    intervals = corpus.open_intervals(spark, sf_dir).join(F.broadcast(own), F.lit(True))
+    intervals = corpus.open_intervals(spark, sf_dir).join(windows.parameters(own), F.lit(True))
     found = commands.open_regions(_seqs(spark, sf_dir), corpus.library(0.001), corpus.regions(spark), intervals, WINDOW)
     return found.withColumn("value", F.round("value", 4))
 

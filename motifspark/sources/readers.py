@@ -146,11 +146,16 @@ def read_islands(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("row_idx", F.col("p")[0].alias("name"), pair.alias("islands")).groupBy("name").agg(F.max_by("islands", "row_idx").alias("islands"))
 
 
+def _bodies(lines: DataFrame) -> DataFrame:
+    """lines (value, file, at) without the first of each file."""
+    heads = lines.groupBy("file").agg(F.min("at").alias("head"))
+    return lines.join(heads, "file").where("at > head").drop("head")
+
+
 def read_draws(spark: SparkSession, path: str) -> DataFrame:
-    """(label, pos) of a wide table's first fields `label_position`, cut at the last underscore; the header is skipped."""
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    first = F.split("value", r"\s+")[0]
-    rows = rows.where(F.col("at") > 0).select(first.alias("f")).where(F.col("f").contains("_"))
+    """(label, pos) of a wide table's first fields `label_position`, cut at the last underscore; each file's header is skipped."""
+    rows = _bodies(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")))
+    rows = rows.select(F.split("value", r"\s+")[0].alias("f")).where(F.col("f").contains("_"))
     return rows.select(F.regexp_extract("f", "^(.*)_[^_]*$", 1).alias("label"), F.regexp_extract("f", "_([^_]*)$", 1).cast("int").alias("pos"))
 
 
@@ -162,8 +167,8 @@ def read_matrix(spark: SparkSession, path: str) -> list[list[float]]:
     return [[float(x) for x in line.split()] for line in _lines(spark, path) if line.strip()]
 
 
-def _fields(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+def _fields(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
     return lines.select(F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("c"), "file", "at")
 
 
@@ -197,8 +202,8 @@ def read_histograms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    """(site_id, pwm_id, strand, motif, flank) of a table with header: columns 16, 17, 26 and 27."""
-    rows = _fields(spark, path).where("at > 0")
+    """(site_id, pwm_id, strand, motif, flank) of tables with a header each: columns 16, 17, 26 and 27."""
+    rows = _bodies(_fields(spark, path))
     return rows.select(F.col("at").alias("site_id"), _at(16).alias("pwm_id"), _at(17).alias("strand"), _at(26).alias("motif"), _at(27).alias("flank")).where("flank IS NOT NULL")
 
 

@@ -36,7 +36,7 @@ def curve_lines(curves: DataFrame, pwms: DataFrame) -> DataFrame:
     """(strand, locs, cumscores) lines per matrix, in the library's order; matrices without hits are left out."""
     sides = curves.groupBy("strand", "pwm_id").agg(F.array_sort(F.collect_list(F.struct("loc", number(F.col("cumscore"), TWO).alias("v")))).alias("x"))
     line = lambda f: F.concat_ws("\t", "pwm_id", F.array_join(F.transform("x", lambda s: s[f].cast("string")), "\t"))
-    return sides.join(F.broadcast(pwms.select("pwm_id", "pwm_idx")), "pwm_id").orderBy("strand", "pwm_idx").select("strand", line("loc").alias("locs"), line("v").alias("cumscores"))
+    return sides.join(pwms.select("pwm_id", "pwm_idx"), "pwm_id").orderBy("strand", "pwm_idx").select("strand", line("loc").alias("locs"), line("v").alias("cumscores"))
 
 
 def write_curves(curves: DataFrame, pwms: DataFrame, path: str) -> None:
