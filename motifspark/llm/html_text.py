@@ -1,7 +1,7 @@
 """Operator 3: main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree of its block elements, with every run of text as a leaf. Each node is content or not; its own features
-(tag, class and id words, links, length) and its parent's state decide. Sum-product messages upward and downward give the
+(tag, hashed class, id and role words, links, length) and its parent's state decide. Sum-product messages upward and downward give the
 exact marginal of each node, and runs of text with a marginal of at least one half are the main text. The weights are those
 of a conditional random field fitted on labelled pages; `labelled_pages` makes such pages in many layouts.
 """
@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,11 +29,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dt dd".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-NOISE_WORDS = frozenset("nav navbar navigation menu menubar header masthead topbar footer bottom sidebar side aside widget ad ads advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored notice cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login signin register form search comment comments reply replies respond discussion disqus share sharing social follow related recommended recommendations trending breadcrumb breadcrumbs pagination pager toolbar skip legal copyright alert announcement dropdown".split())
-TEXT_WORDS = frozenset("article content main post entry story body text prose page document paragraph section".split())
-TAGS = {t: t for t in "article main body nav header footer aside form p li ul ol section div table blockquote pre figure figcaption td".split()} | dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), "heading") | {"dialog": "aside", "menu": "nav", "th": "td", "tr": "table", "tbody": "table"}
+# a tag ends at the first > outside of a quoted value; a quote that never ends is an ordinary character
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+WORD_BUCKETS = 1 << 14  # of hashed class, id and role words
 
 
 @dataclass
@@ -48,31 +53,66 @@ class Node:
     kept: float = field(default=0, repr=False)
 
 
-class Page(HTMLParser):
-    """Reads a page of any quality into nodes, parents before children; leaves are in page order."""
+class Page:
+    """Reads a page of any quality into nodes, parents before children; leaves are in page order.
+
+    Takes time in proportion to the page: open elements are counted by tag, so tags that match nothing are told at once.
+    """
 
     def __init__(self, label: str | None = None):
-        super().__init__(convert_charrefs=True)
         self.nodes, self.open = [Node(-1, "body")], [0]
-        self.hidden: list[str] = []  # open elements whose text is not seen
-        self.inside: list[str] = []  # block elements opened in those
+        self.opened: Counter[str] = Counter()  # tags of open elements
+        self.hidden: list[str] = []  # open elements whose text is not seen, and block elements opened in those
+        self.unseen: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked, self.in_link = 0, 0
         self.label, self.labels = label, [0]
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def read(self, html: str) -> list[Node]:
+        at, size = 0, len(html)
+        while at < size:
+            left = html.find("<", at)
+            left = size if left < 0 else left
+            if left > at:
+                self.data(html[at:left])
+            if left == size:
+                break
+            if m := TAG.match(html, left + 1):
+                at = m.end()
+                end, tag = m[1], m[2].lower()
+                if end:
+                    self.end(tag)
+                    continue
+                self.start(tag, m[3])
+                if tag in RAW:  # all up to its end tag is no markup
+                    close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(html, at)
+                    at = close.start() if close else size
+            elif html.startswith("<!--", left):
+                end = html.find("-->", left + 4)
+                at = size if end < 0 else end + 3
+            elif html.startswith(("<!", "<?", "</"), left):  # declarations of any kind
+                end = html.find(">", left + 2)
+                at = size if end < 0 else end + 1
+            elif left + 1 < size and html[left + 1].isascii() and html[left + 1].isalpha():
+                break  # a tag that the page ends in
+            else:
+                self.data("<")
+                at = left + 1
+        self._flush()
+        return self.nodes
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            self.handle_data(" ")
-        if tag == "body" or tag == "html" or self.hidden == ["head"] and tag not in HEAD:
-            self.hidden.clear()  # a head ends where its end tag should be
-        if tag == "body" or tag == "html":
+            self.data(" ")
+        if tag in ("body", "html") or self.hidden == ["head"] and tag not in HEAD:
+            self._show()  # a head ends where its end tag should be
+        if tag in ("body", "html"):
             return
-        if tag in UNSEEN:
-            self.hidden.append(tag)
         if tag in VOID or tag in UNSEEN or self.hidden:
-            if self.hidden and tag not in VOID and tag not in UNSEEN and tag not in INLINE:
-                self.inside.append(tag)
-            elif tag == "hr":
+            if tag in UNSEEN or self.hidden and tag not in VOID and tag not in INLINE:
+                self.hidden.append(tag)
+                self.unseen[tag] += 1
+            elif tag == "hr" and not self.hidden:
                 self._flush()
             return
         if tag in INLINE:
@@ -84,46 +124,45 @@ class Page(HTMLParser):
             self._close({"p"}, {"table", "td", "th"})
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], HOLDS[tag])
-        have = dict(attrs)
-        words = frozenset(x.lower() for k in ("class", "id") for x in WORDS.findall(have.get(k) or ""))
-        self.nodes.append(Node(self.open[-1], tag, words, (have.get("role") or "").lower()))
+        have: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attributes):
+            have.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
+        words = frozenset(x.lower() for k in ("class", "id") for x in WORDS.findall(have.get(k, "")))
+        self.nodes.append(Node(self.open[-1], tag, words, have.get("role", "").lower()))
         self.open.append(len(self.nodes) - 1)
+        self.opened[tag] += 1
         self.labels.append(int(have[self.label]) if self.label in have else self.labels[-1])
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag not in UNSEEN:
-            self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in UNSEEN:
-            if tag in self.hidden:
-                del self.hidden[self.hidden.index(tag) :]
-            if not self.hidden:
-                self.inside.clear()
-            return
+    def end(self, tag: str) -> None:
         if tag in INLINE:
             self.in_link -= tag == "a" and self.in_link > 0
-            return
-        if self.hidden and tag in self.inside:
-            del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
-            return
-        if tag in VOID or tag in ("body", "html"):
-            return
-        if any(self.nodes[i].tag == tag for i in self.open[1:]):
-            self.hidden.clear()  # what was opened in the element ends with it
-            self.inside.clear()
+        elif self.hidden and self.unseen[tag]:
+            # an unseen element ends with all that was opened in it, another one up to the last of its kind
+            while self.unseen[tag]:
+                last = self.hidden.pop()
+                self.unseen[last] -= 1
+                if last == tag and tag not in UNSEEN:
+                    break
+        elif self.opened[tag]:
+            self._show()  # what was opened in the element ends with it
             self._flush()
             self.in_link = 0
             while self.nodes[self.open[-1]].tag != tag:
                 self._pop()
             self._pop()
 
+    def _show(self) -> None:
+        self.hidden.clear()
+        self.unseen.clear()
+
     def _pop(self) -> None:
-        self.open.pop()
+        self.opened[self.nodes[self.open.pop()].tag] -= 1
         self.labels.pop()
 
     def _close(self, tags: set[str], walls: set[str]) -> None:
         """End the innermost open elements of these kinds, up to an element that holds them apart."""
+        if not any(self.opened[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.nodes[self.open[k]].tag
             if tag in walls:
@@ -131,11 +170,12 @@ class Page(HTMLParser):
             if tag in tags:
                 while len(self.open) > k:
                     self._pop()
-            elif tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead"):
+            elif tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "tbody"):
                 return
 
-    def handle_data(self, data: str) -> None:
+    def data(self, data: str) -> None:
         if not self.hidden:
+            data = unescape(data)
             self.parts.append(data)
             if self.in_link:
                 self.linked += len(data.strip())
@@ -149,11 +189,7 @@ class Page(HTMLParser):
 
 
 def read_page(html: str, label: str | None = None) -> list[Node]:
-    page = Page(label)
-    page.feed(html)
-    page.close()
-    page._flush()
-    nodes = page.nodes
+    nodes = Page(label).read(html)
     kept = [0] * len(nodes)
     for i in range(len(nodes) - 1, -1, -1):
         n = nodes[i]
@@ -176,24 +212,34 @@ def features(n: Node, nodes: list[Node]) -> list[str]:
     if n.text is not None:
         up = nodes[n.parent].tag
         size = min(8, int(math.log2(len(n.text) + 1)))
-        return ["leaf", f"leaf link {link}", f"leaf size {size}", f"leaf in {TAGS.get(up, 'other')}", "leaf ends" if n.text[-1] in ".!?:;\"”»)" else "leaf open", *["leaf sign"] * (n.text[0] == "©")]
-    noisy, texty = bool(n.words & NOISE_WORDS), bool(n.words & TEXT_WORDS)
-    out = ["node", f"tag {TAGS.get(n.tag, 'other')}", f"link {link}", f"words {'both' if noisy and texty else 'noise' if noisy else 'text' if texty else 'none'}", f"size {min(10, int(math.log2(n.chars + 1)))}"]
-    if n.role:
-        out.append("role text" if n.role in ("main", "article", "document") else "role noise" if n.role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert") else "role other")
-    return out
+        ends = "leaf ends" if n.text[-1] in ".!?:;\"”»)" else "leaf open"
+        return ["leaf", f"leaf link {link}", f"leaf size {size}", f"leaf in {_kind(up)}", ends, *["leaf sign"] * (n.text[0] == "©")]
+    out = ["node", f"tag {_kind(n.tag)}", f"link {link}", f"{_kind(n.tag)} link {link}", f"{_kind(n.tag)} in {_kind(nodes[n.parent].tag) if n.parent >= 0 else '-'}", f"size {min(10, int(math.log2(n.chars + 1)))}"]
+    out += ["named"] if n.words else ["unnamed"]
+    return out + [_hashed("word", w) for w in n.words] + ([_hashed("role", n.role)] if n.role else [])
+
+
+def _kind(tag: str) -> str:
+    return "heading" if tag in HEADINGS else tag
+
+
+def _hashed(kind: str, word: str) -> str:
+    return f"{kind} {zlib.crc32(word.encode('utf-8', 'replace')) % WORD_BUCKETS}"
+
+
+EDGES = ("leaf", "named", "plain")  # kinds of a node's bond with its parent: a part without a name rather follows its parent
 
 
 def _edge(n: Node) -> str:
-    return "leaf" if n.text is not None else "node"
+    return "leaf" if n.text is not None else "named" if n.words or n.role else "plain"
 
 
-def marginals(nodes: list[Node], weights: dict[str, float]) -> tuple[list[float], list[list[str]], list[tuple[str, list[float]]]]:
+def marginals(nodes: list[Node], weights: dict[str, float], found: list[list[str]] | None = None) -> tuple[list[float], list[list[str]], list[tuple[str, list[float]]]]:
     """Probability of content of each node, the nodes' features, and the joint marginals (edge kind, 2x2) of the edges."""
     n = len(nodes)
-    found = [features(x, nodes) for x in nodes]
+    found = found or [features(x, nodes) for x in nodes]
     own = [[0.0, sum(weights.get(f, 0.0) for f in fs)] for fs in found]
-    pair = {k: [[weights.get(f"{k} {a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)] for k in ("node", "leaf")}
+    pair = {k: [[weights.get(f"{k} {a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)] for k in EDGES}
     up = [[0.0, 0.0] for _ in nodes]  # message to the parent
     below = [x[:] for x in own]
     for i in range(n - 1, 0, -1):
@@ -221,24 +267,32 @@ def marginals(nodes: list[Node], weights: dict[str, float]) -> tuple[list[float]
     return out, found, joints
 
 
-def fit(pages: list[str], label: str = "data-y", rounds: int = 12, rate: float = 0.1, shrink: float = 1e-3, seed: int = 4) -> dict[str, float]:
-    """Weights by stochastic gradient ascent of the conditional likelihood; labels are an attribute of the pages' elements."""
-    trees = [read_page(x, label) for x in pages]
+def fit(pages: list[str], label: str = "data-y", rounds: int = 10, rate: float = 0.3, shrink: float = 1e-3, seed: int = 4) -> dict[str, float]:
+    """Weights by stochastic gradient ascent of the conditional likelihood; labels are an attribute of the pages' elements.
+
+    A page at a time, with steps by the gradients that a feature has had (Duchi, Hazan, Singer 2011).
+    """
+    trees = [(nodes, [features(n, nodes) for n in nodes]) for nodes in (read_page(x, label) for x in pages)]
     weights: dict[str, float] = {}
+    squares: dict[str, float] = {}
     order = random.Random(seed)
-    for k in range(rounds):
+    for _ in range(rounds):
         order.shuffle(trees)
-        step = rate / (1 + 0.3 * k)
-        for nodes in trees:
-            p, found, joints = marginals(nodes, weights)
+        for nodes, found in trees:
+            p, _, joints = marginals(nodes, weights, found)
+            gradient: dict[str, float] = {}
             for n, q, fs in zip(nodes, p, found, strict=True):
                 for f in fs:
-                    weights[f] = weights.get(f, 0.0) * (1 - step * shrink) + step * (n.label - q)
+                    gradient[f] = gradient.get(f, 0.0) + n.label - q
             for n, (kind, joint) in zip(nodes[1:], joints, strict=True):
                 seen = 2 * nodes[n.parent].label + n.label
                 for j in range(4):
                     f = f"{kind} {j >> 1}{j & 1}"
-                    weights[f] = weights.get(f, 0.0) + step * ((j == seen) - joint[j])
+                    gradient[f] = gradient.get(f, 0.0) + (j == seen) - joint[j]
+            for f, g in gradient.items():
+                g -= shrink * weights.get(f, 0.0)
+                squares[f] = squares.get(f, 1e-6) + g * g
+                weights[f] = weights.get(f, 0.0) + rate * g / math.sqrt(squares[f])
     return weights
 
 
@@ -249,76 +303,146 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     return "\n\n".join(n.text for n, q in zip(nodes, p, strict=True) if n.text is not None and q >= 0.5)
 
 
-def labelled_pages(count: int = 300, seed: int = 9) -> list[str]:
+# What sites call the parts of their pages. The pages below are made of these names; the model sees them only there.
+PART_NAMES = {
+    "nav": "nav navbar navigation menu main-menu menubar topnav breadcrumb breadcrumbs nav-links pagination pager toc skip-links tabs dropdown",
+    "header": "header site-header masthead topbar page-header branding logo-bar banner-top",
+    "footer": "footer site-footer bottom-bar colophon copyright legal imprint footer-links",
+    "ad": "ad ads advert adverts advertisement ad-slot adsense banner promo promotion promoted sponsor sponsored commercial",
+    "notice": "notice cookie-notice cookies consent gdpr alert announcement popup modal overlay paywall warning-bar",
+    "form": "search search-form newsletter subscribe subscription signup login register contact-form feedback",
+    "aside": "sidebar side widget widget-area rail right-column toolbar author-box info-box",
+    "share": "share social sharing follow social-links share-buttons likes",
+    "comments": "comments comment-list discussion replies responses respond disqus reader-comments guestbook",
+    "related": "related recommended recommendations trending popular more-stories read-next also-like",
+}
+TEXT_NAMES = "article article-body content main main-content post post-body entry entry-content story story-text body text prose page-text document"
+PLAIN_NAMES = "row col container wrapper inner outer grid box block left right center clearfix x7 css-1ab2c module panel"
+PART_TAGS = {"nav": ["nav", "div", "ul", "p"], "header": ["header", "div"], "footer": ["footer", "div"], "ad": ["div", "aside", "section"], "notice": ["div", "section", "p"]}
+PART_TAGS |= {"form": ["form", "div"], "aside": ["aside", "div", "td"], "share": ["div", "ul", "p"], "comments": ["section", "div", "ol"], "related": ["section", "aside", "div"]}
+PART_ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "aside": "complementary", "form": "search", "notice": "alert"}
+
+
+class Maker:
+    """Makes labelled pages: parts in any order and nesting, named or not, with the attribute data-y on what is (1) or isn't (0) main text."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def word(self) -> str:
+        return "".join(self.r.choice("ta ri mon el su ve dor ka in pe lo na ce".split()) for _ in range(self.r.randint(1, 4)))
+
+    def words(self, low: int, high: int) -> str:
+        return " ".join(self.word() for _ in range(self.r.randint(low, high)))
+
+    def lines(self, low: int, high: int, count: int = 1) -> str:
+        return " ".join(self.words(low, high).capitalize() + self.r.choice("....?!") for _ in range(count))
+
+    def link(self, low: int = 1, high: int = 3) -> str:
+        return f'<a href="/{self.word()}">{self.words(low, high)}</a>'
+
+    def wrap(self, tag: str, inner: str, names: str = "", named: float = 0.75, more: str = "") -> str:
+        own = f' {self.r.choice(("class", "class", "id"))}="{self.r.choice(names.split())}"' if names and self.r.random() < named else ""
+        return f"<{tag}{own}{more}>{inner}</{tag}>"
+
+    def listed(self, low: int, high: int) -> str:
+        """Links as a list, as runs in a line, or as paragraphs."""
+        links = [self.link() for _ in range(self.r.randint(low, high))]
+        form = self.r.random()
+        if form < 0.6:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
+        return " | ".join(links) if form < 0.85 else "".join(f"<div>{x}</div>" for x in links)
+
+    def paragraph(self) -> str:
+        """A block of main text."""
+        r, form = self.r, self.r.random()
+        if form < 0.1:
+            return self.wrap(f"h{r.randint(2, 4)}", self.words(1, 8))
+        if form < 0.2:
+            return f"<p>{self.lines(5, 25)} {self.link(1, 4)} {self.lines(4, 20)}"  # with a tag left open
+        if form < 0.27:
+            return self.wrap(r.choice(("ul", "ol")), "".join(f"<li>{self.words(2, 14)}" for _ in range(r.randint(2, 6))))
+        if form < 0.31:
+            return f"<blockquote><p>{self.lines(8, 30)}</p></blockquote>"
+        if form < 0.34:
+            return f'<figure><img src="x.png"><figcaption>{self.lines(3, 10)}</figcaption></figure>'
+        if form < 0.37:
+            return "<table>" + f"<tr><td>{self.words(1, 3)}<td>{self.words(1, 3)}" * r.randint(1, 4) + "</table>"
+        if form < 0.39:
+            return f"<pre>{self.words(3, 14)}</pre>"
+        if form < 0.42:
+            return self.wrap("div", self.lines(4, 25, r.randint(1, 4)))
+        if form < 0.47:
+            return f"<p>{r.choice((self.words(2, 9), self.lines(1, 2), r.choice('abcxyz').upper() + '.'))}</p>"
+        if form < 0.52:
+            return f"<p><em>{self.lines(4, 14)}<br>{self.lines(3, 12)}</em>"
+        return f"<p>{self.lines(4, 25, r.randint(1, 6))}</p>"
+
+    def part(self, kind: str) -> str:
+        """A part that is no main text."""
+        r = self.r
+        if kind in ("nav", "share", "related"):
+            inner = (self.wrap("h3", self.words(1, 3)) if kind == "related" else self.words(0, 2)) + self.listed(2, 9)
+        elif kind == "header":
+            inner = f"{self.link(1, 2)}{self.wrap('p', self.words(2, 7))}{self.listed(2, 5) if r.random() < 0.4 else ''}"
+        elif kind == "footer":
+            sign = r.choice(("&copy;", "©", "(c)", "")) + f" {r.randint(1990, 2030)}"
+            inner = r.choice((f"<p>{sign} {self.words(1, 4)}</p>", f"{sign} {self.lines(2, 9)}", self.listed(2, 5), f"{self.lines(3, 12)} {self.link()}"))
+        elif kind == "ad":
+            inner = r.choice((self.lines(2, 16), f"<p>{self.lines(3, 22)}</p>", self.link(2, 8), f"{self.lines(2, 9)} {self.link(1, 3)}"))
+        elif kind == "notice":
+            inner = f"<p>{self.lines(5, 25)}</p>{r.choice(('', '<button>ok</button>', self.link()))}"
+        elif kind == "form":
+            inner = f"<p>{self.words(2, 8)}</p><label>{self.words(1, 2)}</label><input name=q><button>{self.word()}</button>"
+        elif kind == "aside":
+            text = f"<p>{self.lines(5, 25)}</p>"
+            inner = self.wrap("h3", self.words(1, 3)) + r.choice((self.listed(3, 7), text, text + self.listed(2, 4)))
+        else:
+            one = r.choice(("div", "li", "article", "p"))
+            said = [f"<b>{self.word()}</b> {self.lines(3, 20, r.randint(1, 3))}" for _ in range(r.randint(1, 5))]
+            said = [x if one == "p" else f"<{one}{' class=comment' * (r.random() < 0.5)}><p>{x}</p></{one}>" for x in said]
+            inner = (self.wrap("h2", self.words(1, 3)) if r.random() < 0.7 else "") + "".join(x if one != "p" else f"<p>{x}</p>" for x in said)
+        role = f' role="{PART_ROLES[kind]}"' if kind in PART_ROLES and r.random() < 0.2 else ""
+        tag = r.choice(PART_TAGS[kind])
+        return self.wrap(tag, inner, PART_NAMES[kind], 0.5 if tag in ("nav", "header", "footer", "form", "aside") else 0.85, role + " data-y=0")
+
+    def parts(self, kinds: str, chance: float) -> list[str]:
+        return [self.part(k) for k in kinds.split() if self.r.random() < chance]
+
+    def page(self) -> str:
+        r = self.r
+        blocks = [self.paragraph() for _ in range(r.choice((0, 0, 1, 1, 1, 2, 2, 3, *range(1, 15))))]
+        for _ in range(r.choice((0, 0, 1, 2))):
+            blocks.insert(r.randrange(len(blocks) + 1), self.part(r.choice(("ad", "share", "form", "aside", "related"))))
+        title = f"<h1>{self.words(2, 9)}</h1>" if r.random() < 0.85 or not blocks else ""
+        text = (self.wrap("header", title) if title and r.random() < 0.15 else title) + "".join(blocks)
+        form = r.random()
+        if form < 0.45:
+            text = self.wrap(r.choice(("article", "article", "main")), text, TEXT_NAMES, 0.4, " data-y=1")
+        elif form < 0.82:
+            text = self.wrap(r.choice(("div", "div", "section")), text, f"{TEXT_NAMES} {PLAIN_NAMES}", 0.8, r.choice((" data-y=1", ' data-y=1 role="main"')))
+        else:
+            text = self.wrap("td", text, TEXT_NAMES, 0.3, " data-y=1")
+        before, after = self.parts("header nav notice ad nav form", 0.45), self.parts("share related comments aside form ad", 0.35)
+        beside = self.parts("aside nav ad", 0.3)
+        if text.startswith("<td"):
+            cells = [x if x.startswith("<td") else f"<td data-y=0>{x}</td>" for x in beside]
+            plain = [f"<td data-y=0>{r.choice((self.listed(1, 6), '<br>'.join(self.link() for _ in range(r.randint(2, 6)))))}</td>" for _ in range(3)]
+            top = f"<tr>{plain[0]}</tr>" if r.random() < 0.5 else ""
+            cells += [x for x in plain[1:] if r.random() < 0.4]
+            text = f"<table>{top}<tr>{''.join(cells[:2])}{text}{''.join(cells[2:])}</tr></table>"
+        else:
+            text = "".join(beside[:1]) + text + "".join(beside[1:])
+            for _ in range(r.choice((0, 0, 1, 2))):
+                text = self.wrap("div", text, PLAIN_NAMES, 0.7)
+        foot = self.part("footer") if r.random() < 0.8 else ""
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 5)}</title></head><body>{''.join(before)}{text}{''.join(after)}{foot}</body></html>"
+
+
+def labelled_pages(count: int = 600, seed: int = 9) -> list[str]:
     """Made-up pages with the attribute data-y: 1 on elements of the main text, 0 on the others."""
-    r = random.Random(seed)
-    syllables = "ta ri mon el su ve dor ka in pe lo na ce".split()
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
-    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
-    line = lambda a, b: words(a, b).capitalize() + "."
-    links = lambda k: "".join(f"<li><a href='#'>{words(1, 3)}</a></li>" for _ in range(k))
-    name = lambda own: f" {r.choice(('class', 'id'))}='{own}'" if own and r.random() < 0.7 else ""
-
-    def paragraph() -> str:
-        x = r.random()
-        if x < 0.2:
-            return f"<p>{line(1, 3)}</p>"
-        if x < 0.3:
-            return f"<p>{line(5, 30)} <a href='#'>{words(1, 4)}</a> {line(5, 20)}</p>"
-        if x < 0.36:
-            return f"<h{r.randint(2, 4)}>{words(1, 7)}</h2>"
-        if x < 0.42:
-            return "<ul>" + "".join(f"<li>{words(2, 12)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-        if x < 0.46:
-            return f"<blockquote><p>{line(8, 30)}</p></blockquote>"
-        if x < 0.49:
-            return f"<figure><img src='x.png'><figcaption>{line(3, 10)}</figcaption></figure>"
-        if x < 0.51:
-            return f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>"
-        if x < 0.53:
-            return f"<pre>{words(3, 12)}</pre>"
-        return f"<p>{' '.join(line(4, 25) for _ in range(r.randint(1, 6)))}</p>"
-
-    def noise(kind: str) -> str:
-        if kind == "nav":
-            return r.choice([f"<nav data-y=0{name('main-nav')}><ul>{links(r.randint(3, 9))}</ul></nav>", f"<div data-y=0 class='{r.choice(('menu', 'navbar', 'breadcrumbs', 'nav-links'))}'>{' '.join(f'<a href=#>{words(1, 2)}</a>' for _ in range(r.randint(3, 8)))}</div>", f"<ul data-y=0 class='{r.choice(('menu', 'x1', 'pagination'))}'>{links(r.randint(3, 9))}</ul>"])
-        if kind == "header":
-            return f"<{(t := r.choice(('header', 'div')))} data-y=0 {'class=site-header' if t == 'div' else ''}><a href='/'>{words(1, 2)}</a><p>{words(2, 6)}</p></{t}>"
-        if kind == "footer":
-            return f"<{(t := r.choice(('footer', 'div')))} data-y=0 {r.choice(('class=footer', 'id=site-footer', 'class=bottom-bar')) if t == 'div' else ''}>{r.choice((f'<p>&copy; 2020 {words(1, 3)}. {line(2, 6)}</p>', f'&copy; {words(1, 2)} &middot; {line(4, 12)}'))}{f'<ul>{links(3)}</ul>' if r.random() < 0.5 else ''}</{t}>"
-        if kind == "ad":
-            return f"<{(t := r.choice(('div', 'div', 'aside', 'section')))} data-y=0 class='{r.choice(('ad', 'ads', 'advert', 'ad-box', 'banner', 'promo', 'sponsored', 'advertisement'))}'>{r.choice((line(2, 14), f'<p>{line(3, 20)}</p>', f'<a href=#>{words(2, 8)}</a>'))}</{t}>"
-        if kind == "notice":
-            return f"<div data-y=0 {r.choice(('class=cookie-notice', 'id=consent', 'class=notice', 'role=alert', 'class=alert-box', 'class=gdpr-banner'))}><p>{line(6, 25)}</p></div>"
-        if kind == "form":
-            return f"<form data-y=0{name(r.choice(('search-form', 'newsletter', 'login', '')))}><p>{words(2, 8)}</p><label>{words(1, 2)}</label><input name=a><button>{word()}</button></form>"
-        if kind == "aside":
-            return f"<{(t := r.choice(('aside', 'div')))} data-y=0 {r.choice(('class=sidebar', 'id=sidebar', 'class=widget-area', 'class=related')) if t == 'div' else name('sidebar')}><h3>{words(1, 3)}</h3>{r.choice((f'<ul>{links(4)}</ul>', f'<p>{line(5, 25)}</p>', f'<p>{line(5, 20)}</p><ul>{links(3)}</ul>'))}</{t}>"
-        if kind == "share":
-            return f"<div data-y=0 class='{r.choice(('share', 'social-links', 'sharing'))}'><a href=#>{word()}</a> <a href=#>{word()}</a> {words(0, 2)}</div>"
-        if kind == "comments":
-            inner = r.choice(("div", "li", "article"))
-            one = lambda: f"<{inner} class='comment'><b>{word()}</b><p>{' '.join(line(3, 20) for _ in range(r.randint(1, 3)))}</p></{inner}>"
-            return f"<{(t := r.choice(('section', 'div', 'ol')))} data-y=0 {r.choice(('id=comments', 'class=comments', 'class=comment-list', 'class=discussion', 'id=replies'))}>{f'<h2>{words(1, 3)}</h2>' if t != 'ol' else ''}{''.join(one() for _ in range(r.randint(1, 5)))}</{t}>"
-        return f"<section data-y=0 class='{r.choice(('related', 'recommended', 'trending'))}'><h2>{words(1, 3)}</h2><ul>{links(r.randint(2, 6))}</ul></section>"
-
-    def page() -> str:
-        body = [paragraph() for _ in range(r.choice((0, 1, 1, 2, 3, *range(1, 15))))]
-        if r.random() < 0.35:
-            body.insert(r.randrange(len(body) + 1), noise(r.choice(("ad", "share", "ad", "form", "aside"))))
-        head = f"<h1>{words(2, 9)}</h1>" if r.random() < 0.85 else ""
-        if r.random() < 0.15:
-            head = f"<header>{head}</header>"
-        if r.random() < 0.3 or not head + "".join(body):
-            body.insert(0, f"<p><b>{line(3, 12)}<br>")
-        text = head + "".join(body)
-        opened, closed = r.choice([("<article data-y=1>", "</article>")] * 4 + [("<main data-y=1>", "</main>")] * 2 + [(f"<div data-y=1 {x}>", "</div>") for x in ("class=content", "id=main", "class=post-body", "class='entry-content'", "class=story", "class=x7", "")] + [("<main><article data-y=1 class=post>", "</article></main>"), ("<div class=wrap><div data-y=1 class=article-text>", "</div></div>"), ("<section data-y=1>", "</section>")])
-        before = [noise(k) for k in ("header", "nav", "notice", "ad", "nav", "form") if r.random() < 0.45]
-        after = [noise(k) for k in ("share", "related", "comments", "aside", "form", "ad") if r.random() < 0.35]
-        foot = noise("footer") if r.random() < 0.8 else ""
-        return f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{margin:0}}</style></head><body>{''.join(before)}{opened}{text}{closed}{''.join(after)}{foot}</body></html>"
-
-    return [page() for _ in range(count)]
+    maker = Maker(seed)
+    return [maker.page() for _ in range(count)]
 
 
 def extract(pages: DataFrame, weights: dict[str, float], html_col: str = "html") -> DataFrame:
