@@ -1,13 +1,16 @@
 """Operator 9: mixing sources to target weights, in DataFrame functions only.
 
-Each source's words form one stream, its documents in a fixed pseudorandom order, cut into blocks of `block` words.
-A source's target is met in epochs over its blocks; in each epoch slot i takes the block that a pseudorandom index
-permutation of that source maps i to, and the last slot takes only the words still missing, so totals are exact.
-The slots of all sources are dealt to output shards by a permutation of all slot numbers, which makes the source counts
-of the shards multinomial draws given the totals. Blocks and the documents' pieces in them are joined by index.
+Each source's words form one stream, its documents in a fixed pseudorandom order, cut into blocks of `block` words. A source
+needs so many slots: all blocks for each whole epoch of its target, and for the last epoch as many as give the words missing.
+Output shards draw the source of each of their slots independently, with the sources' shares of all slots as chances, so the
+counts of a shard are a multinomial draw. A source takes its slots in order of shards; what is drawn beyond its slots is void,
+and what it has left goes to a few more shards at the end, so totals are exact to a word. The i-th slot of a source takes the
+block that a pseudorandom index permutation of that source and epoch maps i to; the last slot takes only the words still
+missing. Blocks and the documents' pieces in them are joined by index.
 
 Permutations are swap-or-not networks (Hoang, Morris, Rogaway 2012): right for any length, and invertible.
-Running sums have two levels, so that no source's documents meet in one task.
+Running sums have two levels, so that neither a source's documents nor its shards meet in one task. Only the table of
+sources, one short row each, is ordered as a whole.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ ROUNDS = 24  # of the permutations
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5  # of all words, that the mix holds
 CAP = 2.0  # times its own size, that a source may give
-CHUNK = 1 << 12  # slots that one row of the slot table is expanded to
+SPAN = 1 << 12  # shards whose counts are summed up together
 SEED = 20
 
 
@@ -78,18 +81,20 @@ def _layout(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 class Mix:
-    """The tables of a mix: documents (id, source, size, mark, start), sources, slots and pieces."""
+    """The tables of a mix: documents (id, source, size, mark, start), sources, counts, slots and pieces."""
 
-    def __init__(self, documents: DataFrame, sources: DataFrame, slots: DataFrame, pieces: DataFrame):
-        self.documents, self.sources, self.slots, self.pieces = documents, sources, slots, pieces
+    def __init__(self, documents: DataFrame, sources: DataFrame, counts: DataFrame, slots: DataFrame, pieces: DataFrame):
+        self.documents, self.sources, self.counts, self.slots, self.pieces = documents, sources, counts, slots, pieces
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> Mix:
     """Mix all docs.
 
     documents: id, source, size (words; 0 for null text), mark (hash of the text) and start in the source's stream.
-    sources: source, source_size, weight, target, wanted (the target in whole words) and n_blocks.
-    slots: source, block, epoch, shard, slot (0 ... of the whole mix), take (words from the block's start).
+    sources: source, source_size, weight, target, wanted (the target in whole words), n_blocks and n_slots, with no, its place.
+    counts: no, shard, drawn (slots of the shard that drew the source), n (those it has slots left for) and first (its slots
+    before); shards beyond those that draw hold what is left, drawn 0.
+    slots: source, block, epoch, shard, slot (a number of its own in the whole mix), take (words from the block's start).
     pieces: what each slot takes of each document: source, start (of the document), shard, slot, epoch, first (word of
     the document), words.
     A null source is a source, last in order; rows that repeat an id are documents of their own; an empty table gives
@@ -101,34 +106,79 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents = stored(_layout(rows, buckets))
     sizes = documents.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(sizes, weights, share, cap).withColumn("wanted", F.floor(F.col("target") + 1e-6))
-    sources = stored(sources.withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}")))
-    slots = stored(_slots(sources, block))
-    return Mix(documents, sources, slots, _pieces(documents, slots, block))
-
-
-def _slots(sources: DataFrame, block: int) -> DataFrame:
-    n, i, key = F.col("n_blocks"), F.col("i"), F.xxhash64(F.lit("blocks"), F.coalesce("source", F.lit("\x00null")), F.col("epoch"))
-    used = sources.where("wanted > 0")
-    epochs = used.withColumn("epoch", F.explode(F.expr("sequence(0L, (wanted - 1) div source_size)")))
-    epochs = epochs.withColumn("words", F.expr("least(source_size, wanted - epoch * source_size)"))  # of this epoch
-    last = F.expr(f"source_size - (n_blocks - 1) * {block}")  # words of the last block, which may be short
-    epochs = epochs.withColumns({"last": last, "short": permuted(n - 1, n, key, inverse=True)})
-    # slots of the epoch: its words need so many, one more if the short block is among them and they don't suffice
+    sources = stored(_needs(sources.withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}")), block))
+    counts = stored(_counts(sources))
+    slots = stored(_slots(sources, counts, block))
+    return Mix(documents, sources, counts, slots, _pieces(documents, slots, block))
+
+
+def _epoch_key(epoch: Column) -> Column:
+    return F.xxhash64(F.lit("blocks"), F.coalesce("source", F.lit("\x00null")), epoch)
+
+
+def _needs(sources: DataFrame, block: int) -> DataFrame:
+    """sources with their slots: whole (epochs that take every block), words (of the last epoch), tail (words of the last
+    block), short (the last epoch's slot of that block), n_slots, before (slots of the sources before), no."""
+    n, some = F.col("n_blocks"), F.col("wanted") > 0
+    out = sources.withColumn("whole", F.when(some, F.expr("(wanted - 1) div source_size")).otherwise(0))
+    out = out.withColumns({"words": F.col("wanted") - F.col("whole") * F.col("source_size"), "tail": F.expr(f"source_size - (n_blocks - 1) * {block}")})
+    out = out.withColumn("short", F.when(some, permuted(n - 1, F.greatest(n, F.lit(1)), _epoch_key(F.col("whole")), inverse=True)))
+    # the last epoch has one slot more if the short block is among its slots and they don't suffice
     full = F.expr(f"(words + {block - 1}) div {block}")
-    epochs = epochs.withColumn("full", full)
-    more = (F.col("short") < F.col("full")) & (F.col("full") < n) & (F.col("full") * block - block + F.col("last") < F.col("words"))
-    epochs = epochs.withColumn("n_slots", F.least(n, F.col("full") + more.cast("long")))
-    before = Window.orderBy(F.col("source").asc_nulls_last(), "epoch").rowsBetween(Window.unboundedPreceding, -1)
-    epochs = epochs.withColumns({"base": F.coalesce(F.sum("n_slots").over(before), F.lit(0)), "all_slots": F.sum("n_slots").over(Window.partitionBy())})
-    # with a number Spark does not put the few chunk rows together again: all the work comes after them
+    more = (F.col("short") < full) & (full < n) & (full * block - block + F.col("tail") < F.col("words"))
+    slots = F.col("whole") * n + F.least(n, full + more.cast("long"))
+    out = out.withColumn("n_slots", F.when(some, slots).otherwise(0).cast("long"))
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    before = F.coalesce(F.sum("n_slots").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out.withColumns({"before": before.cast("long"), "no": F.row_number().over(order).cast("long")})
+
+
+def _counts(sources: DataFrame) -> DataFrame:
+    """(no, shard, drawn, n, first), see mix."""
+    spark = sources.sparkSession
+    total, n_sources = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0)), F.count("*")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # each slot draws a number below the total; the source whose range holds it is found by a bucket of numbers
+    width = total // (4 * n_sources + 64) + 1
+    draws = spark.range(0, total, 1, parts).select(F.expr(f"id div {SHARD}").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 3), "id"), F.lit(max(1, total))).alias("at"))
+    ranges = sources.where("n_slots > 0").select("no", "n_slots", "before", F.explode(F.expr(f"sequence(before div {width}, (before + n_slots - 1) div {width})")).alias("bucket"))
+    met = draws.withColumn("bucket", F.expr(f"at div {width}")).join(ranges, "bucket").where("at >= before AND at < before + n_slots")
+    drawn = stored(met.groupBy("no", "n_slots", "shard").agg(F.count("*").alias("drawn")).withColumn("span", F.expr(f"shard div {SPAN}")))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    spans = drawn.groupBy("no", "span").agg(F.sum("drawn").alias("sum"))
+    spans = spans.select("no", "span", F.coalesce(F.sum("sum").over(earlier("no").orderBy("span")), F.lit(0)).alias("spans_before"))
+    within = F.coalesce(F.sum("drawn").over(earlier("no", "span").orderBy("shard")), F.lit(0))
+    placed = drawn.withColumn("within", within).join(spans, ["no", "span"]).withColumn("first", F.col("spans_before") + F.col("within"))
+    n = F.greatest(F.lit(0), F.least(F.col("drawn"), F.col("n_slots") - F.col("first")))
+    placed = placed.select("no", "shard", "drawn", n.cast("long").alias("n"), "first")
+    # slots that no shard drew: in order of the sources, in shards of their own
+    got = drawn.groupBy(F.col("no").alias("d_no")).agg(F.sum("drawn").alias("d_sum"))
+    left = sources.join(got, F.col("no") == F.col("d_no"), "left").select("no", "n_slots", F.coalesce("d_sum", F.lit(0)).alias("first")).where("n_slots > first")
+    at = F.coalesce(F.sum(F.col("n_slots") - F.col("first")).over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = left.withColumn("at", at).withColumn("k", F.explode(F.expr(f"sequence(at div {SHARD}, (at + n_slots - first - 1) div {SHARD})")))
+    start = F.greatest(F.col("at"), F.col("k") * SHARD)
+    end = F.least(F.col("at") + F.col("n_slots") - F.col("first"), (F.col("k") + 1) * SHARD)
+    left = left.select("no", (F.col("k") + -(-total // SHARD)).alias("shard"), F.lit(0).cast("long").alias("drawn"), (end - start).alias("n"), (F.col("first") + start - F.col("at")).alias("first"))
+    return placed.unionByName(left)
+
+
+def _slots(sources: DataFrame, counts: DataFrame, block: int) -> DataFrame:
+    n, i = F.col("n_blocks"), F.col("i")
+    used = counts.where("n > 0")
+    shard = Window.partitionBy("shard")
+    before = F.coalesce(F.sum("n").over(shard.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = used.withColumns({"in_shard": before, "shard_size": F.sum("n").over(shard)})
+    facts = sources.select("no", "source", "source_size", "n_blocks", "whole", "words", "tail", "short")
+    # with a number Spark does not put the rows together again: all the work comes after them
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = epochs.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK})"))).repartition(parts, "source", "epoch", "chunk")
-    slots = chunks.withColumn("i", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(n_slots, (chunk + 1) * {CHUNK}) - 1)")))
-    slots = slots.withColumns({"block": permuted(i, n, key), "slot": permuted(F.col("base") + i, F.col("all_slots"), F.lit("slots"))})
-    done = i * block - F.when(F.col("short") < i, block - F.col("last")).otherwise(0)
-    whole = F.when(i == F.col("short"), F.col("last")).otherwise(block)
-    slots = slots.withColumn("take", F.greatest(F.lit(0), F.least(whole, F.col("words") - done)))
-    return slots.select("source", "block", "epoch", F.expr(f"slot div {SHARD}").alias("shard"), "slot", "take").where("take > 0")
+    slots = used.join(facts, "no").repartition(parts, "no", "shard").withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
+    slots = slots.withColumn("i", F.col("first") + F.col("j")).withColumn("epoch", F.expr("i div n_blocks"))
+    slots = slots.withColumn("i", i - F.col("epoch") * n).withColumn("block", permuted(i, n, _epoch_key(F.col("epoch"))))
+    slots = slots.withColumn("slot", F.col("shard") * SHARD + permuted(F.col("in_shard") + F.col("j"), F.col("shard_size"), F.xxhash64(F.lit("slots"), "shard")))
+    size = F.when(F.col("block") == n - 1, F.col("tail")).otherwise(block)
+    done = i * block - F.when(F.col("short") < i, block - F.col("tail")).otherwise(0)
+    take = F.when(F.col("epoch") < F.col("whole"), size).otherwise(F.greatest(F.lit(0), F.least(size, F.col("words") - done)))
+    return slots.select("source", "block", "epoch", "shard", "slot", take.alias("take")).where("take > 0")
 
 
 def _pieces(documents: DataFrame, slots: DataFrame, block: int) -> DataFrame:

@@ -446,6 +446,63 @@ def test_mixing(spark, block):
     assert sorted({r.slot for r in slots}) == sorted(r.slot for r in slots)
 
 
+def plain_pieces(m, block, order):
+    """What a mix takes, in plain loops: (source, start, epoch, first, words), given each epoch's order of blocks."""
+    out = []
+    for s in m.sources.collect():
+        docs = sorted((r.start, r["size"]) for r in m.documents.collect() if r.source == s.source and r["size"])
+        left, epoch = s.wanted, 0
+        while left > 0:
+            for b in order(s.source, epoch, s.n_blocks):
+                take = min(block, s.source_size - b * block, left)
+                left -= take
+                for start, size in docs:
+                    a, e = max(start, b * block), min(start + size, b * block + take)
+                    if a < e:
+                        out.append((s.source, start, epoch, a - start, e - a))
+            epoch += 1
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [16, 100])
+def test_mix_takes_the_blocks_of_the_permutations(spark, block):
+    rows = mixing_rows()
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=block)
+
+    def order(source, epoch, n):
+        x = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.xxhash64(F.lit("blocks"), F.lit(source if source is not None else "\x00null"), F.lit(epoch).cast("long"))).alias("b"), "id")
+        return [r.b for r in x.orderBy("id").collect()]
+
+    got = sorted(((r.source, r.start, r.epoch, r["first"], r.words) for r in m.pieces.collect()), key=str)
+    assert got == plain_pieces(m, block, order)
+
+
+def test_shards_draw_their_counts(spark, monkeypatch):
+    """Counts of shards are multinomial: mean and variance of each source, covariance of two; totals are exact."""
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    monkeypatch.setattr(mixing, "SPAN", 8)
+    rows = [(i, "w " * 200, f"s{min(i % 10, 3)}") for i in range(1500)]
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=10)
+    sources = {r.no: r for r in m.sources.collect()}
+    total = sum(r.n_slots for r in sources.values())
+    counts, sums = {}, {}
+    for r in m.counts.collect():
+        counts.setdefault(r.shard, {})[r.no] = r.drawn
+        sums[r.no] = sums.get(r.no, 0) + r.n
+    assert sums == {k: r.n_slots for k, r in sources.items()}
+    shards = [c for k, c in counts.items() if k < total // 64]
+    assert len(shards) == total // 64 > 500 and all(sum(c.values()) == 64 for c in shards)
+    table = np.array([[c.get(k, 0) for k in sources] for c in shards])
+    share = np.array([r.n_slots / total for r in sources.values()])
+    spread = 64 * (np.diag(share) - np.outer(share, share))
+    assert np.all(np.abs(table.mean(0) - 64 * share) < 4 * np.sqrt(np.diag(spread) / len(table)))
+    assert np.all(np.abs(np.cov(table.T) - spread) < 0.2 * np.sqrt(np.outer(np.diag(spread), np.diag(spread))))
+    used = [r.shard for r in m.slots.select("shard").collect()]
+    assert len(used) == total and max(used) <= total // 64 + 12  # few shards for what is left
+    per = m.slots.groupBy("source", "epoch", "block").count().where("count > 1")
+    assert per.count() == 0
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     m = mixing.mix(df)
