@@ -6,7 +6,7 @@ once in the corpus hold no repeat and go, unless the gram of the key recurs in t
 windows of its own, so it counts twice. The others are dealt to shards by key. A shard sorts the suffixes of its regions
 by Larsson-Sadakane refinement, takes common prefixes with Kasai's algorithm (regions are its lanes), and of every set of
 equal windows keeps the earliest. Keys with very many regions are cut into several shards; the windows that each of those
-keeps are merged by binary search. Whole copies of a document are found first and enter only once.
+keeps are sorted runs in suffix order, merged by binary search. Whole copies of a document are found first and enter only once.
 """
 
 from __future__ import annotations
@@ -85,7 +85,8 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffixes in order, rank of each, whether a place ties with the one before) by Larsson-Sadakane refinement.
 
     Suffixes start in groups of equal 8-byte prefixes; each round sorts the groups that are not yet single by the ranks h
-    bytes on and doubles h. Suffixes that agree in 128 bytes tie and keep any order.
+    bytes on and doubles h. Suffixes that agree in 128 bytes tie and keep any order: only their first 100 bytes are asked
+    for, so a further round, and the order of such suffixes, could not change a result.
     """
     n = len(text)
     eight = _eight(text)
@@ -161,8 +162,8 @@ def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-RESULT = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("salt", pa.int32())])
-RESULT_SQL = "id bigint, mark bigint, first bigint, last bigint, h1 bigint, h2 bigint, salt int"
+RESULT = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("salt", pa.int32()), ("window", pa.binary())])
+RESULT_SQL = "id bigint, mark bigint, first bigint, last bigint, salt int, window binary"
 
 
 def _shards(table: pa.Table) -> pa.Table:
@@ -189,13 +190,13 @@ def _shards(table: pa.Table) -> pa.Table:
 def _result(runs: dict[str, np.ndarray], kept: list[tuple]) -> pa.Table:
     flat = pa.table({x: v.astype(np.int64) for x, v in runs.items()})
     n = flat.num_rows
-    flat = flat.append_column("h1", pa.nulls(n, pa.int64())).append_column("h2", pa.nulls(n, pa.int64())).append_column("salt", pa.nulls(n, pa.int32()))
+    flat = flat.append_column("salt", pa.nulls(n, pa.int32())).append_column("window", pa.nulls(n, pa.binary()))
     more = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*kept, strict=True), RESULT, strict=True)], schema=RESULT) if kept else RESULT.empty_table()
     return pa.concat_tables([flat.cast(RESULT), more])
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    """Repeated windows of a shard as runs (id, mark, first, last); of cut keys also each window kept, with its hash."""
+    """Repeated windows of a shard as runs (id, mark, first, last); of cut keys also each window kept, in suffix order."""
     col = {x: table[x].to_numpy() for x in ("id", "mark", "first", "last", "salt")}
     parts = table["bytes"].to_pylist()
     text = np.frombuffer(SEPARATOR.join(parts) + SEPARATOR, np.uint8)
@@ -220,34 +221,54 @@ def _shard(table: pa.Table) -> pa.Table:
     r = np.searchsorted(starts, a, "right") - 1
     runs = {"id": col["id"][r], "mark": col["mark"][r], "first": col["first"][r] + a - starts[r], "last": col["first"][r] + b - starts[r]}
     kept = []
-    for i in np.flatnonzero(~gone & (col["salt"][region] >= 0)):
-        k = region[i]
-        digest = hashlib.blake2b(parts[k][within[i] : within[i] + WINDOW], digest_size=16).digest()
-        at = int(col["first"][k] + within[i])
-        kept.append((int(col["id"][k]), int(col["mark"][k]), at, at, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), int(col["salt"][k])))
+    for i in sort[~gone[sort] & (col["salt"][region[sort]] >= 0)].tolist():
+        k, at = region[i], int(within[i])
+        place = int(col["first"][k] + at)
+        kept.append((int(col["id"][k]), int(col["mark"][k]), place, place, int(col["salt"][k]), parts[k][at : at + WINDOW]))
     return _result(runs, kept)
 
 
+PLACE = ["id", "mark", "first"]
+
+
+def _sooner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether places (id, mark, first) of a come before those of b, row by row."""
+    less, same = np.zeros(len(a), bool), np.ones(len(a), bool)
+    for k in range(3):
+        less |= same & (a[:, k] < b[:, k])
+        same &= a[:, k] == b[:, k]
+    return less
+
+
+def _merge_runs(a: tuple, b: tuple) -> tuple[tuple, np.ndarray]:
+    """Two runs (sorted windows, their places) as one with the earliest place of each window, and the places that go."""
+    at = np.searchsorted(a[0], b[0])
+    found = np.zeros(len(at), bool)
+    inside = at < len(a[0])
+    found[inside] = a[0][at[inside]] == b[0][inside]
+    places = a[1].copy()
+    mine, theirs = at[found], b[1][found]
+    swap = _sooner(theirs, places[mine])
+    gone = np.concatenate((theirs[~swap], places[mine[swap]]))
+    places[mine[swap]] = theirs[swap]
+    return (np.insert(a[0], at[~found], b[0][~found]), np.insert(places, at[~found], b[1][~found], 0)), gone
+
+
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows that some other shard of their key has earlier, by binary search of each shard's hashes in those before it."""
-    gone = []
-    keys = np.empty(0, np.int64)  # sorted, with the earliest window of each
-    best = pd.DataFrame(columns=["id", "mark", "first", "h1", "h2"])
+    """Windows that some other shard of their key has earlier: the shards' sorted runs are merged, the smallest two at a time."""
+    runs = []
     for _, part in pdf.groupby("salt"):
-        part = part.sort_values(["h1", "id", "mark", "first"]).reset_index(drop=True)
-        at = np.searchsorted(keys, part["h1"].to_numpy())
-        old = best.iloc[np.minimum(at, max(0, len(keys) - 1))].reset_index(drop=True) if len(keys) else best.reindex(range(len(part)))
-        found = ((at < len(keys)) & (old["h1"] == part["h1"]).to_numpy() & (old["h2"] == part["h2"]).to_numpy()).astype(bool)
-        mine = pd.MultiIndex.from_frame(part[["id", "mark", "first"]])
-        theirs = pd.MultiIndex.from_frame(old[["id", "mark", "first"]])
-        later = np.array([f and tuple(a) > tuple(b) for f, a, b in zip(found, mine, theirs, strict=True)], bool)
-        gone.append(part[later])
-        sooner = found & ~later
-        gone.append(old[sooner])
-        best = pd.concat([best.drop(index=best.index[at[sooner]]), part[~later][list(best.columns)]]).sort_values("h1", kind="stable").reset_index(drop=True)
-        keys = best["h1"].to_numpy(np.int64)
-    out = pd.concat(gone) if gone else pdf.head(0)
-    return pd.DataFrame({"id": out["id"], "mark": out["mark"], "first": out["first"], "last": out["first"]}).astype("int64")
+        windows = np.array(part["window"].tolist(), f"S{WINDOW}")
+        order = np.argsort(windows, kind="stable")  # in order but for runs of several shards of a task
+        runs.append((windows[order], part[PLACE].to_numpy(np.int64)[order]))
+    gone = [np.empty((0, 3), np.int64)]
+    while len(runs) > 1:
+        runs.sort(key=lambda x: len(x[0]), reverse=True)
+        both, out = _merge_runs(runs.pop(), runs.pop())
+        runs.append(both)
+        gone.append(out)
+    out = np.concatenate(gone)
+    return pd.DataFrame({"id": out[:, 0], "mark": out[:, 1], "first": out[:, 2], "last": out[:, 2]})
 
 
 def _count_keys(texts: DataFrame) -> DataFrame:
@@ -324,11 +345,12 @@ def repeated(texts: DataFrame, split: int = SPLIT, most_bits: int = MOST_BITS) -
     full = stored(counts.where(F.col("n") > split).select("key", F.ceil(F.col("n") / split).alias("salts")))
     found = found.join(full, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.lit(5), "id", "mark", "first"), F.col("salts")), F.lit(-1)).cast("int")).drop("salts")
     bins = 8 + int(n_regions) * 132 // TASK_BYTES
-    dealt = found.withColumn("bin", F.pmod(F.xxhash64(F.lit(6), "key", "salt"), F.lit(bins)))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), bins // 4)  # a task's share stays the same
+    dealt = found.withColumn("bin", F.pmod(F.xxhash64(F.lit(6), "key", "salt"), F.lit(bins))).repartition(parts, "bin")
     done = stored(dealt.groupBy("bin").applyInArrow(_shards, RESULT_SQL))
-    cut = done.where(F.col("h1").isNotNull())
-    merged = cut.withColumn("bin", F.pmod(F.col("h1"), F.lit(bins))).groupBy("bin").applyInPandas(_merge, "id bigint, mark bigint, first bigint, last bigint")
-    return done.where(F.col("h1").isNull()).select("id", "mark", "first", "last").unionByName(merged)
+    cut = done.where(F.col("window").isNotNull()).withColumn("bin", F.pmod(F.xxhash64("window"), F.lit(bins)))
+    merged = cut.groupBy("bin").applyInPandas(_merge, "id bigint, mark bigint, first bigint, last bigint")
+    return done.where(F.col("window").isNull()).select("id", "mark", "first", "last").unionByName(merged)
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

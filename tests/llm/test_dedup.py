@@ -359,3 +359,15 @@ def test_suffix_array():
         cut = [text[i : i + 128].ljust(128, b"\0") for i in order]
         assert cut == sorted(cut) and sorted(order) == list(range(len(text))) and list(rank[order]) == list(range(len(text)))
         assert list(tied) == [k > 0 and cut[k] == cut[k - 1] for k in range(len(cut))]
+
+
+def test_runs_are_merged_in_suffix_order():
+    """The earliest place of each window stays, wherever it comes; all other places go."""
+    rows, wanted = [], {}
+    for salt in range(9):
+        for w in R.sample(range(60), R.randint(0, 40)):
+            place = (R.randrange(5), R.randrange(3), len(rows))
+            rows.append((salt, bytes([w]) + b"\0x" * 49 + b"\0", *place))
+            wanted.setdefault(w, []).append(place)
+    got = suffix_dedup._merge(pd.DataFrame(rows, columns=["salt", "window", *suffix_dedup.PLACE]))
+    assert sorted(zip(got["id"], got["mark"], got["first"])) == sorted(p for places in wanted.values() for p in sorted(places)[1:])
