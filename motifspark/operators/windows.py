@@ -59,10 +59,11 @@ def range_positions(seqs: DataFrame, step: int, left: int, right: int, compat: b
 
 
 def random_positions(seqs: DataFrame, count: int, left: int, right: int, seed: int = 0) -> DataFrame:
-    """seqs at count different positions of left ... right each, by a seeded hash: reruns agree."""
+    """seqs at count different positions of left ... right each, those of the smallest MD5 of `seed_index_position`: reruns agree."""
     if count > right - left + 1:
         raise ValueError(f"{count} different positions do not fit into {left} ... {right}")
-    drawn = F.transform(F.sequence(F.lit(left), F.lit(right)), lambda x: F.struct(F.xxhash64(F.lit(seed), F.col("seq_idx"), x).alias("h"), x.alias("x")))
+    text = lambda x: F.concat_ws("_", F.lit(str(seed)), F.col("seq_idx").cast("string"), x.cast("string"))
+    drawn = F.transform(F.sequence(F.lit(left), F.lit(right)), lambda x: F.struct(F.md5(text(x)).alias("h"), x.alias("x")))
     return seqs.withColumn("pos", F.explode(F.transform(F.slice(F.array_sort(drawn), 1, count), lambda s: s["x"])))
 
 

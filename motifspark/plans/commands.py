@@ -92,6 +92,12 @@ def region_features(seqs: DataFrame, pwms: list[Pwm], roe: DataFrame, bg_window:
     return make(named(seqs, seq_name), scorer, specs, nucs_after_tss), specs
 
 
+def collapsed_region_features(seqs: DataFrame, pwms: list[Pwm], roe: DataFrame, bg_window: int = BG_WINDOW, cutoffs: list[float] | None = None, nucs_after_tss: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(long features of the seven windows of each region, the map of the collapsed windows): features keep all seven, the map one of each region."""
+    table, specs = region_features(seqs, pwms, roe, bg_window, cutoffs, nucs_after_tss)
+    return features.long_features(table, specs), windows.collapsed(windows.roe_windows(roe))
+
+
 def open_tiles(seqs: DataFrame, pwms: list[Pwm], intervals: DataFrame, up: int, down: int, width: int, bg_window: int = BG_WINDOW, cutoffs: list[float] | None = None, nucs_after_tss: int | None = None) -> DataFrame:
     """(seq_id, pwm_id, strand, tissue, win_no, value) over the open parts of tiles; win_no null is the overall sum. Closed ones have no row."""
     hits = scan.score_sites(seqs, Scorer(pwms, local(bg_window), cutoffs=cutoffs), nucs_after_tss)

@@ -59,8 +59,15 @@ sites AS (
 
 
 def _theta(pseudo: float) -> str:
-    rows = [(s, p.pwm_idx, p.pwm_id, len(p.mat), m, "ACGT"[b], float(p.log(s)[m][b])) for p in corpus.library(pseudo) for s in ("FWD", "REV") for m in range(len(p.mat)) for b in range(4)]
-    return "theta(strand, pwm_idx, pwm_id, w, m, base, lnp) AS (VALUES " + ", ".join(f"('{s}', {i}, '{k}', {w}, {m}, '{b}', {lnp!r}::DOUBLE)" for s, i, k, w, m, b, lnp in rows) + ")"
+    """theta(strand, pwm_idx, pwm_id, w, m, base, lnp), with pseudo counts, logarithms and reverse complements taken in SQL."""
+    rows = [(i, k, len(m), r, b, m[r][b]) for i, (k, m) in enumerate(corpus.MATRICES.items()) for r in range(len(m)) for b in range(4)]
+    cells = ", ".join(f"({i}, '{k}', {w}, {r}, {b}, {x!r}::DOUBLE)" for i, k, w, r, b, x in rows)
+    return f"""theta_x(pwm_idx, pwm_id, w, m, b, x) AS (VALUES {cells}),
+theta_p AS (SELECT *, ln((x + {pseudo}) / sum(x + {pseudo}) OVER (PARTITION BY pwm_idx, m)) AS lnp FROM theta_x),
+theta AS (
+    SELECT 'FWD' AS strand, pwm_idx, pwm_id, w, m, substr('ACGT', b + 1, 1) AS base, lnp FROM theta_p
+    UNION ALL SELECT 'REV', pwm_idx, pwm_id, w, w - 1 - m, substr('ACGT', 4 - b, 1), lnp FROM theta_p
+)"""
 
 
 GLOBAL = """
@@ -255,9 +262,9 @@ def scan_cutoff_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("strand", "pwm_id", "seq_id").agg(F.count("*").alias("n_hits"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query(f"{_global_hits('equal')} SELECT strand, pwm_id, count(*) AS n_hits, round(sum(score), 4) AS total FROM hits WHERE strand = 'FWD' GROUP BY strand, pwm_id")
+@query(f"{_global_hits('equal')} SELECT strand, pwm_id, count(*) AS n_hits, round(sum(score), 4) AS total FROM hits GROUP BY strand, pwm_id")
 def scan_sql_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = scan.score_sites_sql(_seqs(spark, sf_dir), Scorer(corpus.library(0.25), strands=("FWD",)), 0)
+    hits = scan.score_sites_sql(_seqs(spark, sf_dir), Scorer(corpus.library(0.25)), 0)
     return hits.groupBy("strand", "pwm_id").agg(F.count("*").alias("n_hits"), F.round(F.sum("score"), 4).alias("total"))
 
 
@@ -349,7 +356,8 @@ def pos_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.range_positions(_seqs(spark, sf_dir).select("seq_idx", "seq_id"), 45, -90, 90).select("seq_id", "pos")
 
 
-@query()
+@query(f"""WITH {SEQS}, p AS (SELECT seq_id, x::INTEGER AS pos, row_number() OVER (PARTITION BY seq_idx ORDER BY md5('0_' || seq_idx || '_' || x), x) AS k FROM seqs, range(-50, 51) t(x))
+SELECT seq_id, pos FROM p WHERE k <= 5""")
 def pos_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.random_positions(_seqs(spark, sf_dir).select("seq_idx", "seq_id"), 5, -50, 50).select("seq_id", "pos")
 
@@ -423,12 +431,11 @@ def roe_norm_by_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.long_features(table, specs).select("sample_id", "feature_id", F.round("value", 6).alias("value"))
 
 
-@query(f"""{_local_hits(0.0)}, {ROE7}, every AS (SELECT seq_idx, w.*, unnest(range("right" - "left" + 1))::INT AS place FROM seqs, wins w WHERE pwm_idx = 0)
+@query(f"""{_local_hits(0.0)}, {ROE7}, every AS (SELECT seq_idx, w.*, unnest(range("right" - "left" + 1))::INT AS place FROM seqs, wins w)
 SELECT 's' || e.seq_idx || '_0' AS sample_id, feature_id, place, round(coalesce(score, 0.0), 4) AS value
 FROM every e LEFT JOIN hits h ON h.seq_idx = e.seq_idx AND h.strand = e.strand AND h.pwm_idx = e.pwm_idx AND h.loc = e."left" + place""")
 def by_nt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roe = corpus.regions(spark).where("row_idx = 0")
-    found, _ = commands.region_features(_seqs(spark, sf_dir), corpus.library(0.0), roe, WINDOW, by_place=True)
+    found, _ = commands.region_features(_seqs(spark, sf_dir), corpus.library(0.0), corpus.regions(spark), WINDOW, by_place=True)
     return found.withColumn("value", F.round("value", 4))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motifspark.functions import alphabet
 from motifspark.operators import background, features, peaks, scan, windows
 from motifspark.operators.kernel import Background, Pwm, Scorer
-from motifspark.plans import commands
+from motifspark.plans import commands, corpus
 
 R = random.Random(11)
 PWMS = [
@@ -261,3 +261,66 @@ def test_alphabet(spark):
     assert r.m == [[8, 7, 6, 5], [4, 3, 2, 1]]
     with pytest.raises(Exception, match="not a base"):
         df.select(alphabet.check_base(F.lit("N"))).collect()
+
+
+# ---- pieces
+
+
+def long_sequence(n):
+    rng = np.random.default_rng(4)
+    return "".join(np.array(list("ACGTN"))[rng.choice(5, n, p=[0.3, 0.2, 0.2, 0.299, 0.001])])
+
+
+def test_scans_are_spread(spark):
+    """Pieces go to many tasks, whatever the number of splits: the plan has an exchange between the cut and the kernel."""
+    seqs = spark.createDataFrame([(0, "s", long_sequence(100_000))], "seq_idx long, seq_id string, seq string").coalesce(1)
+    cut = scan.pieces(seqs, 6, 50, 5000)
+    assert cut.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    scorer = Scorer(corpus.library(0.25), Background("local", window=50))
+    spec = [features.WindowSpec("f", 0, "FWD", -10, 10)]
+    for df in (scan.score_sites(seqs, scorer), features.window_features(seqs, scorer, spec), background.local_frequencies(seqs, 50)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_ten_megabases_in_pieces(spark):
+    """Features, places and backgrounds of a long sequence are those of the sequence in one piece."""
+    n = 10_000_000
+    seqs = spark.createDataFrame([(0, "s", long_sequence(n)), (1, "t", "ACGT" * 40), (2, "u", None), (3, "v", "")], "seq_idx long, seq_id string, seq string")
+    scorer = Scorer(corpus.library(0.25), Background("local", window=50))
+    half = n // 2
+    specs = [features.WindowSpec("all", 0, "FWD", -half, half), features.WindowSpec("far", 1, "REV", -half + 3, -half + 900_000), features.WindowSpec("near", 1, "FWD", -20, 60, 2.0), features.WindowSpec("none", 0, "REV", n, n + 5)]
+    whole, cut = ({r.seq_id: r["values"] for r in features.window_features(seqs, scorer, specs, piece=size).collect()} for size in (1 << 30, 1 << 19))
+    assert whole.keys() == cut.keys() == {"s", "t", "u", "v"} and whole["s"][0] > 1000
+    assert all(np.allclose(whole[k], cut[k], rtol=1e-9) for k in whole) and cut["u"] == cut["v"] == [0.0] * 4
+    short = spark.createDataFrame([(0, "s", long_sequence(30_000))], "seq_idx long, seq_id string, seq string")
+    specs = [features.WindowSpec("a", 0, "FWD", -700, 900), features.WindowSpec("b", 1, "REV", -40, 25), features.WindowSpec("c", 1, "FWD", 14_900, 15_100)]
+    places = lambda size: {(r.feature_id, r.place): r.value for r in features.scores_by_place(short, scorer, specs, piece=size).collect()}
+    one, many = places(1 << 30), places(97)
+    assert one.keys() == many.keys() and len(one) == 1601 + 66 + 201 and all(abs(one[k] - many[k]) < 1e-9 for k in one) and sum(map(bool, one.values())) > 100
+    rows = lambda size: {(r.seq_idx, r.pos): (r.b, r.b1) for r in background.local_frequencies(short, 50, piece=size).collect()}
+    one, many = rows(1 << 30), rows(1001)
+    assert one.keys() == many.keys() and len(one) == 30_000 and all(one[k] == many[k] for k in one)
+
+
+def test_infinite_scores(spark):
+    """A background without a base that the matrix allows gives infinite scores, which are counted."""
+    seqs = spark.createDataFrame([(0, "s", "AACA")], "seq_idx long, seq_id string, seq string")
+    hits = scan.score_sites(seqs, Scorer([Pwm(0, "m", [[0.5, 0.5, 0.0, 0.0]])], Background("global", [1.0, 0.0, 0.0, 0.0]), ("FWD",), [-1.0]), 0)
+    assert [(r.strand, r.pwm_id, r.n_infinite) for r in scan.infinite_scores(hits).collect()] == [("FWD", "m", 1)]
+
+
+def test_smoothing_is_that_of_plain_loops():
+    rng = np.random.default_rng(2)
+    x = np.sort(rng.choice(3000, 700, replace=False)).astype(float)
+    y = rng.normal(size=700).cumsum()
+    k, fit = 41, []
+    for i in range(700):
+        a = min(max(0, i - k // 2), 700 - k)
+        d = np.abs(x[a : a + k] - x[i])
+        w = (1 - np.minimum(1, d / d.max()) ** 3) ** 3 + 1e-12
+        c = np.polyfit(x[a : a + k] - x[i], y[a : a + k], 1, w=np.sqrt(w))
+        fit.append(c[1])
+    assert np.allclose(peaks.local_lines(x, y, k), fit, atol=1e-6)
+    want = [max(y[(x >= v - 100) & (x <= v + 100)]) for v in x]
+    assert list(peaks.highest_near(x, y, 100)) == want
