@@ -85,7 +85,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """(a, b) whose components are those of all pairs of distinct fingerprints (column fp) at 2 or fewer differing bits."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     balls = distinct.select("fp").repartition(parts, "fp")  # the few files of the table would make few tasks
-    points = stored(balls.select("fp", F.explode(unit_ball(cell(F.col("fp")))).alias("point")))
+    points = balls.select("fp", F.explode(unit_ball(cell(F.col("fp")))).alias("point"))  # made twice: 33 times as large as stored
     met = stored(points.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b").distinct()
     full = met.where("n > 2")
