@@ -37,10 +37,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces, with their ids, and their places in sequences of 2048 tokens; a document that is mixed in twice is two texts."""
+    """Token pieces and their places in sequences of 2048 tokens; a document that is mixed in twice is two texts."""
     import public_tokenizers
 
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).withColumnRenamed("id", "doc_id")
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
