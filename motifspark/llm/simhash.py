@@ -18,9 +18,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import alike
 from .common import bins_for, block_pairs, components, forest, in_bins, only_kept, stored
 
-SEED = 42
+SEED = alike.SEED
 BLOCK = 1024  # fingerprints of a block
 MAX_BITS = 2  # of difference; the unit ball covers just this
 LOW = 0xFFFFFFFF
@@ -93,11 +94,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(in_bins(dealt, ["point", "lo", "hi"], bins_for(full, BLOCK, 20_000), _linked, "a bigint, b bigint").distinct())
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, mark, fp, root, component_id) of each row."""
-    prints = stored(fingerprints(docs, id_col, text_col, width))
+def _components(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(id, mark, fp, root, component_id) of each row of prints; more: further links (a, b) of fingerprints."""
+    prints = prints.select("id", "mark", "fp")
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    near = links(distinct)
+    roots = components(near if more is None else near.unionByName(more)).withColumnRenamed("node", "fp")
     rooted = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = stored(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"))
     # the fingerprint of empty texts may be that of a third of all rows: it is looked up without a shuffle of those
@@ -113,18 +115,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest id reachable over links of 2 or fewer differing bits; null ids are passed over, and a component of null
     ids alone has null. Rows that repeat an id are fingerprinted one by one. Other columns are not looked at.
     """
-    rows = _components(docs, id_col, text_col, width)
+    rows = _components(stored(fingerprints(docs, id_col, text_col, width)))
     return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each component, with all its columns: the one of the smallest id.
 
-    Null ids come last, so one of them stays only where a component has no other. Of rows of a component that repeat its
-    smallest id the one with the smallest fingerprint stays, then the smallest hash of the text, then of the row. Rows of
-    other components that repeat an id are not touched. An empty table gives an empty one.
+    Texts are linked by fingerprints as in simhash_groups, and if the Jaccard similarity of their sets of shingles of
+    `width` words is at least `similarity` (see alike: all such pairs are found with the probability given there, and all
+    links hold exactly for texts of up to 1024 different shingles). Fewer words are one shingle; texts without a word are
+    linked with one another only. Null ids come last, so one of them stays only where a component has no other. Of rows of a
+    component that repeat its smallest id the one with the smallest fingerprint stays, then the smallest hash of the text,
+    then of the row. Rows of other components that repeat an id are not touched. An empty table gives an empty one.
     """
-    rows = stored(_components(docs, id_col, text_col, 3))
+    prints = stored(alike.prints_and_samples(docs, id_col, text_col, width, simhash))
+    rows = stored(_components(prints, alike.links(prints, similarity)))
     first = rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id", "fp", "mark").agg(F.count("*").alias("n"))
     first = first.groupBy("root").agg(F.min(F.struct("fp", "mark", "id", "n")).alias("x"))
     return only_kept(docs, [F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))], stored(first.select("x.id", "x.mark", "x.n")))

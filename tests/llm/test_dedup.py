@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from motifspark.llm import common, exact_dedup, simhash, suffix_dedup, vector_dedup
+from motifspark.llm import alike, common, exact_dedup, simhash, suffix_dedup, vector_dedup
 from motifspark.llm.common import components
 
 R = random.Random(5)
@@ -169,6 +169,26 @@ def plain_simhash(text):
     return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
 
 
+def plain_shingles(text):
+    words = "".join(c if c not in "\t\n\r\v\f" else " " for c in (text or "").translate(str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER))).split(" ")
+    words = [w for w in words if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def plain_near(texts):
+    """Pairs (i, j) of positions that the near-dedup stage links: by two bits, or 0.8 of the five-word shingles."""
+    prints, sets = [plain_simhash(t) for t in texts], [plain_shingles(t) for t in texts]
+    with_shingle = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            with_shingle.setdefault(x, []).append(i)
+    out = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    for some in with_shingle.values():
+        for k, i in enumerate(some):
+            out |= {(i, j) for j in some[k + 1 :] if (i, j) not in out and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    return out
+
+
 def near_texts():
     base = [" ".join(R.choice("one two three four five six seven eight nine ten".split()) + str(R.randrange(40)) for _ in range(150)) for _ in range(4)]
     out = []
@@ -206,13 +226,61 @@ def test_simhash_edges(spark):
     assert simhash.simhash_groups(docs_frame(spark, [])).count() == 0
     rows = near_texts()
     kept = simhash.drop_near(docs_frame(spark, rows)).collect()
-    wanted = simhash_wanted(rows)
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({w[2] for w in wanted if w[2] is not None})
-    assert len(kept) == len({w[2] for w in wanted})  # the one component of null ids has one row
+    root = roots(range(len(rows)), plain_near([t for _, t in rows]))
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(root[k], []).append(i)
+    wanted = [min((i for i in g if i is not None), default=None) for g in groups.values()]
+    assert sorted((r.doc_id for r in kept), key=str) == sorted(wanted, key=str)
+    assert len(wanted) < len({w[2] for w in simhash_wanted(rows)})  # similarity links more than two bits do
     long = " ".join(f"word{i}" for i in range(200_000))
     assert [r.fingerprint for r in simhash.simhash_groups(docs_frame(spark, [(1, long)])).collect()] == [f"{plain_simhash(long):016x}"]
 
 
+def edited(words, similarity):
+    """The words with single ones replaced until the five-word similarity would fall below `similarity`, and its value."""
+    best, now = words, 1.0
+    for at in R.sample(range(len(words)), len(words)):
+        more = [*best[:at], f"new{R.randrange(10**9)}", *best[at + 1 :]]
+        a, b = plain_shingles(" ".join(words)), plain_shingles(" ".join(more))
+        if len(a & b) / len(a | b) < similarity:
+            break
+        best, now = more, len(a & b) / len(a | b)
+    return best, now
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies_go(spark, monkeypatch, block):
+    """Copies at a similarity of 0.8 to 0.9 go, texts below 0.8 stay; a group of many blocks; texts longer than a sketch."""
+    monkeypatch.setattr(alike, "BLOCK", block)
+    rows = []
+    for g in range(40):
+        words = [f"w{R.randrange(5000)}" for _ in range(R.choice([60, 120, 300]))]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(edited(words, 0.8)[0])), (10 * g + 2, " ".join(edited(words, 0.5)[0]))]
+    words = [f"h{k}" for k in range(90)]
+    rows += [(1000 + k, " ".join([*words, f"tail{k}"])) for k in range(60)]  # one hot group
+    for g in range(2):
+        words = [f"l{R.randrange(10**6)}" for _ in range(5000)]
+        far = [w if R.random() > 0.12 else f"x{k}" for k, w in enumerate(words)]
+        rows += [(2000 + 10 * g, " ".join(words)), (2001 + 10 * g, " ".join(w if R.random() > 0.01 else "q" for w in words)), (2002 + 10 * g, " ".join(far))]
+    root = roots(range(len(rows)), plain_near([t for _, t in rows]))
+    want = {rows[k][0] for k in range(len(rows)) if root[k] == k}
+    assert {r.doc_id for r in simhash.drop_near(docs_frame(spark, rows)).collect()} == want
+    assert not any(10 * g + 1 in want for g in range(40)) and all(10 * g + 2 in want for g in range(40)) and {1000, 2000, 2002} <= want
+
+
+def test_recall_of_samples():
+    """Of pairs just at the threshold at least 0.99 share a table."""
+    found = 0
+    for _ in range(500):
+        words = [f"w{R.randrange(10**6)}" for _ in range(100)]
+        other, value = edited(words, 0.8)
+        assert 0.8 <= value < 0.9
+        a, b = (alike.sample_prints(alike.shingle_hashes(" ".join(w).encode(), 5)) for w in (words, other))
+        found += bool((a == b).any())
+    assert found >= 495
+
+
 def test_unit_balls_meet(spark):
     """The lower bound holds, and any two vectors at distance 2 share a grid point."""
     pairs = []

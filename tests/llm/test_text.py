@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from motifspark.llm import chat, exact_dedup, html_text, language, mixing, packing, personal_data, queries
-from tests.llm.test_dedup import clashing_frame, docs_frame, exact_wanted, plain_simhash, roots
+from tests.llm.test_dedup import clashing_frame, docs_frame, exact_wanted, plain_near, roots
 
 R = random.Random(6)
 SF = "/root/testdata/sf0.01"
@@ -550,9 +550,8 @@ def test_pipeline(spark, tmp_path):
     keep = {i for i, k, *_ in exact_wanted([r[:2] for r in left]) if i == k}
     assert {r.doc_id for r in seen[1].collect()} == keep
     left = [r for r in left if r[0] in keep]
-    prints = {r[0]: plain_simhash(r[1]) for r in left}
-    ids = sorted(prints)
-    root = roots(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2])
+    left.sort()
+    root = roots([r[0] for r in left], [(left[i][0], left[j][0]) for i, j in plain_near([r[1] for r in left])])
     left = [r for r in left if root[r[0]] == r[0]]
     assert {r.doc_id for r in seen[2].collect()} == {r[0] for r in left}
     sizes, taken = {}, {}
@@ -591,6 +590,6 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert bool(texts[4]) == bool(some)
         if some:
             assert set(texts[0]) == {t for t in real[:50]} and len(texts[1]) == len({t.lower() for t in texts[0]})
-            assert len(texts[2]) == len({plain_simhash(t) for t in texts[2]})
+            assert len(texts[2]) == len(set(roots(range(len(texts[1])), plain_near(texts[1])).values()))
     got = corpus_pipeline.run(spark, str(tmp_path / f"in{len(rows)}"))
     assert got.count() == spark.read.parquet(str(tmp_path / f"in{len(rows)}/stage4")).count()
