@@ -26,7 +26,10 @@ def deduplicate_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints one row stays, that of the smallest doc_id; a null one only where there is no other."""
+    """Of each group of texts linked by fingerprints or by 0.8 of their five-word shingles the row of the smallest doc_id stays.
+
+    One with a null id stays only where there is no other.
+    """
     return simhash.drop_near(docs)
 
 
