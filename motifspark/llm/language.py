@@ -26,6 +26,7 @@ DIM = 16
 PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 800, 100, 8000  # bounds of the training sample
 EPOCHS, RATE = 8, 4.0
 SPAN = 1 << 18  # bytes hashed at once
+PARTS = 32  # parts in which the sample reaches the driver, one after the other
 UNKNOWN = "und"
 KEPT = 0.998  # least share of the rightly classified held-back rows that the rejection keeps
 _LETTER = re.compile(r"[^\W\d_]")
@@ -102,18 +103,27 @@ def _lead(z: np.ndarray) -> float:
     return float(z[:-1].max() - z[-1])
 
 
+def _shares(counts: np.ndarray) -> np.ndarray:
+    c = counts.astype(np.float32)
+    return c / max(1, c.sum())
+
+
 def fit(samples: list[tuple[np.ndarray, np.ndarray, str | None]], seed: int = 7) -> Model:
-    """Train on (buckets, counts, language) samples, of no language where it is null; every fifth one calibrates instead."""
+    """Train on (buckets, counts, language) samples, of no language where it is null; every fifth one calibrates instead.
+
+    Counts may have any scale of at least 1; shares are taken from them a row at a time, so the sample is held once.
+    """
     languages = sorted({x[2] for x in samples if x[2] is not None})
     classes = [*languages, None]
     rng = np.random.default_rng(seed)
     model = Model(languages, rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, len(classes))), np.zeros(len(classes)))
-    rows = [(at, (c / max(1, c.sum())).astype(np.float32), classes.index(x)) for at, c, x in samples]
+    rows = [(at, c, classes.index(x)) for at, c, x in samples]
     held, train = rows[::5], [x for i, x in enumerate(rows) if i % 5] or rows
     steps, done = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(train)):
             at, w, y = train[i]
+            w = _shares(w)
             rate = RATE * (1 - done / steps)
             hidden = w @ model.embedding[at]
             error = _softmax(hidden @ model.weights + model.bias)
@@ -124,7 +134,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str | None]], seed: int = 7)
             model.embedding[at] -= np.float32(rate) * np.outer(w / (w.max() if len(w) else 1), back) * np.float32(0.1)
             done += 1
     leads: tuple[list[float], list[float]] = ([], [])  # of right rows, and of rows of no language
-    z = [((w @ model.embedding[at]) @ model.weights + model.bias, y) for at, w, y in held]
+    z = [((_shares(w) @ model.embedding[at]) @ model.weights + model.bias, y) for at, w, y in held]
     named = [(a[:-1], y) for a, y in z if y < len(languages)]
     if named:
         loss = lambda t: -np.mean([np.log(_softmax(a / t)[b] + 1e-300) for a, b in named])
@@ -143,7 +153,8 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     """Fit on labelled rows that are usable: about per_language of each of the most_languages most frequent languages.
 
     Rows are chosen by a hash of their id, and as many as a language has are repeated as texts of no language, MOST_ROWS at
-    most in all; their subword counts, of at most BUCKETS numbers each, go to the driver.
+    most in all; their subword counts, of at most BUCKETS buckets each, go to the driver in PARTS parts, four bytes a bucket:
+    its number, and its count as a share of the row's largest one in half precision.
     Without a labelled row the model knows no language and answers und.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -164,11 +175,15 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
             counts = [subwords(x) for x in [*texts, *(no_language(texts[i]) for i in more)]]
             ids, langs = [*ids, *(ids[i] for i in more)], [*langs, *(None for _ in more)]
             at = [np.flatnonzero(c) for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(langs, pa.string()), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.float32).tobytes() for c, a in zip(counts, at, strict=True)], pa.binary())], ["id", "lang", "at", "n"])
+            n = [(c[a] / max(1, c.max())).astype(np.float16).tobytes() for c, a in zip(counts, at, strict=True)]
+            columns = [pa.array(ids, batch.column(0).type), pa.array(langs, pa.string()), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "at", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = chosen.mapInArrow(work, f"id {kind}, lang string, at binary, n binary").orderBy(F.xxhash64(F.lit(12), "id"), "id", "lang", "at", "n").limit(MOST_ROWS).collect()
-    return fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.float32), r.lang) for r in found])
+    found = chosen.mapInArrow(work, f"id {kind}, lang string, at binary, n binary").withColumn("order", F.xxhash64(F.lit(12), "id"))
+    found = found.orderBy("order", "id", "lang", "at", "n").limit(MOST_ROWS).drop("id").repartition(PARTS)
+    rows = sorted(found.toLocalIterator(), key=lambda r: (r.order, r.lang is None, r.lang or "", r.at, r.n))
+    return fit([(np.frombuffer(r.at, np.uint16), np.frombuffer(r.n, np.float16), r.lang) for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
