@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifspark import queries as core
-from motifspark.operators import background, features, windows
+from motifspark.operators import background, features, stats, windows
 from motifspark.operators.kernel import Pwm
 from motifspark.plans import commands, corpus
 from motifspark.queries import GLOBAL, PLACES, ROE7, SEQS, query
-from motifspark.sources import readers, sinks
+from motifspark.sources import binary_matrix, readers, sinks, split_fasta
 from motifspark.sources.scratch import new_path, write_file
 
 
@@ -19,9 +19,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(df: DataFrame, *order: str) -> str:
-    """Path of a text file of df's column line, in order."""
+    """Path of a text of df's column line, in order over its files."""
     path = new_path(df.sparkSession)
-    df.coalesce(1).sortWithinPartitions(*order).select("line").write.text(path)
+    df.orderBy(*order).select("line").write.text(path)
     return path
 
 
@@ -232,3 +232,66 @@ def collapsed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = windows.roe_windows(corpus.regions(spark)).select("feature_id", "row_idx", "strand")
     places = places.select("row_idx", "strand", F.col("feature_id").alias("map_id"), "left", "right")
     return found.join(own, "feature_id").join(places, ["row_idx", "strand"]).select("sample_id", "feature_id", F.round("value", 4).alias("value"), "map_id", "left", "right")
+
+
+_SITES = f"""WITH {SEQS}, nat AS (SELECT n_nationkey AS k FROM nation),
+cells AS (SELECT * FROM (VALUES {', '.join(f"('{p.pwm_id}', {m}, '{b}', {x!r}::DOUBLE, {len(p.mat)})" for p in corpus.raw_library() for m, row in enumerate(p.mat) for b, x in zip('ACGT', row, strict=True))}) t(pwm_id, m, base, x, w)),
+bgs(base, b) AS (VALUES {', '.join(f"('{b}', {x}::DOUBLE)" for b, x in zip('ACGT', stats.SITE_BACKGROUND, strict=True))}),
+sites AS (
+    SELECT seq_id, CASE WHEN seq_idx % 3 = 0 THEN 'MOTIF_B' ELSE 'MOTIF_A' END AS pwm_id, CASE WHEN seq_idx % 2 = 0 THEN 'REV' ELSE 'FWD' END AS strand,
+           substr(seq, 1, CASE WHEN seq_idx % 3 = 0 THEN 4 ELSE 6 END) AS motif, substr(seq, 1, 12) AS flank FROM seqs WHERE length(seq) >= 12
+), turned AS (SELECT *, CASE WHEN strand = 'REV' THEN reverse(translate(motif, 'ACGT', 'TGCA')) ELSE motif END AS scored FROM sites),
+sums AS (
+    SELECT seq_id, sum(ln(c.x) - ln(bgs.b)) AS score FROM (SELECT *, unnest(range(length(scored))) AS m FROM turned) s
+    JOIN cells c ON c.pwm_id = s.pwm_id AND c.m = s.m AND c.base = substr(scored, s.m::INT + 1, 1) JOIN bgs ON bgs.base = substr(scored, greatest(s.m::INT, 1), 1) GROUP BY seq_id
+), hist AS (SELECT CASE i WHEN 0 THEN 'MOTIF_A' ELSE 'MOTIF_B' END AS pwm_id, k / 2 - 6 - i AS lb, (25 - k) / 325 AS bg, (k + 1) / 325 AS fg FROM nat, range(2) r(i))
+"""
+
+
+@query(f"""{_SITES} SELECT seq_id || chr(9) || t.pwm_id AS label, reverse(translate(scored, 'ACGT', 'TGCA')) AS motif_rc, reverse(translate(flank, 'ACGT', 'TGCA')) AS flank_rc,
+round(1 - coalesce(sum(bg), 0), 8) AS fp, round(coalesce(sum(fg), 0), 8) AS fn, round(score, 6) AS score
+FROM turned t JOIN sums USING (seq_id) LEFT JOIN hist h ON h.pwm_id = t.pwm_id AND h.lb < score GROUP BY seq_id, t.pwm_id, scored, flank, score""")
+def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of sites (a document's first bases each), a file of matrices and histograms, all written and read back."""
+    seqs = corpus.sequences(spark, sf_dir).where(F.length("seq") >= 12)
+    other = F.col("seq_idx") % 3 == 0
+    name, strand = F.when(other, "motif_b").otherwise("MOTIF_A"), F.when(F.col("seq_idx") % 2 == 0, "REV").otherwise("FWD")
+    motif = F.substr("seq", F.lit(1), F.when(other, 4).otherwise(6))
+    label = F.when(other, "MOTIF_B").otherwise("MOTIF_A")
+    fields = [F.col("seq_id"), label, *[F.lit("x")] * 14, name, strand, *[F.lit("x")] * 8, motif, F.substr("seq", F.lit(1), F.lit(12))]
+    sites, matrices, folder = new_path(spark), new_path(spark), new_path(spark)
+    seqs.select(*[f.alias(f"c{i}") for i, f in enumerate(fields)]).write.csv(sites, sep="\t", header=True)
+    sinks.write_lines(spark, sinks.pwm_lines(corpus.raw_library()), matrices)
+    keys = [r[0] for r in _table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").limit(1000).collect()]
+    for i, p in enumerate(corpus.raw_library()):
+        blocks = ["".join(f"x,{k / 2 - 6 - i},{k / 2 - 5.5 - i}\t{h(k)!r}\n" for k in keys) for h in (lambda k: (25 - k) / 325, lambda k: (k + 1) / 325)]
+        write_file(spark, f"{folder}/{('MOTIF_A', 'motif_b')[i]}.hbin", "\n".join(blocks))  # found by the sites' spelling, matrices in any case
+    found = commands.site_report(spark, sites, matrices, folder, new_path(spark))
+    parts = F.split("line", "\t")
+    return found.select(F.concat_ws("\t", parts[0], parts[1]).alias("label"), "motif_rc", "flank_rc", F.round("fp", 8).alias("fp"), F.round("fn", 8).alias("fn"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SEQS} SELECT seq_id, length(seq) AS n, md5(seq) AS seq FROM seqs")
+def fasta_split_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of split files, put together again."""
+    path = new_path(spark)
+    sinks.fasta_records(corpus.sequences(spark, sf_dir), 60).write.text(path)
+    segments = split_fasta.read_split_fasta(spark, path, 1000)
+    parts = segments.groupBy("seq_idx", "seq_id", "n").agg(F.array_sort(F.collect_list(F.struct("offset", "bases"))).alias("x"))
+    return parts.select("seq_id", "n", F.md5(F.array_join(F.transform("x", lambda s: s["bases"]), "")).alias("seq"))
+
+
+@query(f"{core._global_hits('m0')} {core.SUMMARY}")
+def scan_split_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan of segments of split files, whose records no task needs to hold."""
+    path = new_path(spark)
+    sinks.fasta_records(corpus.sequences(spark, sf_dir), 60).write.text(path)
+    return core._summary(commands.scan_split_fasta(spark, path, corpus.library(0.25)))
+
+
+@query(core.ORACLES["tiled_features_wide"])
+def binary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table as a binary matrix in parallel parts, read back by ranges of rows."""
+    path = new_path(spark)
+    binary_matrix.write_binary(core.tiled_features_wide(spark, sf_dir), path)
+    return binary_matrix.read_binary(spark, path, 1)

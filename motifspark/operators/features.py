@@ -93,7 +93,7 @@ def _values(seqs: DataFrame, scorer: Scorer, specs: list[WindowSpec], nucs_after
     """(seq_idx, seq_id, pos, values) of each row of seqs.
 
     Only the starts that some window holds are scored. Rows are spread over the tasks; where the windows reach over more
-    than a piece, the pieces' values are added up by row.
+    than a piece, the pieces' values are added up by row, and rows that agree in everything are counted.
     """
     if "pos" not in seqs.columns:
         seqs = seqs.withColumn("pos", F.lit(0))
@@ -108,31 +108,34 @@ def _values(seqs: DataFrame, scorer: Scorer, specs: list[WindowSpec], nucs_after
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for pos, n, start, skip, own, seq in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
+            for pos, n, start, skip, own, seq in zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True):
                 tss = n - (n // 2 if nucs_after_tss is None else nucs_after_tss)
                 scored = {(p.pwm_idx, strand): (score[skip : skip + own], scorer.cutoff(p)) for p, strand, score in scorer.scores(seq, n)} if own else {}
                 out.append(_places(scored, specs, size, pos + tss - start) if by_place else _sums(scored, sides, size, pos + tss - start))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * size, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], values], ["seq_idx", "seq_id", "k", "pos", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], values], ["seq_idx", "seq_id", "mark", "k", "pos", "values"])
 
     n = F.length("seq")
     tss = F.col("pos") + n - (F.floor(n / 2) if nucs_after_tss is None else F.lit(nucs_after_tss))
     width = max((len(p.mat) for p in scorer.pwms), default=1)
     window = scorer.background.window if scorer.background.kind == "local" else 0
+    wide = high - low + 1 > piece
+    seqs = seqs.withColumn("mark", F.sha2("seq", 256) if wide else F.lit(""))  # tells apart rows that repeat a sequence's number and position
     rows = scan.cut(seqs, F.greatest(F.lit(0), F.least(n, tss + low)), F.greatest(F.lit(0), F.least(n, tss + high + 1)), width, window, piece)
-    rows = scan.spread(rows.select("seq_idx", "seq_id", "k", "pos", "n", "start", "skip", "own", "piece"), "seq_idx", "pos", "k")
-    found = rows.mapInArrow(work, "seq_idx bigint, seq_id string, k bigint, pos int, values array<double>")
-    if high - low + 1 > piece:
-        parts = found.groupBy("seq_idx", "seq_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "values"))).alias("parts"))
+    rows = scan.spread(rows.select("seq_idx", "seq_id", "mark", "k", "pos", "n", "start", "skip", "own", "piece"), "seq_idx", "pos", "k")
+    found = rows.mapInArrow(work, "seq_idx bigint, seq_id string, mark string, k bigint, pos int, values array<double>")
+    if wide:
+        each = found.groupBy("seq_idx", "seq_id", "mark", "pos", "k").agg(F.first("values").alias("values"), F.count("*").alias("times"))
+        parts = each.groupBy("seq_idx", "seq_id", "mark", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "values"))).alias("parts"), F.max("times").alias("times"))
         added = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0]["values"], lambda a, x: F.zip_with(a, x["values"], lambda y, z: y + z))
-        found = parts.withColumn("values", added)
+        found = parts.withColumn("values", added).withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
     return found.select("seq_idx", "seq_id", "pos", "values")
 
 
 def window_features(seqs: DataFrame, scorer: Scorer, specs: list[WindowSpec], nucs_after_tss: int | None = None, piece: int = scan.PIECE) -> DataFrame:
     """(seq_idx, seq_id, pos, values): the features of each sequence and position (column pos, 0 if absent), in order of specs.
 
-    Rows that repeat a sequence and position have one row where the windows reach over more than a piece, with their sum.
+    Every row has its own result, also one that repeats another.
     """
     return _values(seqs, scorer, specs, nucs_after_tss, False, piece)
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 STRANDS = ("FWD", "REV")
+WORD = 5  # bases of a look-up: tables of 8 KB
+_MASK = np.array([-1], np.int8)
 _CODE = np.full(256, -1, np.int8)
 for _i, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
@@ -45,6 +47,7 @@ class Scorer:
     strands: tuple[str, ...] = STRANDS
     cutoffs: list[float] | None = None  # by place, as the matrices
     compat: bool = False
+    _made: list | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         if any(s not in STRANDS for s in self.strands):
@@ -90,28 +93,79 @@ class Scorer:
             b1[:] = undefined
         return np.log(b), None if b1 is None else np.log(b1)
 
+    def _tables(self) -> list[tuple]:
+        """(matrix, strand, cutoff, blocks, rest) of every strand and matrix, made once: blocks are (first row, bases, log-probabilities of every
+        word of so many bases), the one that tells sites apart most first, and rest is the most that the others can add."""
+        if self._made is None:
+            self._made = []
+            for strand in self.strands:
+                for p in self.pwms:
+                    theta, blocks = p.log(strand), []
+                    for m in range(0, len(theta), WORD):
+                        table = np.zeros(1)
+                        for row in theta[m : m + WORD]:
+                            table = (table[:, None] + row).ravel()
+                        blocks.append((m, min(WORD, len(theta) - m), table))
+                    blocks.sort(key=lambda x: np.clip(x[2], -50, None).mean() - x[2].max())
+                    self._made.append((p, strand, self.cutoff(p), blocks, sum(t.max() for _, _, t in blocks[1:])))
+        return self._made
+
     def scores(self, seq: str, n: int | None = None):
-        """(matrix, strand, score of each start, NaN where a character is masked or the background undefined)."""
+        """(matrix, strand, score of each start, NaN where a character is masked or the background undefined).
+
+        Log-probabilities are looked up by words of up to WORD bases, which all matrices share.
+        """
         code = encode(seq)
-        n = len(code) if n is None else n
-        below = self.denominators(code, n)
-        bad = np.concatenate(([0], np.cumsum(code < 0)))
-        safe = np.maximum(code, 0)
-        for strand in self.strands:
-            for p in self.pwms:
-                w = len(p.mat)
-                k = len(code) - w + 1
-                if k <= 0:
-                    yield p, strand, np.empty(0)
-                    continue
-                theta = p.log(strand)
-                total = np.zeros(k)
-                for m in range(w):
-                    total += theta[m][safe[m : m + k]]
-                with np.errstate(invalid="ignore"):
-                    total -= below[w]
-                total[bad[w:] != bad[:-w]] = np.nan
-                yield p, strand, total
+        below = self.denominators(code, len(code) if n is None else n)
+        words, masked = _words(code), _masked(code, below)
+        for p, strand, _, blocks, _ in self._tables():
+            k = len(code) - len(p.mat) + 1
+            if k <= 0:
+                yield p, strand, np.empty(0)
+                continue
+            total = np.zeros(k)
+            for m, q, table in blocks:
+                total += table[words[q - 1][m : m + k]]
+            with np.errstate(invalid="ignore"):
+                total -= below[len(p.mat)]
+            total[masked[len(p.mat)]] = np.nan
+            yield p, strand, total
+
+    def hits(self, parts: list[tuple[str, int]]):
+        """(matrix, strand, starts, scores) of the starts in the parts' text whose score exceeds the matrix's cutoff, of many (seq, n) at once.
+
+        The parts are scored as one text with a masked character after each, as calls cost more than a short part's scores. Where a
+        matrix's first word stays below the cutoff with the most that the others can add, the others are not looked up.
+        """
+        codes = [encode(seq) for seq, _ in parts]
+        code = np.concatenate([x for c in codes for x in (c, _MASK)]) if codes else np.empty(0, np.int8)
+        if self.background.kind != "local":
+            below = self.denominators(code, len(code))
+        else:
+            below = {w: np.full(len(code) - w + 1, np.nan) for w in {len(p.mat) for p in self.pwms} if w <= len(code)}
+            at = 0
+            for c, (_, n) in zip(codes, parts, strict=True):
+                for w, values in self.denominators(c, n).items():
+                    below[w][at : at + len(values)] = values
+                at += len(c) + 1
+        words, masked = _words(code), _masked(code, below)
+        for p, strand, cutoff, blocks, rest in self._tables():
+            w = len(p.mat)
+            k = len(code) - w + 1
+            if k <= 0 or not blocks:
+                at = np.flatnonzero(0 - below[w] > cutoff) if k > 0 else np.empty(0, int)
+                yield p, strand, at, 0 - below[w][at] if k > 0 else np.empty(0)
+                continue
+            m, q, table = blocks[0]
+            with np.errstate(invalid="ignore"):
+                first = table[words[q - 1][m : m + k]]
+                at = np.flatnonzero(first > below[w] + (cutoff - rest - 1e-9))
+                score = first[at]
+                for m, q, table in blocks[1:]:
+                    score += table[words[q - 1][at + m]]
+                score -= below[w][at]
+                kept = (score > cutoff) & ~masked[w][at]
+            yield p, strand, at[kept], score[kept]
 
     def cutoff(self, p: Pwm) -> float:
         return self.cutoffs[self.pwms.index(p)] if self.cutoffs else 0.0
@@ -121,6 +175,20 @@ def encode(seq: str) -> np.ndarray:
     return _CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
 
 
+def _words(code: np.ndarray) -> list[np.ndarray]:
+    """For 1 to WORD bases, the number of the word that begins at each place, masked characters read as A."""
+    words = [np.maximum(code, 0).astype(np.intp)]
+    while len(words) < WORD:
+        words.append(words[-1][:-1] * 4 + words[0][len(words) :])
+    return words
+
+
+def _masked(code: np.ndarray, widths) -> dict[int, np.ndarray]:
+    """For each width whether a masked character lies in the site of each start."""
+    bad = np.concatenate(([0], np.cumsum(code < 0)))
+    return {w: bad[w:] != bad[: len(bad) - w] for w in widths}
+
+
 def _window_sums(marks: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """Sums of the rows of marks within window of each place, clipped to the rows there are."""
     sums = np.concatenate((np.zeros((1, marks.shape[1])), np.cumsum(marks, 0)))

@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from motifspark.operators.kernel import Scorer
 
 PIECE = 1 << 18  # starts of a piece
+TASK = 32 << 20  # bytes of input
+UNKNOWN = 1 << 60  # what Spark gives for tables without a size is beyond
+TOGETHER = 1 << 16  # characters of short pieces that are scored at once
 SHORT = 1 << 10  # of a piece whose substrings are taken by expressions
 
 
@@ -26,8 +29,17 @@ def ascii_bytes(seq: Column) -> Column:
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt by hash of keys to spark.sql.shuffle.partitions tasks; without the number Spark would join small ones again."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """rows dealt by hash of keys, one task for each TASK bytes of the tables read but spark.sql.shuffle.partitions at least.
+
+    Without a number Spark would join small partitions again, though the work on a base is far more than its bytes tell.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows.isStreaming:
+        return rows.repartition(least, *keys)
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < UNKNOWN)
+    return rows.repartition(max(least, size // TASK), *keys)
 
 
 def cut(rows: DataFrame, first: Column, end: Column, width: int, window: int, size: int) -> DataFrame:
@@ -59,32 +71,36 @@ def pieces(seqs: DataFrame, width: int, window: int, size: int = PIECE) -> DataF
 def score_sites(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None, piece: int = PIECE) -> DataFrame:
     """Hits (strand, pwm_idx, pwm_id, seq_idx, seq_id, loc, score above the matrix's cutoff) of all sequences (seq_idx, seq_id, seq).
 
+    Sequences are cut into pieces; score_pieces says more.
+    """
+    return score_pieces(pieces(seqs, *reach(scorer), piece), scorer, nucs_after_tss)
+
+
+def reach(scorer: Scorer) -> tuple[int, int]:
+    """Characters that a start's site needs, and on either side its background."""
+    return max((len(p.mat) for p in scorer.pwms), default=1), scorer.background.window if scorer.background.kind == "local" else 0
+
+
+def score_pieces(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None) -> DataFrame:
+    """Hits of pieces (seq_idx, seq_id, n, offset, skip, own, piece) of sequences.
+
     loc is relative to the TSS, which has nucs_after_tss characters from it on; half the length if None. A NaN score (masked
     character or undefined background) is no hit; an infinite one is.
     """
-    width = max((len(p.mat) for p in scorer.pwms), default=1)
-    window = scorer.background.window if scorer.background.kind == "local" else 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at_, scores, sizes = [], [], [], [0]
-            for idx, seq_id, n, offset, skip, own, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tss = n - (n // 2 if nucs_after_tss is None else nucs_after_tss)
-                for k, (p, strand, score) in enumerate(scorer.scores(seq, n)):
-                    mine = score[skip : skip + own]
-                    at = np.flatnonzero(mine > scorer.cutoff(p))
-                    if len(at):
-                        rows.append((k, idx, seq_id))
-                        at_.append(at + (offset + skip - tss))
-                        scores.append(mine[at])
-                        sizes.append(sizes[-1] + len(at))
-                if sizes[-1] > 1 << 20:
-                    yield _lists(rows, at_, scores, sizes)
-                    rows, at_, scores, sizes = [], [], [], [0]
-            yield _lists(rows, at_, scores, sizes)
+            held, size = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                size += len(row[-1])
+                if size >= TOGETHER:
+                    yield from _found(held, scorer, nucs_after_tss)
+                    held, size = [], 0
+            yield from _found(held, scorer, nucs_after_tss)
 
     # a row holds all hits of a matrix and strand in a piece, in the order of the kernel; Spark takes it apart
-    found = pieces(seqs, width, window, piece).mapInArrow(work, "which int, seq_idx bigint, seq_id string, locs array<bigint>, scores array<double>")
+    found = cut_up.mapInArrow(work, "which int, seq_idx bigint, seq_id string, locs array<bigint>, scores array<double>")
     kinds = [(s, p) for s in scorer.strands for p in scorer.pwms]
     named = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("which") + 1)
     rows = found.select("which", "seq_idx", "seq_id", "scores", F.posexplode("locs").alias("i", "loc"))
@@ -94,6 +110,33 @@ def score_sites(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None = No
     )
 
 
+def _found(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None) -> Iterator[pa.RecordBatch]:
+    """Hits of the starts that pieces answer for; the pieces are scored together."""
+    starts = np.cumsum([0, *(len(x[-1]) + 1 for x in held)])
+    own = np.zeros(starts[-1], bool)
+    shift = np.empty(len(held), np.int64)  # from a place in the joined text to one relative to the TSS
+    for i, (_, _, n, offset, skip, many, _) in enumerate(held):
+        own[starts[i] + skip : starts[i] + skip + many] = True
+        shift[i] = offset - starts[i] - (n - (n // 2 if nucs_after_tss is None else nucs_after_tss))
+    rows, locs, scores, sizes = [], [], [], [0]
+    for k, (_, _, at, score) in enumerate(scorer.hits([(x[-1], x[2]) for x in held])):
+        mine = own[at]
+        at, score = at[mine], score[mine]
+        if not len(at):
+            continue
+        piece = np.searchsorted(starts, at, "right") - 1
+        first = np.flatnonzero(np.diff(piece, prepend=-1))
+        rows += [(k, held[i][0], held[i][1]) for i in piece[first].tolist()]
+        locs.append(at + shift[piece])
+        scores.append(score)
+        base = sizes[-1]
+        sizes += (base + np.append(first[1:], len(at))).tolist()
+        if sizes[-1] > 1 << 20:
+            yield _lists(rows, locs, scores, sizes)
+            rows, locs, scores, sizes = [], [], [], [0]
+    yield _lists(rows, locs, scores, sizes)
+
+
 def _lists(rows: list[tuple], locs: list[np.ndarray], scores: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
     which, idx, seq_id = zip(*rows, strict=True) if rows else ((), (), ())
     ends = pa.array(ends, pa.int32())
@@ -149,3 +192,19 @@ def header_counts(hits: DataFrame) -> DataFrame:
 def infinite_scores(hits: DataFrame) -> DataFrame:
     """(strand, pwm_id, n_infinite): the warning of the scans, as a count."""
     return hits.where(F.abs("score") == float("inf")).groupBy("strand", "pwm_id").agg(F.count("*").alias("n_infinite"))
+
+
+def observed(hits: DataFrame, scorer: Scorer) -> tuple[DataFrame, Observation]:
+    """hits whose first action also counts, by strand and matrix, all of them and the infinite ones; see observations."""
+    seen, metrics = Observation(), []
+    for i, (strand, p) in enumerate((s, p) for s in scorer.strands for p in scorer.pwms):
+        own = (F.col("strand") == strand) & (F.col("pwm_idx") == p.pwm_idx)
+        metrics += [F.count_if(own).alias(f"n{i}"), F.count_if(own & (F.abs("score") == float("inf"))).alias(f"inf{i}")]
+    return hits.observe(seen, *metrics), seen
+
+
+def observations(spark: SparkSession, scorer: Scorer, seen: Observation) -> DataFrame:
+    """(strand, pwm_id, w, n_hits, n_infinite) of an observed scan, once an action has run."""
+    got = seen.get
+    kinds = [(s, p) for s in scorer.strands for p in scorer.pwms]
+    return spark.createDataFrame([(s, p.pwm_id, len(p.mat), got[f"n{i}"], got[f"inf{i}"]) for i, (s, p) in enumerate(kinds)], "strand string, pwm_id string, w int, n_hits long, n_infinite long")

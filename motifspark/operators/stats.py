@@ -29,23 +29,77 @@ def lagged_score(motif: Column, theta: Column, background: tuple[float, ...] = S
     return F.when(motif.rlike("^[ACGT]+$") & (F.length(motif) == width), total)
 
 
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """table, to be broadcast if it has at most `most` rows; else Spark joins it as any other."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def bin_index(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cumulative heights for look-ups by score: (pwm_id, low, step, n_buckets) and (pwm_id, bucket, bg, fg, bins).
+
+    The range of a matrix's lower bounds is cut into as many equal buckets as it has bins. A bucket's row has the heights of
+    all bins in buckets before it and its own bins, so that a score meets one row, whatever the number of bins.
+    """
+    ranges = hist.groupBy("pwm_id").agg(F.min("lb").alias("low"), F.max("lb").alias("high"), F.count("*").alias("n_buckets"))
+    step = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / F.col("n_buckets")).otherwise(F.lit(1.0))
+    ranges = ranges.select("pwm_id", "low", step.alias("step"), "n_buckets")
+    rows = hist.join(ranges, "pwm_id").withColumn("bucket", bucket(F.col("lb")))
+    own = rows.groupBy("pwm_id", "bucket").agg(*[F.sum(F.when(F.col("kind") == k, F.col("height")).otherwise(0.0)).alias(k) for k in ("BG", "FG")], F.collect_list(F.struct("lb", "kind", "height")).alias("bins"))
+    every = ranges.select("pwm_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_buckets") - 1)).alias("bucket"))
+    before = Window.partitionBy("pwm_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(k).over(before), F.lit(0.0)).alias(k.lower()) for k in ("BG", "FG")]
+    return ranges, every.join(own, ["pwm_id", "bucket"], "left").select("pwm_id", "bucket", *sums, "bins")
+
+
+def bucket(score: Column) -> Column:
+    """The bucket of a score by the columns low, step and n_buckets; never later than that of a higher score."""
+    at = F.floor(F.greatest(F.lit(0.0), F.least(F.col("n_buckets").cast("double"), (score - F.col("low")) / F.col("step"))))
+    return F.least(F.col("n_buckets") - 1, at.cast("long"))
+
+
 def error_rates(scored: DataFrame, hist: DataFrame, key: list[str]) -> DataFrame:
-    """(key, fp, fn) of scored (key, pwm_id, score) by histograms (pwm_id, kind BG or FG, lb, height).
+    """(key, fp, fn) of scored (key, pwm_id, score) by histograms (pwm_id, kind BG or FG, lb, height), a row for each row of scored.
 
-    fp is one less the background's height in bins that start below the score; fn the foreground's height in such bins.
+    fp is one less the background's height in bins that start below the score; fn the foreground's height in such bins. A
+    matrix without a histogram has fp 1 and fn 0, and so has a null score. An as-of look-up: a score is joined with the one bucket of bins that it lies in.
     """
-    met = scored.join(hist, (scored["pwm_id"] == hist["pwm_id"]) & (hist["lb"] < scored["score"]), "left").drop(hist["pwm_id"])
-    below = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("height"))), F.lit(0.0))
-    return met.groupBy(*key).agg((1 - below("BG")).alias("fp"), below("FG").alias("fn"))
+    ranges, table = bin_index(hist)
+    placed = scored.join(small(ranges), "pwm_id", "left").withColumn("bucket", F.when(F.col("score").isNotNull(), bucket(F.col("score"))))
+    met = placed.join(small(table), ["pwm_id", "bucket"], "left")
+    within = lambda kind: F.aggregate(F.filter("bins", lambda x: (x["kind"] == kind) & (x["lb"] < F.col("score"))), F.lit(0.0), lambda a, x: a + x["height"])
+    below = lambda kind, before: F.coalesce(F.col(before), F.lit(0.0)) + F.coalesce(within(kind), F.lit(0.0))
+    return met.select(*key, (1 - below("BG", "bg")).alias("fp"), below("FG", "fg").alias("fn"))
+
+
+def site_scores(sites: DataFrame, pwms: DataFrame) -> DataFrame:
+    """sites (site_id, pwm_id, strand, motif, flank, ...) with scored (the motif, reverse-complemented on REV) and score.
+
+    Labels bind in any case, as the matrices of a library are looked up by name; a library (pwm_id, mat) is broadcast if small.
+    """
+    names = pwms.select(F.lower("pwm_id").alias("name"), F.flatten("mat").alias("theta")).dropDuplicates(["name"])
+    rows = sites.withColumn("name", F.lower("pwm_id")).join(small(names), "name", "left")
+    rows = rows.withColumn("scored", F.when(F.upper("strand") == "REV", upper_reverse_complement(F.col("motif"))).otherwise(F.col("motif")))
+    return rows.withColumn("score", lagged_score(F.col("scored"), F.col("theta"))).drop("theta", "name")
 
 
 def site_statistics(sites: DataFrame, pwms: DataFrame, hist: DataFrame) -> DataFrame:
-    """sites (site_id, pwm_id, strand, motif, flank) with motif_rc, flank_rc, score, fp and fn."""
-    rc = F.when(F.col("strand") == "REV", upper_reverse_complement(F.col("motif"))).otherwise(F.col("motif"))
-    rows = sites.join(pwms.select("pwm_id", F.flatten("mat").alias("theta")), "pwm_id", "left")
-    rows = rows.withColumns({"motif_rc": rc, "flank_rc": F.when(F.col("strand") == "REV", upper_reverse_complement(F.col("flank"))).otherwise(F.col("flank"))})
-    rows = rows.withColumn("score", lagged_score(F.col("motif_rc"), F.col("theta"))).drop("theta")
-    return rows.join(error_rates(rows.select("site_id", "pwm_id", "score"), hist, ["site_id"]), "site_id", "left")
+    """sites (site_id, pwm_id, strand, motif, flank) with motif_rc, flank_rc, score, fp and fn; on REV both are reverse-complemented."""
+    rows = site_scores(sites, pwms).withColumnRenamed("scored", "motif_rc")
+    rows = rows.withColumn("flank_rc", F.when(F.upper("strand") == "REV", upper_reverse_complement(F.col("flank"))).otherwise(F.col("flank")))
+    return error_rates(rows, hist, rows.columns)
+
+
+def site_report(sites: DataFrame, pwms: DataFrame, hist: DataFrame, compat: bool = False) -> DataFrame:
+    """(site_id, line, motif_rc, flank_rc, fp, fn, score) of a table of sites with its lines (sources.readers.read_sites).
+
+    The reverse complements are those of the scored motif and of the flank, upper case. fp and fn are null where the motif cannot be
+    scored. Of the line one tab or line end goes, as tables end their rows so; compat drops its last character, whatever it is.
+    """
+    rows = site_scores(sites, pwms)
+    found = error_rates(rows, hist, rows.columns)
+    line = F.substring("line", F.lit(1), F.greatest(F.lit(0), F.length("line") - 1)) if compat else F.regexp_replace("line", r"[\t\r]$", "")
+    known = lambda c: F.when(F.col("score").isNotNull(), F.col(c)).alias(c)
+    return found.select("site_id", line.alias("line"), upper_reverse_complement(F.col("scored")).alias("motif_rc"), upper_reverse_complement(F.col("flank")).alias("flank_rc"), known("fp"), known("fn"), "score")
 
 
 def score_histogram(hits: DataFrame, low: float, high: float, bins: int = 500) -> DataFrame:

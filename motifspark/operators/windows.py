@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,32 @@ def random_positions(seqs: DataFrame, count: int, left: int, right: int, seed: i
     return seqs.withColumn("pos", F.explode(F.transform(F.slice(F.array_sort(drawn), 1, count), lambda s: s["x"])))
 
 
+ROUNDS = 24  # of the permutation
+
+
+def permuted_positions(seqs: DataFrame, count: int, left: int, right: int, seed: int = 0) -> DataFrame:
+    """seqs at count different positions of left ... right each: the first ones of a keyed permutation of the range, so count draws
+    cost count, whatever the range. Reruns agree.
+
+    The permutation is swap-or-not: in each round a place changes with its mirror image around a round's key if the pair's bit says so. Keys and
+    bits are the first 32 bits of MD5 of `seed_index_round` and of it and the pair's larger place.
+    """
+    size = right - left + 1
+    if count > size:
+        raise ValueError(f"{count} different positions do not fit into {left} ... {right}")
+    name = F.concat_ws("_", F.lit(str(seed)), F.col("seq_idx").cast("string"))
+    draw = lambda *x: F.conv(F.substring(F.md5(F.concat_ws("_", name, *[c.cast("string") for c in x])), 1, 8), 16, 10).cast("long")
+
+    def turn(x: Column, r: Column) -> Column:
+        mirror = lambda y: F.pmod(F.element_at("keys", r + 1) - y, F.lit(size))
+        return F.when(draw(r, F.greatest(x, mirror(x))) % 2 == 1, mirror(x)).otherwise(x)
+
+    rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    rows = seqs.withColumn("keys", F.transform(rounds, lambda r: draw(r)))
+    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))) if count else F.explode(F.array().cast("array<bigint>")))
+    return rows.withColumn("pos", (F.aggregate(rounds, F.col("pos"), turn) + left).cast("int")).drop("keys")
+
+
 def replicate_positions(seqs: DataFrame, draws: DataFrame) -> DataFrame:
     """seqs at the positions that draws (label, pos) has for them."""
     return seqs.join(draws.select(F.col("label").alias("seq_id"), "pos"), "seq_id")

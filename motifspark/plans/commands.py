@@ -6,12 +6,14 @@ added (sources.readers.read_pwms); the defaults are 0.25 for scans, curves and r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifspark.operators import features, peaks, scan, windows
+from motifspark.operators import features, peaks, scan, stats, windows
 from motifspark.operators.background import global_background
+from motifspark.operators.intervals import Tiles, interval_sums
 from motifspark.operators.kernel import STRANDS, Background, Pwm, Scorer
+from motifspark.sources import readers, sinks, split_fasta
 
 BG_WINDOW = 250
 PSEUDO = {"scan": 0.25, "curve": 0.25, "features": 0.01, "by_place": 0.0, "open": 0.001}
@@ -40,6 +42,14 @@ def scan_hits(seqs: DataFrame, pwms: list[Pwm], m0: list[float] | None = None, m
     return scan.score_sites(seqs, Scorer(pwms, bg, strands_of(strand), cutoffs), nucs_after_tss)
 
 
+def scan_split_fasta(spark: SparkSession, path: str, pwms: list[Pwm], m0: list[float] | None = None, strand: str = "BOTH", cutoffs: list[float] | None = None, nucs_after_tss: int | None = 0) -> DataFrame:
+    """scan_hits of a sequence file whose records may be of any length: no task holds a whole one. The background has order 0."""
+    segments = split_fasta.read_split_fasta(spark, path)
+    bg = Background("global", m0) if m0 else global_background(segments.select(F.col("bases").alias("seq")))
+    scorer = Scorer(pwms, bg, strands_of(strand), cutoffs)
+    return scan.score_pieces(split_fasta.segment_pieces(segments, *scan.reach(scorer)), scorer, nucs_after_tss)
+
+
 def curves(seqs: DataFrame, pwms: list[Pwm], bg_window: int = BG_WINDOW, strand: str = "BOTH", cutoffs: list[float] | None = None, nucs_after_tss: int | None = None, seq_name: str | None = None, min_flank: int = 1000) -> DataFrame:
     """(strand, pwm_id, loc, cumscore) under local backgrounds, of sequences with min_flank places on either side of the TSS."""
     n = F.length("seq")
@@ -100,13 +110,29 @@ def collapsed_region_features(seqs: DataFrame, pwms: list[Pwm], roe: DataFrame,
 
 def open_tiles(seqs: DataFrame, pwms: list[Pwm], intervals: DataFrame, up: int, down: int, width: int, bg_window: int = BG_WINDOW, cutoffs: list[float] | None = None, nucs_after_tss: int | None = None) -> DataFrame:
     """(seq_id, pwm_id, strand, tissue, win_no, value) over the open parts of tiles; win_no null is the overall sum. Closed ones have no row."""
-    hits = scan.score_sites(seqs, Scorer(pwms, local(bg_window), cutoffs=cutoffs), nucs_after_tss)
-    return features.open_tile_features(hits, windows.clipped_to_open(windows.tiles(seqs.sparkSession, up, down, width), intervals))
+    given = intervals.select("seq_id", "tissue", F.lit(None).cast("string").alias("feature_id"), F.lit(None).cast("int").alias("which"), F.col("start").alias("left"), F.col("end").alias("right"))
+    sums = interval_sums(seqs, Scorer(pwms, local(bg_window), cutoffs=cutoffs), given, nucs_after_tss, Tiles(up, down, width))
+    keys = ["seq_id", "pwm_id", "strand", "tissue"]
+    return sums.groupingSets([[*keys, "win_no"], keys], *keys, "win_no").agg(F.sum("value").alias("value"))
 
 
 def open_regions(seqs: DataFrame, pwms: list[Pwm], roe: DataFrame, intervals: DataFrame, bg_window: int = BG_WINDOW, cutoffs: list[float] | None = None, nucs_after_tss: int | None = None) -> DataFrame:
     """(seq_id, feature_id, tissue, value) over the open intervals of the regions' windows, as they are given."""
-    hits = scan.score_sites(seqs, Scorer(pwms, local(bg_window), cutoffs=cutoffs), nucs_after_tss)
-    own = windows.roe_windows(roe).select("feature_id", "pwm_idx", "strand")
-    met = intervals.join(own, "feature_id").select("seq_id", "feature_id", "tissue", "pwm_idx", "strand", F.col("start").alias("left"), F.col("end").alias("right"))
-    return features.open_window_features(hits, met)
+    scorer = Scorer(pwms, local(bg_window), cutoffs=cutoffs)
+    places = [(p.pwm_idx, s, k) for k, (s, p) in enumerate((s, p) for s in scorer.strands for p in pwms)]
+    which = seqs.sparkSession.createDataFrame(places, "pwm_idx int, strand string, which int")
+    own = windows.roe_windows(roe).join(which, ["pwm_idx", "strand"]).select("feature_id", "which")
+    met = intervals.join(own, "feature_id").select("seq_id", "tissue", "feature_id", "which", F.col("start").alias("left"), F.col("end").alias("right"))
+    return interval_sums(seqs, scorer, met, nucs_after_tss).select("seq_id", "feature_id", "tissue", "value")
+
+
+def site_report(spark: SparkSession, sites: str, matrices: str, histograms: str, out: str | None = None, compat: bool = False) -> DataFrame:
+    """The statistics of a file of sites, by a matrix file (as written, without pseudo counts) and a folder of `.hbin` files; out: also as text.
+
+    Columns: site_id, line, motif_rc, flank_rc, fp, fn, score.
+    """
+    library = readers.pwm_table(spark, readers.read_raw_pwms(spark, matrices))
+    report = stats.site_report(readers.read_sites(spark, sites), library, readers.read_histograms(spark, histograms), compat)
+    if out:
+        sinks.write_site_report(report, readers.read_header(spark, sites), out)
+    return report

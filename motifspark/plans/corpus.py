@@ -25,6 +25,11 @@ def library(pseudo: float) -> list[Pwm]:
     return [Pwm(i, k, normalise(m, pseudo)) for i, (k, m) in enumerate(MATRICES.items())]
 
 
+def raw_library() -> list[Pwm]:
+    """The matrices as they are written to a file: cells of four places, without pseudo counts."""
+    return [Pwm(i, k, m) for i, (k, m) in enumerate(MATRICES.items())]
+
+
 def regions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REGIONS, ROE_SQL)
 

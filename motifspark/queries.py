@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifspark.functions.alphabet import matrix_reverse_complement, normalised, reverse_complement, upper_reverse_complement
-from motifspark.operators import background, features, peaks, scan, stats, windows
-from motifspark.operators.kernel import Background, Scorer
-from motifspark.plans import commands, corpus
+from motifspark.operators import background, features, peaks, scan, smoothing, stats, thresholds, windows
+from motifspark.operators.kernel import Background, Pwm, Scorer
+from motifspark.plans import commands, corpus, sql
 from motifspark.sources import readers, sinks
 
 WINDOW = 50  # of local backgrounds, on either side
@@ -236,6 +236,49 @@ def scan_m0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25)))
 
 
+LIBRARY_CUTOFF = 4.0
+
+
+def _part_library(spark: SparkSession, sf_dir: str) -> list[Pwm]:
+    """Up to 500 matrices of six places, made of the parts by the remainder of their keys."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 500).alias("g"), "p_partkey", "p_size")
+    cells = [F.pow(F.sum(F.col("p_size") * (m + 1) + F.col("p_partkey") * (b + 1)) % 13, 3).alias(f"c{m}{b}") for m in range(6) for b in range(4)]
+    rows = part.groupBy("g").agg(*cells).orderBy("g").collect()
+    return [Pwm(i, f"g{r.g}", readers.normalise([[r[f"c{m}{b}"] for b in range(4)] for m in range(6)], 0.25)) for i, r in enumerate(rows)]
+
+
+@query(f"""WITH {SEQS}, {PLACES}, {SITES}, {GLOBAL},
+cells AS (SELECT p_partkey % 500 AS g, m, b, pow(sum(p_size * (m + 1) + p_partkey * (b + 1)) % 13, 3) AS x FROM part, range(6) t(m), range(4) u(b) GROUP BY ALL),
+fwd AS (SELECT g, m, b, ln((x + 0.25) / sum(x + 0.25) OVER (PARTITION BY g, m)) AS lnp FROM cells),
+both_ways AS (SELECT 'FWD' AS strand, g, m, substr('ACGT', b::INT + 1, 1) AS base, lnp FROM fwd UNION ALL SELECT 'REV', g, 5 - m, substr('ACGT', 4 - b::INT, 1), lnp FROM fwd),
+counted AS (SELECT k6 AS kmer, seq_idx, count(*) AS n, min(loc) AS first_loc, max(loc) AS last_loc FROM (SELECT k6, seq_idx, i - n AS loc FROM sites WHERE regexp_full_match(k6, '[ACGT]{{6}}')) GROUP BY ALL),
+kmers AS (SELECT DISTINCT kmer FROM counted),
+letters AS (SELECT kmer, unnest(range(6)) AS m FROM kmers),
+spelled AS (SELECT kmer, m, substr(kmer, m::INT + 1, 1) AS base FROM letters),
+den AS (SELECT kmer, sum(lnb) AS den FROM spelled JOIN m0 USING (base) GROUP BY kmer),
+num AS (SELECT strand, g, kmer, sum(lnp) AS num FROM spelled JOIN both_ways USING (m, base) GROUP BY strand, g, kmer),
+scored AS (SELECT strand, g, kmer, num - den AS score FROM num JOIN den USING (kmer) WHERE num - den > {LIBRARY_CUTOFF})
+SELECT strand, 'g' || g AS pwm_id, sum(n)::BIGINT AS n_hits, count(DISTINCT seq_idx) AS n_seqs, round(sum(n * score), 2) AS total, min(first_loc) AS first_loc, max(last_loc) AS last_loc
+FROM scored JOIN counted USING (kmer) GROUP BY strand, g""")
+def scan_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    library = _part_library(spark, sf_dir)
+    hits = commands.scan_hits(_seqs(spark, sf_dir), library, cutoffs=[LIBRARY_CUTOFF] * len(library))
+    return _summary(hits).withColumn("total", F.round("total", 2))
+
+
+@query(f"{_global_hits('m0')} {SUMMARY}")
+def scan_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan as one SQL text, by the table function."""
+    seqs = _seqs(spark, sf_dir)
+    sql.open_scan(spark, seqs, corpus.library(0.25), background.global_background(seqs), name="query_sites")
+    return spark.sql("""
+        WITH hits AS (
+            SELECT p.seq_idx, h.strand, h.pwm_id, count(*) AS c, sum(h.score) AS s, min(h.loc) AS a, max(h.loc) AS b
+            FROM query_sites_pieces AS p, LATERAL query_sites(p.n, p.offset, p.skip, p.own, p.piece) AS h GROUP BY ALL
+        )
+        SELECT strand, pwm_id, sum(c) AS n_hits, count(*) AS n_seqs, round(sum(s), 4) AS total, min(a) AS first_loc, max(b) AS last_loc FROM hits GROUP BY strand, pwm_id""")
+
+
 @query(f"{_global_hits('m1')} {SUMMARY}")
 def scan_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(commands.scan_hits(_seqs(spark, sf_dir), corpus.library(0.25), use_m1=True))
@@ -273,6 +316,19 @@ def scan_local_bg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(scan.score_sites(_seqs(spark, sf_dir), _local_scorer(0.25)))
 
 
+@query(f"""{_local_hits(0.25)}, sides AS (SELECT strand, pwm_id, w FROM theta GROUP BY ALL),
+undefined AS (SELECT strand, pwm_id, sum(greatest(0, length(seq) - w + 1))::BIGINT AS n FROM seqs, sides WHERE length(seq) < {2 * WINDOW + 2} GROUP BY ALL),
+finite AS (SELECT strand, pwm_id, count(*) AS n FROM hits GROUP BY ALL)
+SELECT strand, pwm_id, s.w::INTEGER AS w, coalesce(f.n, 0) + coalesce(u.n, 0) AS n_hits, coalesce(u.n, 0) AS n_infinite FROM sides s LEFT JOIN undefined u USING (strand, pwm_id) LEFT JOIN finite f USING (strand, pwm_id)""")
+def infinite_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan's warning counts, observed while the hits are written: no second scan."""
+    scorer = Scorer(corpus.library(0.25), Background("local", window=WINDOW), compat=True)
+    hits, seen = scan.observed(scan.score_sites(_seqs(spark, sf_dir), scorer), scorer)
+    hits.write.format("noop").mode("overwrite").save()
+    return scan.observations(spark, scorer, seen)
+
+
+
 # ---- curves and regions
 
 
@@ -315,10 +371,79 @@ def roe_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.peaks(curve, *PEAK_RANGE)
 
 
-@query()
+SPAN, REACH = 0.05, 200
+_ROUNDED = "CASE WHEN half > 250 THEN 250.0 WHEN half >= 10 THEN round_even(half, 0) ELSE round_even(half, 1) END"
+
+
+def _regions_sql(buffer: int, far: str, left: str, right: str) -> str:
+    """CTEs from pts (strand, pwm_id, loc, i, n, fit) and tops (strand, pwm_id, p) to the regions; left and right: where the levels are taken."""
+    return f"""levels AS (
+    SELECT strand, pwm_id, p, any_value(n) AS n, max(loc) FILTER (i = p) AS peak,
+           (min(fit) FILTER ({left}) + max(fit) FILTER ({left})) / 2 AS ll, (min(fit) FILTER ({right}) + max(fit) FILTER ({right})) / 2 AS rl
+    FROM pts JOIN tops USING (strand, pwm_id) GROUP BY strand, pwm_id, p
+), lefts AS (
+    SELECT strand, pwm_id, i - 1 AS li FROM (SELECT strand, pwm_id, i, row_number() OVER (PARTITION BY strand, pwm_id ORDER BY i DESC) AS r FROM pts JOIN levels USING (strand, pwm_id) WHERE i <= p AND fit < ll) WHERE r = {buffer}
+), rights AS (
+    SELECT strand, pwm_id, i + 1 AS ri FROM (SELECT strand, pwm_id, i, row_number() OVER (PARTITION BY strand, pwm_id ORDER BY i) AS r FROM pts JOIN levels USING (strand, pwm_id) WHERE i >= p AND fit < rl) WHERE r = {buffer}
+), ended AS (
+    SELECT v.*, a.loc AS l, b.loc AS r, (b.loc - a.loc) / 2 AS half
+    FROM levels v LEFT JOIN lefts USING (strand, pwm_id) LEFT JOIN rights USING (strand, pwm_id)
+    LEFT JOIN pts a ON a.strand = v.strand AND a.pwm_id = v.pwm_id AND a.i = li LEFT JOIN pts b ON b.strand = v.strand AND b.pwm_id = v.pwm_id AND b.i = ri
+), judged AS (SELECT *, peak IS NOT NULL AND abs(peak) <= {far} AND l IS NOT NULL AND r IS NOT NULL AS ok FROM ended)
+SELECT strand, pwm_id, CASE WHEN ok THEN peak::DOUBLE END AS max_peak_loc, CASE WHEN ok THEN ({_ROUNDED})::DOUBLE END AS half_width,
+       CASE WHEN ok THEN CASE WHEN half > 250 THEN peak - 250 ELSE l END::DOUBLE END AS "left", CASE WHEN ok THEN CASE WHEN half > 250 THEN peak + 250 ELSE r END::DOUBLE END AS "right"
+FROM judged"""
+
+
+_CURVE = """, curve AS (SELECT strand, pwm_id, loc, sum(score) AS y FROM hits GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY strand, pwm_id ORDER BY loc) - 1 AS i, count(*) OVER (PARTITION BY strand, pwm_id) AS n FROM curve)"""
+_FITTED = f"""{_CURVE},
+cu AS (SELECT strand, pwm_id, n, greatest(1, least(n - 1, {math.ceil(5 / SPAN)})) AS cells, least(n, greatest(3, ceil(n * {SPAN}::DOUBLE)::BIGINT)) AS near FROM placed WHERE i = 0),
+vx AS (SELECT *, v * (n - 1) // cells AS r FROM (SELECT *, unnest(range(cells + 1)) AS v FROM cu)),
+vl AS (SELECT *, greatest(0, least(n - near, r - near // 2)) AS lo FROM vx),
+vy AS (
+    SELECT v.*, v.lo + v.near - 1 AS hi, a.loc AS x, greatest(greatest(a.loc - b.loc, c.loc - a.loc)::DOUBLE, 1e-12) AS reach
+    FROM vl v JOIN placed a ON a.strand = v.strand AND a.pwm_id = v.pwm_id AND a.i = v.r JOIN placed b ON b.strand = v.strand AND b.pwm_id = v.pwm_id AND b.i = v.lo
+    JOIN placed c ON c.strand = v.strand AND c.pwm_id = v.pwm_id AND c.i = v.lo + v.near - 1
+), weighed AS (
+    SELECT strand, pwm_id, v, x, loc - x AS d, y, pow(1 - pow(least(1.0::DOUBLE, abs(loc - x) / reach), 3), 3) + 1e-12::DOUBLE AS w
+    FROM vy JOIN placed USING (strand, pwm_id) WHERE i BETWEEN lo AND hi
+), fits AS (
+    SELECT strand, pwm_id, v, x, sum(w) AS w, sum(w * d) AS wx, sum(w * y) AS wy, sum(w * d * y) AS wxy, sum(w * d * d) - sum(w * d) * sum(w * d) / sum(w) AS spread FROM weighed GROUP BY ALL
+), slopes AS (SELECT *, CASE WHEN spread > 1e-9 THEN (wxy - wx * wy / w) / spread ELSE 0 END AS b FROM fits),
+vert AS (SELECT strand, pwm_id, v, x, b, (wy - b * wx) / w AS a FROM slopes),
+cell AS (SELECT p.*, least(cells - 1, ((i + 1) * cells - 1) // greatest(1, p.n - 1)) AS v FROM placed p JOIN cu USING (strand, pwm_id)),
+blend AS (
+    SELECT c.strand, c.pwm_id, c.loc, c.i, c.n, s.a, s.b, e.a AS a1, e.b AS b1, (e.x - s.x) AS width, CASE WHEN e.x > s.x THEN (c.loc - s.x) / (e.x - s.x) ELSE 0 END AS t
+    FROM cell c JOIN vert s USING (strand, pwm_id, v) JOIN vert e ON e.strand = c.strand AND e.pwm_id = c.pwm_id AND e.v = c.v + 1
+), pts AS (
+    SELECT strand, pwm_id, loc, i, n, a * (1 + 2 * t) * (1 - t) * (1 - t) + b * width * t * (1 - t) * (1 - t) + a1 * t * t * (3 - 2 * t) - b1 * width * t * t * (1 - t) AS fit FROM blend
+)"""
+
+
+@query(f"""{_local_hits(0.25)}{_FITTED} SELECT strand, pwm_id, loc, round(fit, 4) AS fit FROM pts""")
+def roe_curves_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = commands.curves(_seqs(spark, sf_dir), corpus.library(0.25), WINDOW, min_flank=0)
+    return smoothing.fitted(smoothing.numbered(curve), SPAN).select("strand", "pwm_id", "loc", F.round("fit", 4).alias("fit"))
+
+
+@query(f"""{_local_hits(0.25)}{_FITTED},
+wide AS (SELECT *, max(fit) OVER (PARTITION BY strand, pwm_id ORDER BY i ROWS BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING) AS top FROM pts),
+highest AS (SELECT strand, pwm_id, min(i) AS m FROM pts JOIN (SELECT strand, pwm_id, max(fit) AS fit FROM pts GROUP BY ALL) USING (strand, pwm_id, fit) GROUP BY ALL),
+maxima AS (SELECT strand, pwm_id, i, row_number() OVER (PARTITION BY strand, pwm_id ORDER BY abs(i - m), i) AS r FROM wide JOIN highest USING (strand, pwm_id) WHERE fit >= top AND i >= {REACH} AND i < n - {REACH}),
+tops AS (SELECT h.strand, h.pwm_id, x.i AS p FROM highest h LEFT JOIN maxima x ON x.strand = h.strand AND x.pwm_id = h.pwm_id AND r = 1),
+{_regions_sql(2, 'n / 2', 'i <= p', 'i >= p')}""")
 def roe_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = commands.curves(_seqs(spark, sf_dir), corpus.library(0.25), WINDOW, min_flank=0)
-    return peaks.smoothed_peaks(curve)
+    return smoothing.smoothed_regions(curve, SPAN, REACH)
+
+
+@query(f"""{_local_hits(0.25)}{_CURVE}, pts AS (SELECT *, y AS fit FROM placed),
+tops AS (SELECT strand, pwm_id, min(i) AS p FROM pts JOIN (SELECT strand, pwm_id, max(fit) AS fit FROM pts GROUP BY ALL) USING (strand, pwm_id, fit) GROUP BY ALL),
+{_regions_sql(5, '4000', 'true', 'true')}""")
+def roe_midrange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = commands.curves(_seqs(spark, sf_dir), corpus.library(0.25), WINDOW, min_flank=0)
+    return smoothing.midrange_regions(curve)
 
 
 # ---- windows
@@ -362,6 +487,17 @@ def pos_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.random_positions(_seqs(spark, sf_dir).select("seq_idx", "seq_id"), 5, -50, 50).select("seq_id", "pos")
 
 
+_FAR = 500_000
+_DRAW = "('0x' || substr(md5('0_' || seq_idx || '_' || {}), 1, 8))::BIGINT"
+_MIRROR = f"((({_DRAW.format('r')} - x) % {2 * _FAR + 1} + {2 * _FAR + 1}) % {2 * _FAR + 1})"
+
+
+@query(f"""WITH {SEQS} SELECT seq_id, (list_reduce(list_prepend(j, range({windows.ROUNDS})), lambda x, r: CASE WHEN {_DRAW.format(f"r || '_' || greatest(x, {_MIRROR})")} % 2 = 1 THEN {_MIRROR} ELSE x END) - {_FAR})::INTEGER AS pos
+FROM seqs, range(5) t(j)""")
+def pos_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.permuted_positions(_seqs(spark, sf_dir).select("seq_idx", "seq_id"), 5, -_FAR, _FAR).select("seq_id", "pos")
+
+
 _MINUS = "seq_idx % 3 = 0"
 
 
@@ -508,6 +644,47 @@ def score_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.thresholds(spark, corpus.library(0.25), bg)
 
 
+GRAIN, CRITERION = 0.001, 0.01
+_MARKOV = f"""{GLOBAL},
+triples AS (SELECT c AS p2, lead(c) OVER r AS p1, lead(c, 2) OVER r AS base FROM places WINDOW r AS (PARTITION BY seq_idx ORDER BY i)),
+m2 AS (SELECT p2, p1, base, ln(count(*) / sum(count(*)) OVER (PARTITION BY p2, p1)) AS lnb FROM triples
+       WHERE p2 IN ('A', 'C', 'G', 'T') AND p1 IN ('A', 'C', 'G', 'T') AND base IN ('A', 'C', 'G', 'T') GROUP BY p2, p1, base),
+every AS (SELECT w, unnest(range(CAST(4 ** w AS BIGINT))) AS k FROM (VALUES (4), (6)) t(w)),
+letters AS (SELECT w, k, m, substr('ACGT', (k // CAST(4 ** m AS BIGINT) % 4)::INT + 1, 1) AS x FROM (SELECT w, k, unnest(range(w)) AS m FROM every)),
+prior AS (SELECT w, k, m, x, lag(x) OVER r AS y, lag(x, 2) OVER r AS z FROM letters WINDOW r AS (PARTITION BY w, k ORDER BY m)),
+terms AS (
+    SELECT t.pwm_id, p.k, t.lnp, coalesce(m2.lnb, CASE WHEN p.z IS NULL THEN coalesce(m1.lnb, CASE WHEN p.y IS NULL THEN m0.lnb END) END) AS lnb
+    FROM prior p JOIN theta t ON t.strand = 'FWD' AND t.w = p.w AND t.m = p.m AND t.base = p.x
+    LEFT JOIN m0 ON m0.base = p.x LEFT JOIN m1 ON m1.base = p.x AND m1.prev = p.y LEFT JOIN m2 ON m2.base = p.x AND m2.p1 = p.y AND m2.p2 = p.z
+),
+one AS (SELECT pwm_id, k, CAST(sum(floor((lnp - lnb) / {GRAIN} + 0.5)) AS BIGINT) AS s, exp(sum(lnb)) AS bg, exp(sum(lnp)) AS fg FROM terms GROUP BY pwm_id, k),
+dist AS (SELECT pwm_id, s, sum(bg) AS bg, sum(fg) AS fg FROM one GROUP BY pwm_id, s)"""
+
+
+def _markov(spark: SparkSession, sf_dir: str) -> thresholds.Markov:
+    return thresholds.markov_background(_seqs(spark, sf_dir), 2)
+
+
+@query(f"""WITH {SEQS}, {PLACES}, {_theta(0.25)}, {_MARKOV}
+SELECT pwm_id, kind, s AS score_idx, round(ln(p), 6) AS ln_p FROM (SELECT pwm_id, 'BG' AS kind, s, bg AS p FROM dist UNION ALL SELECT pwm_id, 'FG', s, fg FROM dist)""")
+def score_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = thresholds.score_distributions(spark, corpus.library(0.25), _markov(spark, sf_dir), GRAIN)
+    return found.select("pwm_id", "kind", "score_idx", F.round(F.ln("p"), 6).alias("ln_p"))
+
+
+@query(f"""WITH {SEQS}, {PLACES}, {_theta(0.25)}, {_MARKOV},
+tails AS (SELECT *, coalesce(sum(bg) OVER (PARTITION BY pwm_id ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(fg) OVER (PARTITION BY pwm_id ORDER BY s) AS missed FROM dist),
+cuts AS (SELECT pwm_id, min(s) FILTER (above <= {CRITERION}) AS fp, coalesce(max(s) FILTER (missed <= {CRITERION}), min(s) - 1) AS fn FROM tails GROUP BY pwm_id),
+kinds AS (SELECT pwm_id, 'FP' AS kind, fp AS s FROM cuts UNION ALL SELECT pwm_id, 'FN', fn FROM cuts UNION ALL SELECT pwm_id, 'MAX', greatest(fp, fn) FROM cuts)
+SELECT k.pwm_id, k.kind, round(k.s * {GRAIN}, 6) AS cutoff, round(coalesce(sum(bg) FILTER (d.s > k.s), 0), 10) AS fp, round(coalesce(sum(fg) FILTER (d.s <= k.s), 0), 10) AS fn
+FROM kinds k JOIN dist d USING (pwm_id) GROUP BY k.pwm_id, k.kind, k.s""")
+def exact_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bg = _markov(spark, sf_dir)
+    each = [thresholds.exact_thresholds(spark, corpus.library(0.25), bg, CRITERION, kind, GRAIN).withColumn("kind", F.lit(kind)) for kind in ("FP", "FN", "MAX")]
+    found = each[0].unionByName(each[1]).unionByName(each[2])
+    return found.select("pwm_id", "kind", F.round("cutoff", 6).alias("cutoff"), F.round("fp", 10).alias("fp"), F.round("fn", 10).alias("fn"))
+
+
 @query(f"""{_global_hits('m0')}, v AS (SELECT strand, pwm_id, seq_idx, string_agg(loc::VARCHAR, chr(9) ORDER BY loc) AS v FROM hits GROUP BY ALL)
 SELECT strand, 's' || seq_idx || chr(9) || v AS line FROM v
 UNION ALL SELECT strand, '>' || chr(9) || pwm_id || chr(9) || count(*) AS line FROM v GROUP BY strand, pwm_id""")

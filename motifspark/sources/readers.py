@@ -74,6 +74,17 @@ def read_pwms(spark: SparkSession, path: str, pseudo: float = 0.0, included: lis
     return [Pwm(i, k, normalise(m, pseudo)) for i, (k, m) in enumerate(rows)]
 
 
+def read_raw_pwms(spark: SparkSession, path: str) -> list[Pwm]:
+    """All matrices as written: no pseudo counts, rows not normalised."""
+    return [Pwm(i, k, m) for i, (k, _, m) in enumerate(x for x in _matrices(_lines(spark, path), lambda x: x[1:].strip()) if x[2])]
+
+
+def read_header(spark: SparkSession, path: str) -> str:
+    """The first line of a table's first file."""
+    first = spark.read.text(path).select(F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("at"), "value").alias("x")).agg(F.min("x").alias("x")).first()
+    return first["x"]["value"].rstrip("\r") if first["x"] else ""
+
+
 def read_pwm(spark: SparkSession, path: str, name: str) -> list[list[float]] | None:
     """One matrix as written, by its label in any case."""
     return next((m for k, _, m in _matrices(_lines(spark, path), lambda x: x[1:].strip()) if k.lower() == name.lower()), None)
@@ -99,9 +110,20 @@ def count_matrices(groups: DataFrame) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(row_idx, value) of a parameter-sized table's lines that aren't blank; rows are numbered in order."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    return lines.select((F.row_number().over(Window.orderBy("at")) - 1).alias("row_idx"), F.trim("value").alias("value"))
+    """(row_idx, value) of a table's lines that aren't blank, numbered in order of files (by path) and places.
+
+    Lines are numbered within the splits of the files, by as many tasks, and shifted by the sizes of the splits before, which
+    are all that reaches the driver.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.where("value <> ''")
+    sizes = lines.groupBy("file", "split").agg(F.count("*").alias("n")).orderBy("file", "split").collect()
+    before = [0]
+    for r in sizes:
+        before.append(before[-1] + r.n)
+    starts = spark.createDataFrame([(r.file, r.split, b) for r, b in zip(sizes, before, strict=False)], "file string, split bigint, before bigint")
+    within = F.row_number().over(Window.partitionBy("file", "split").orderBy("at")) - 1
+    return lines.withColumn("within", within).join(starts, ["file", "split"]).select((F.col("before") + F.col("within")).cast("int").alias("row_idx"), "value")
 
 
 def read_double_column(spark: SparkSession, path: str, allowed: list[str] | None = None) -> DataFrame:
@@ -202,9 +224,9 @@ def read_histograms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    """(site_id, pwm_id, strand, motif, flank) of tables with a header each: columns 16, 17, 26 and 27."""
+    """(site_id, line, pwm_id, strand, motif, flank) of tables with a header each: columns 16, 17, 26 and 27."""
     rows = _bodies(_fields(spark, path))
-    return rows.select(F.col("at").alias("site_id"), _at(16).alias("pwm_id"), _at(17).alias("strand"), _at(26).alias("motif"), _at(27).alias("flank")).where("flank IS NOT NULL")
+    return rows.select(F.col("at").alias("site_id"), F.array_join("c", "\t").alias("line"), _at(16).alias("pwm_id"), _at(17).alias("strand"), _at(26).alias("motif"), _at(27).alias("flank")).where("flank IS NOT NULL")
 
 
 def read_curves(spark: SparkSession, locs: str, scores: str, strand: str) -> DataFrame:

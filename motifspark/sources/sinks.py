@@ -56,7 +56,7 @@ def roe_lines(table: DataFrame) -> DataFrame:
 def write_roe(table: DataFrame, path: str) -> None:
     """One folder per strand, path.FWD.table and path.REV.table."""
     for strand in ("FWD", "REV"):
-        roe_lines(table.where(F.col("strand") == strand)).coalesce(1).write.mode("overwrite").text(f"{path}.{strand}.table")
+        roe_lines(table.where(F.col("strand") == strand)).write.mode("overwrite").text(f"{path}.{strand}.table")
 
 
 def write_wide(table: DataFrame, path: str) -> None:
@@ -65,6 +65,21 @@ def write_wide(table: DataFrame, path: str) -> None:
     table.withColumnRenamed(first, " ").write.mode("overwrite").csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=True)
 
 
+SITE_COLUMNS = ("motif_seq_revcom", "flanking_seq_revcom", "FP_rate_M0", "FN_rate_M0", "loglik_score_M0")  # fixed values
+
+
+def site_report_lines(report: DataFrame, header: str) -> DataFrame:
+    """(site_id, line) of stats.site_report under a header, which has site_id null; numbers in full, nulls as NA."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("motif_rc", "flank_rc", "fp", "fn", "score")]
+    head = report.sparkSession.createDataFrame([(None, "\t".join([header, *SITE_COLUMNS]))], "site_id bigint, line string")
+    return head.unionByName(report.select("site_id", F.concat_ws("\t", "line", *values).alias("line")))
+
+
+def write_site_report(report: DataFrame, header: str, path: str) -> None:
+    """One folder of text, in order of the sites over its files."""
+    site_report_lines(report, header).orderBy(F.col("site_id").asc_nulls_first()).select("line").write.mode("overwrite").text(path)
+
+
 def binary_matrix(table: DataFrame) -> DataFrame:
     """(part, data): the pieces of the big-endian binary form, to be concatenated in order of part.
 
@@ -127,6 +142,12 @@ def fasta_lines(seqs: DataFrame, width: int = 80) -> DataFrame:
     return seqs.select("seq_idx", F.posexplode(F.concat(F.array(F.concat(F.lit(">"), "seq_id")), chunks)).alias("k", "line")).orderBy("seq_idx", "k").select("seq_idx", "line")
 
 
+def fasta_records(seqs: DataFrame, width: int = 80) -> DataFrame:
+    """(value): a header and lines of width characters in one text for each sequence, so that none is cut by the end of a file."""
+    lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    return seqs.select(F.concat_ws("\n", F.concat(F.lit(">"), "seq_id"), F.when(F.length("seq") > 0, lines)).alias("value"))
+
+
 def ranked(table: DataFrame, *order: str) -> DataFrame:
     """Parameter-sized tables with their row numbers."""
     return table.withColumn("row_idx", F.row_number().over(Window.orderBy(*order)) - 1)
