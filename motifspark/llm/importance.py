@@ -24,8 +24,11 @@ SEED = 42
 LEAST_WORDS, PERCENT = 20, 5
 DIGIT = 16  # bits of a digit of the selection
 SHORT = 64  # bytes of words whose shifts are tables
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+RUN = 1 << 20  # bytes
+WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")  # before A-Z are lower-cased
+GAP = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
+_CLASS = np.array([bool(WORD.match(bytes([i]).lower())) for i in range(256)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.int64)
 
 
 @lru_cache(1)
@@ -43,53 +46,104 @@ def _shifts() -> np.ndarray:
     return out
 
 
-def _append(head: np.ndarray, tail: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """CRC-32 of concatenations, from those of both parts and the length of the second, at most SHORT."""
-    t = _shifts()
-    return t[lengths, 0, head & 255] ^ t[lengths, 1, head >> 8 & 255] ^ t[lengths, 2, head >> 16 & 255] ^ t[lengths, 3, head >> 24] ^ tail
-
-
-class Hasher:
-    """Buckets of the runs of 1 to 3 words of a text; words' hashes are remembered up to a number, then forgotten."""
-
-    def __init__(self, buckets: int, most: int = 1 << 17) -> None:
-        self.buckets, self.most, self.known = buckets, most, {}
-
-    def word(self, w: str) -> tuple[int, int, int]:
-        """CRC-32 of w and of w and a space, and its length in bytes."""
-        if len(self.known) >= self.most:
-            self.known.clear()
-        raw = w.encode("utf-8", "surrogatepass")
-        out = self.known[w] = (zlib.crc32(raw), zlib.crc32(raw + b" "), len(raw))
-        return out
-
-    def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Number of words, buckets of all features."""
-        words = WORD.findall((text or "").translate(LOWER))
-        if not words:
-            return 0, np.empty(0, np.int64)
-        known = self.known
-        crc, spaced, size = np.array([known.get(w) or self.word(w) for w in words], np.int64).T
-        crc, spaced = crc.astype(np.uint32), spaced.astype(np.uint32)
-        short = np.minimum(size, SHORT)
-        two = _append(spaced[:-1], crc[1:], short[1:])
-        two_spaced = _append(spaced[:-1], spaced[1:], np.minimum(size[1:] + 1, SHORT))
-        three = _append(two_spaced[:-1], crc[2:], short[2:])
-        for i in np.flatnonzero(size >= SHORT):  # words too long for the tables
-            for n, out in ((2, two), (3, three)):
-                for a in range(max(0, i - n + 1), min(i, len(words) - n) + 1):
-                    out[a] = zlib.crc32(" ".join(words[a : a + n]).encode("utf-8", "surrogatepass"))
-        return len(words), (np.concatenate((crc, two, three)) % self.buckets).astype(np.int64)
+@lru_cache(1)
+def _moved() -> np.ndarray:
+    """[256 d + b]: the state that byte b adds with d bytes behind it."""
+    return np.ascontiguousarray(_shifts()[1:, 0]).reshape(-1)
+
+
+def _zeros(state: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CRC-32 states after so many zero bytes, at most SHORT: with the CRC-32 of a second part, that of both parts together."""
+    flat, at = _shifts().reshape(-1), lengths << 10
+    out = flat[at + (state & 255)]
+    for k in (1, 2, 3):
+        out ^= flat[at + (k << 8) + (state >> np.uint32(8 * k) & 255)]
+    return out
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, bytes, int]]:
+    """(number of the text, bytes, words at their start that count as context only) of texts, of longer ones in parts of about RUN bytes."""
+    for i, text in enumerate(texts):
+        raw, at, old = (text or "").encode("utf-8", "surrogatepass"), 0, 0
+        while len(raw) - at > RUN:
+            gap = GAP.search(raw, at + RUN)  # a word is never cut
+            if gap is None:
+                break
+            part = raw[at : gap.start()]
+            yield i, part, old
+            last = [m.start() for m in WORD.finditer(part, max(0, len(part) - 1024))][1:][-2:]
+            if len(last) < 2:  # very long words
+                last = [m.start() for m in WORD.finditer(part)][-2:]
+            old = len(last)
+            at = at + last[0] if last else gap.start()
+            if at + RUN <= gap.start():  # the last words are longer than a part: take the rest as one
+                break
+        yield i, raw[at:], old
+
+
+def batch_buckets(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: (text of each word, bucket of each feature, text of each feature), as numbers of texts in the list.
+
+    Features are the runs of 1 to 3 words. Arrays are made of about RUN bytes at a time, whatever the texts' lengths.
+    """
+    held, size = [], 0
+    for part in _parts(texts):
+        held.append(part)
+        size += len(part[1])
+        if size >= RUN:
+            yield _buckets(held, buckets)
+            held, size = [], 0
+    if held:
+        yield _buckets(held, buckets)
+
+
+def _buckets(parts: list[tuple[int, bytes, int]], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = b"\0".join([*(x for _, x, _ in parts), b""])
+    octets = np.frombuffer(raw, np.uint8)
+    inside = _CLASS[octets]
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))  # the text ends with a zero, so edges come in pairs
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    if not len(size):
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    # CRC-32 is linear: each byte adds its own state, moved over the bytes behind it
+    behind = np.repeat(end - 1, size) - np.flatnonzero(inside)
+    state = np.bitwise_xor.reduceat(_moved()[np.minimum(behind, SHORT - 1) << 8 | _LOWER[octets[inside]]], np.cumsum(size) - size)
+    short = np.minimum(size, SHORT)
+    one_more = _shifts()[1, 0]
+    ones = np.uint32(0xFFFFFFFF)
+    state ^= _zeros(np.full(len(size), ones), short)
+    crc, spaced = state ^ ones, (state >> np.uint32(8)) ^ one_more[(state ^ np.uint32(32)) & np.uint32(255)] ^ ones
+    text = lambda i: raw[start[i] : end[i]].lower()
+    long = np.flatnonzero(size >= SHORT)
+    for i in long:
+        crc[i] = zlib.crc32(text(i))
+        spaced[i] = zlib.crc32(b" ", int(crc[i]))
+    ahead = _zeros(spaced[:-1], short[1:])  # of a pair's first word and the space, moved over the second word
+    two = ahead ^ crc[1:]
+    ahead = (ahead >> np.uint32(8)) ^ one_more[ahead & np.uint32(255)] ^ spaced[1:]  # the pair and a space
+    three = _zeros(ahead[:-1], short[2:]) ^ crc[2:]
+    for i in long:  # too long for the tables
+        for n, out in ((2, two), (3, three)):
+            for a in range(max(0, i - n + 1), min(i, len(size) - n) + 1):
+                out[a] = zlib.crc32(b" ".join(text(j) for j in range(a, a + n)))
+    firsts = np.cumsum([0, *(len(x) + 1 for _, x, _ in parts)])
+    part = np.searchsorted(firsts, start, "right") - 1
+    place = np.arange(len(size)) - np.searchsorted(part, part)  # of a word in its part
+    new = place >= np.array([x for _, _, x in parts])[part]
+    number = np.array([x for x, _, _ in parts])[part]
+    both, all_three = (part[:-1] == part[1:]) & new[1:], (part[:-2] == part[2:]) & new[2:]
+    return number[new], np.concatenate((crc[new], two[both], three[all_three])) % np.uint32(buckets), np.concatenate((number[new], number[1:][both], number[2:][all_three]))
 
 
 def feature_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """Features of all texts by bucket, counted in the tasks first; `buckets` numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, hasher = np.zeros(buckets, np.int64), Hasher(buckets)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                total += np.bincount(hasher(text.as_py())[1], minlength=buckets)
+            for _, found, _ in batch_buckets(batch.column(0).to_pylist(), buckets):
+                total += np.bincount(found, minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -110,12 +164,12 @@ def weighted(docs: DataFrame, gain: np.ndarray, text_col: str = "text") -> DataF
     """(id, n_words, n_features, weight) of each row of docs (id and the text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(len(gain))
         for batch in batches:
-            facts = np.zeros((3, len(batch)), np.int64)
-            for i, text in enumerate(batch.column(1)):
-                n, at = hasher(text.as_py())
-                facts[:, i] = n, len(at), gain[at].sum()
+            n = len(batch)
+            facts = np.zeros((3, n), np.int64)
+            for words, found, owner in batch_buckets(batch.column(1).to_pylist(), len(gain)):
+                # sums of whole numbers below 2^53 are exact as doubles
+                facts += np.stack((np.bincount(words, minlength=n), np.bincount(owner, minlength=n), np.bincount(owner, gain[found], n).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, facts)], ["id", "n_words", "n_features", "weight"])
 
     return docs.select("id", F.col(f"`{text_col}`").alias("text")).mapInArrow(work, "id bigint, n_words bigint, n_features bigint, weight bigint")

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 DIM = 16
-PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 800, 100, 8000  # bounds of the training sample
+PER_LANGUAGE, MOST_ROWS = 800, 8000  # bounds of the training sample
+MOST_LANGUAGES = MOST_ROWS // 2  # of which such a sample holds a row each, and as many rows of no language
 EPOCHS, RATE = 8, 4.0
 SPAN = 1 << 18  # bytes hashed at once
 PARTS = 32  # parts in which the sample reaches the driver, one after the other
@@ -187,19 +188,24 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with one more column, found: a struct of lang_pred, score and rejected, from the whole text alone."""
+    """docs with one more column, found: a struct of lang_pred, score and rejected, from the whole text alone.
+
+    A null text, or one without a letter, gives und, 0 and true; rows that repeat are predicted each; an empty table gives
+    an empty one. A column of docs that is named found is replaced: keep_identified keeps all columns, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def found(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("found", found(F.col(text_col)))
+    return docs.withColumn("found", found(F.col(f"`{text_col}`")))
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that the model rejects (no letter, or too little lead over texts of no language)."""
-    marked = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text_")), model, "text_")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = predict(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text_")), model, "text_")
     return marked.where(~F.col("found.rejected")).select("row.*")
 
 

@@ -160,9 +160,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
                         if with_ids:
-                            ids.append(list(memoryview(part).cast("I")))
+                            ids.append(part)
                 out = [batch.column(0).take(pa.array(who, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*out, *[pa.array(ids, pa.list_(pa.int32()))] * with_ids], ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+                if with_ids:  # the lists are made of the bytes as they are
+                    ends = pa.array(np.cumsum([0, *length]), pa.int32())
+                    out.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                yield pa.RecordBatch.from_arrays(out, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     return rows.mapInArrow(work, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
@@ -170,8 +173,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order: tuple[str, ...] = ("id", "piece", "ids_crc32")) -> DataFrame:
     """rows with sequence_id and offset; lengths are 1 to capacity. Rows must be stored, as they are read twice.
 
-    Ranks within a length come in two levels, over hash buckets, so that no length meets in one task. The broadcast
-    plan has fewer than 8 runs per possible length, whatever the number of rows.
+    Ranks within a length come in two levels, over hash buckets, so that no length meets in one task. The plan is made of
+    the numbers of rows by length, so its size does not grow with the rows.
     """
     spark = rows.sparkSession
     sizes = rows.groupBy(length_col).count().collect()  # at most `capacity` rows
@@ -179,7 +182,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError(f"lengths must be 1 to {capacity}")
     runs = plan(counts, capacity)
-    assert len(runs) <= 8 * capacity
     table = spark.createDataFrame(runs or [(0, 0, 0, 0, 1, 0)], "p_length bigint, p_from bigint, p_to bigint, p_first bigint, p_each bigint, p_offset bigint")
     buckets = power_of_two(sum(counts.values()) / 20_000, 32, 1 << 16)
     dealt = rows.withColumn("p_bucket", F.pmod(F.xxhash64(F.lit(3), *order), F.lit(buckets)))
@@ -189,7 +191,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
     within = F.row_number().over(Window.partitionBy(length_col, "p_bucket").orderBy(*order)) - 1
     ranked = dealt.withColumn("p_within", within).join(per, (F.col(length_col) == F.col("b_length")) & (F.col("p_bucket") == F.col("b_bucket")))
     ranked = ranked.withColumn("p_rank", F.col("b_before") + F.col("p_within"))
-    placed = ranked.join(F.broadcast(table), (F.col(length_col) == F.col("p_length")) & (F.col("p_rank") >= F.col("p_from")) & (F.col("p_rank") < F.col("p_to")))
+    # plans of realistic lengths have a few thousand runs; a longer one is joined as any other table
+    placed = ranked.join(F.broadcast(table) if len(runs) <= 8 * capacity else table, (F.col(length_col) == F.col("p_length")) & (F.col("p_rank") >= F.col("p_from")) & (F.col("p_rank") < F.col("p_to")))
     nth = F.col("p_rank") - F.col("p_from")
     return placed.select(*rows.columns, (F.col("p_first") + F.expr("(p_rank - p_from) div p_each")).alias("sequence_id"), (F.col("p_offset") + nth % F.col("p_each") * F.col(length_col)).alias("offset"))
 
