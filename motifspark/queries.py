@@ -258,12 +258,12 @@ spelled AS (SELECT kmer, m, substr(kmer, m::INT + 1, 1) AS base FROM letters),
 den AS (SELECT kmer, sum(lnb) AS den FROM spelled JOIN m0 USING (base) GROUP BY kmer),
 num AS (SELECT strand, g, kmer, sum(lnp) AS num FROM spelled JOIN both_ways USING (m, base) GROUP BY strand, g, kmer),
 scored AS (SELECT strand, g, kmer, num - den AS score FROM num JOIN den USING (kmer) WHERE num - den > {LIBRARY_CUTOFF})
-SELECT strand, 'g' || g AS pwm_id, sum(n)::BIGINT AS n_hits, count(DISTINCT seq_idx) AS n_seqs, round(sum(n * score), 2) AS total, min(first_loc) AS first_loc, max(last_loc) AS last_loc
+SELECT strand, 'g' || g AS pwm_id, sum(n)::BIGINT AS n_hits, count(DISTINCT seq_idx) AS n_seqs, round(sum(n * score), 4) AS total, min(first_loc) AS first_loc, max(last_loc) AS last_loc
 FROM scored JOIN counted USING (kmer) GROUP BY strand, g""")
 def scan_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = _part_library(spark, sf_dir)
     hits = commands.scan_hits(_seqs(spark, sf_dir), library, cutoffs=[LIBRARY_CUTOFF] * len(library))
-    return _summary(hits).withColumn("total", F.round("total", 2))
+    return _summary(hits)
 
 
 @query(f"{_global_hits('m0')} {SUMMARY}")

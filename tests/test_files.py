@@ -146,7 +146,7 @@ def test_oracle(spark, name):
     assert len(got.columns)
     if name in queries.ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "events", "nation"):
+        for t in ("documents", "events", "nation", "part"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.sql(queries.ORACLES[name]).df()
         text = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).to_numpy()))
