@@ -38,7 +38,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     is_query: a condition over the column id. Candidates are all rows of another id. Rows with a null id, and vectors that are null, hold a null or
     non-finite component or one beyond the doubles when scaled, take no part. A query whose id comes more than once is asked
     once, with the smallest of its vectors; rows that repeat a candidate are candidates each. Of vectors of different lengths
-    the shorter one counts as filled up with zeros; the empty one scores 0. Scores beyond a long are its ends. Fewer than k
+    the shorter one counts as filled up with zeros; the empty one scores 0. Scores beyond a long are its ends, and tie there. Fewer than k
     candidates: all of them; no queries or an empty table: no rows. Other columns, whatever their names, have no influence.
     """
     spark = vectors.sparkSession
@@ -127,6 +127,7 @@ class Best:
             whole = [np.array([[int(x) for x in row] for row in t.T.tolist()], object).reshape(-1, d) for t in (mine, table)]
             for i, q in enumerate(whole[0]):
                 scores = whole[1] @ q if d else np.zeros(len(ids), object)
+                scores = np.array([max(-LONG - 1, min(LONG, x)) for x in scores], object)
                 self.put(i, ids[ids != self.ids[i]], scores[ids != self.ids[i]])
             return
         order = np.argsort(-(np.square(table).sum(1) * np.square(mine).sum(1)), kind="stable")
@@ -176,6 +177,6 @@ class Best:
 
     def rows(self) -> pa.RecordBatch:
         sizes = [len(x) for x, _ in self.found]
-        scores = [max(-LONG - 1, min(LONG, int(x))) for _, s in self.found for x in s]
+        scores = [int(x) for _, s in self.found for x in s]
         columns = [np.repeat(self.ids, sizes), np.concatenate([x for x, _ in self.found]) if self.found else np.empty(0, np.int64), scores]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "score"])
