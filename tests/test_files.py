@@ -164,3 +164,9 @@ def test_fasta_records_are_not_cut_by_the_ends_of_files(spark, tmp_path, whole_p
     seqs = spark.createDataFrame([(i, f"s{i}", "ACGT" * 500) for i in range(3)], "seq_idx long, seq_id string, seq string")
     sinks.fasta_lines(seqs.repartition(3), 10).select("line").write.text(f"{tmp_path}/f")
     assert sorted((r.seq_id, r.seq) for r in readers.read_fasta(spark, f"{tmp_path}/f").collect()) == [(f"s{i}", "ACGT" * 500) for i in range(3)]
+
+
+def test_fasta_reverse_complements_of_records_in_several_files(spark, tmp_path, whole_partitions):
+    seqs = spark.createDataFrame([(i, f"s{i}", "AACG" * 500) for i in range(3)], "seq_idx long, seq_id string, seq string")
+    sinks.fasta_lines(seqs.repartition(3), 10).select("line").write.text(f"{tmp_path}/f")
+    assert sorted((r.seq_id, r.seq) for r in readers.read_fasta_reverse_complement(spark, f"{tmp_path}/f").collect()) == [(f"s{i}", "CGTT" * 500) for i in range(3)]
