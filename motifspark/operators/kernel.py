@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
 STRANDS = ("FWD", "REV")
 WORD = 5  # bases of a look-up: tables of 8 KB
+WORDS = 1 << 23  # most cells of the tables of whole words
+LOGS = 1024  # longest window of logarithms by table: 8 MB
 _MASK = np.array([-1], np.int8)
 _CODE = np.full(256, -1, np.int8)
 for _i, _b in enumerate("ACGT"):
@@ -64,7 +67,7 @@ class Scorer:
                 b = np.log(np.array(bg.m0, float))
                 b1 = np.log(np.array(bg.m1, float)).ravel() if bg.m1 is not None and bg.m1 is not False else None
             elif bg.kind == "local":
-                b, b1 = self._local(code, n)
+                return self._local(code, n)
         for w in {len(p.mat) for p in self.pwms}:
             k = len(code) - w + 1
             if k <= 0:
@@ -76,22 +79,33 @@ class Scorer:
                 for m in range(1, w):
                     total = total + (b[safe[m : m + k]] if b1 is None else b1[safe[m - 1 : m - 1 + k] * 4 + safe[m : m + k]])
                 out[w] = total
-            else:
-                at = np.arange(k)
-                total = b[at, safe[:k]]
-                for m in range(1, w):
-                    total = total + (b[at, safe[m : m + k]] if b1 is None else b1[at, safe[m - 1 : m - 1 + k] * 4 + safe[m : m + k]])
-                out[w] = total
         return out
 
-    def _local(self, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray | None]:
-        b, b1 = local_background(code, self.background.window, first_order=self.background.m1 is not False, n=n)
-        undefined = 0.0 if self.compat else np.nan
-        if n < 2 * self.background.window + 1:
-            b[:] = undefined
-        if b1 is not None and n < 2 * self.background.window + 2:
-            b1[:] = undefined
-        return np.log(b), None if b1 is None else np.log(b1)
+    def _local(self, code: np.ndarray, n: int) -> dict[int, np.ndarray]:
+        """denominators under the local background: only the frequencies that a start's bases need are looked up, once for all widths."""
+        window, first_order = self.background.window, self.background.m1 is not False
+        base, pair = local_counts(code, window, first_order)
+        size, out, total = len(code), {}, np.zeros(len(code))
+        widths, at = {len(p.mat) for p in self.pwms}, np.arange(len(code))
+        safe = np.maximum(code, 0).astype(np.int64)
+        undefined = -np.inf if self.compat else np.nan
+        singles = base.sum(0)
+        rows = pair.reshape(4, 4, -1).sum(1).ravel() if first_order else None
+        for m in range(min(max(widths, default=0), size)):
+            k = size - m
+            if m == 0 or not first_order:
+                term = undefined if n < 2 * window + 1 else log_shares(base.ravel()[safe[m:] * size + at[:k]], singles[:k], window)
+            elif n < 2 * window + 2:
+                term = undefined
+            else:
+                prev = safe[m - 1 : -1]
+                term = log_shares(pair.ravel()[(prev * 4 + safe[m:]) * size + at[:k]], rows[prev * size + at[:k]], window)
+            total = total[:k] + term
+            if m + 1 in widths:
+                out[m + 1] = total
+        if 0 in widths:
+            out[0] = np.zeros(size + 1)
+        return out
 
     def _tables(self) -> list[tuple]:
         """(matrix, strand, cutoff, blocks, rest) of every strand and matrix, made once: blocks are (first row, bases, log-probabilities of every
@@ -167,6 +181,26 @@ class Scorer:
                 kept = (score > cutoff) & ~masked[w][at]
             yield p, strand, at[kept], score[kept]
 
+    def by_word(self) -> dict[int, np.ndarray] | None:
+        """For each width the score of every matrix and strand (rows) for every word of so many bases, 0 where it is no hit.
+
+        None under a local background, where a word has no score of its own, and if the tables were large.
+        """
+        kinds, widths = [(p, s) for s in self.strands for p in self.pwms], {len(p.mat) for p in self.pwms}
+        if self.background.kind == "local" or not widths or not 0 < min(widths) or len(kinds) * sum(4**w for w in widths) > WORDS:
+            return None
+        out = {}
+        for w in widths:
+            scores, step = np.zeros((len(kinds), 4**w)), w + 1
+            text = ["".join("ACGT"[i >> 2 * (w - 1 - m) & 3] for m in range(w)) for i in range(4**w)]
+            for k, (p, _, at, score) in enumerate(self.hits([(x, w) for x in text])):
+                if len(p.mat) == w:
+                    if not np.isfinite(score).all() or (score == 0).any():
+                        return None
+                    scores[k, at // step] = score
+            out[w] = scores
+        return out
+
     def cutoff(self, p: Pwm) -> float:
         return self.cutoffs[self.pwms.index(p)] if self.cutoffs else 0.0
 
@@ -189,24 +223,49 @@ def _masked(code: np.ndarray, widths) -> dict[int, np.ndarray]:
     return {w: bad[w:] != bad[: len(bad) - w] for w in widths}
 
 
-def _window_sums(marks: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """Sums of the rows of marks within window of each place, clipped to the rows there are."""
-    sums = np.concatenate((np.zeros((1, marks.shape[1])), np.cumsum(marks, 0)))
-    hi = np.clip(at + window + 1, 0, len(marks))
-    return sums[hi] - sums[np.minimum(np.maximum(at - window, 0), hi)]
+def _window_counts(kind: np.ndarray, kinds: int, n: int, window: int) -> np.ndarray:
+    """(kinds, n): how often each kind is within window of each of n places."""
+    sums = np.zeros((kinds, len(kind) + 1), np.int32)
+    np.cumsum(kind == np.arange(kinds)[:, None], axis=1, dtype=np.int32, out=sums[:, 1:])
+    at = np.arange(n)
+    hi = np.minimum(at + window + 1, len(kind))
+    return sums.take(hi, 1) - sums.take(np.minimum(np.maximum(at - window, 0), hi), 1)
+
+
+def local_counts(code: np.ndarray, window: int, first_order: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Counts of bases (4, n) and pairs (16, n) around each place."""
+    base = _window_counts(code, 4, len(code), window)
+    if not first_order:
+        return base, None
+    pair = np.where((code[:-1] < 0) | (code[1:] < 0), -1, code[:-1].astype(int) * 4 + code[1:]) if len(code) else np.empty(0, int)
+    return base, _window_counts(pair.astype(np.int8), 16, len(code), window)
+
+
+@lru_cache(maxsize=4)
+def _logs(size: int) -> np.ndarray:
+    count = np.arange(size, dtype=float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.log(count[:, None] / count).ravel()
+
+
+def log_shares(count: np.ndarray, total: np.ndarray, window: int) -> np.ndarray:
+    """Logarithms of count / total, looked up unless windows are long; NaN for an empty total."""
+    size = 2 * window + 2
+    if size <= LOGS:
+        return _logs(size)[count * size + total]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.log(count / total)
 
 
 def local_background(code: np.ndarray, window: int, first_order: bool = True, n: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Base frequencies (n, 4) and row-normalised pair frequencies (n, 16) around each place; NaN for an empty row."""
-    at = np.arange(len(code))
+    base, pair = local_counts(code, window, first_order)
     with np.errstate(invalid="ignore", divide="ignore"):
-        b = _window_sums((code[:, None] == np.arange(4)).astype(float), at, window)
-        b = b / b.sum(1, keepdims=True)
+        b = (base / base.sum(0)).T
         if not first_order:
             return b, None
-        pair = np.where((code[:-1] < 0) | (code[1:] < 0), -1, code[:-1].astype(int) * 4 + code[1:]) if len(code) else np.empty(0, int)
-        c = _window_sums((pair[:, None] == np.arange(16)).astype(float), at, window).reshape(-1, 4, 4)
-        return b, (c / c.sum(2, keepdims=True)).reshape(-1, 16)
+        c = pair.reshape(4, 4, -1)
+        return b, (c / c.sum(1, keepdims=True)).reshape(16, -1).T
 
 
 def window_values(score: np.ndarray, cutoff: float, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from motifspark.operators.kernel import Scorer
+from motifspark.operators.kernel import Scorer, encode
 
 PIECE = 1 << 18  # starts of a piece
 TASK = 32 << 20  # bytes of input
 UNKNOWN = 1 << 60  # what Spark gives for tables without a size is beyond
 TOGETHER = 1 << 16  # characters of short pieces that are scored at once
+ADDED = 1 << 21  # hits that a task holds before it adds them up by place
 SHORT = 1 << 10  # of a piece whose substrings are taken by expressions
 
 
@@ -89,48 +90,180 @@ def score_pieces(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None =
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, size = [], 0
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                size += len(row[-1])
-                if size >= TOGETHER:
-                    yield from _found(held, scorer, nucs_after_tss)
-                    held, size = [], 0
+        for held in _held(batches):
             yield from _found(held, scorer, nucs_after_tss)
 
     # a row holds all hits of a matrix and strand in a piece, in the order of the kernel; Spark takes it apart
     found = cut_up.mapInArrow(work, "which int, seq_idx bigint, seq_id string, locs array<bigint>, scores array<double>")
+    rows = found.select("which", "seq_idx", "seq_id", "scores", F.posexplode("locs").alias("i", "loc"))
+    return rows.select(*kind_columns(scorer), "seq_idx", "seq_id", "loc", F.get("scores", F.col("i")).alias("score"))
+
+
+def kind_columns(scorer: Scorer) -> list[Column]:
+    """strand, pwm_idx and pwm_id of a row's number `which` of strand and matrix."""
     kinds = [(s, p) for s in scorer.strands for p in scorer.pwms]
     named = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("which") + 1)
-    rows = found.select("which", "seq_idx", "seq_id", "scores", F.posexplode("locs").alias("i", "loc"))
-    return rows.select(
-        named([s for s, _ in kinds]).alias("strand"), named([p.pwm_idx for _, p in kinds]).alias("pwm_idx"), named([p.pwm_id for _, p in kinds]).alias("pwm_id"),
-        "seq_idx", "seq_id", "loc", F.get("scores", F.col("i")).alias("score"),
-    )
+    return [named([s for s, _ in kinds]).alias("strand"), named([p.pwm_idx for _, p in kinds]).alias("pwm_idx"), named([p.pwm_id for _, p in kinds]).alias("pwm_id")]
 
 
-def _found(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None) -> Iterator[pa.RecordBatch]:
-    """Hits of the starts that pieces answer for; the pieces are scored together."""
+def totals(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None) -> DataFrame:
+    """(strand, pwm_idx, pwm_id, n_hits, n_infinite, n_seqs, total, first_loc, last_loc) of the hits of score_pieces, for matrices and strands that have any.
+
+    Hits are added up in the kernel; a sequence leaves it as bits, one for each matrix and strand with a hit, so that sequences in
+    several pieces or rows count once.
+    """
+    size = len(scorer.strands) * len(scorer.pwms)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = scorer.by_word()
+        for held in _held(batches, 1 << 20 if words else TOGETHER):
+            met = np.zeros((len(held), -(-size // 64) * 64), bool)
+            each = _word_totals(held, scorer, words, nucs_after_tss, met) if words else _hit_totals(held, scorer, nucs_after_tss, met)
+            which, n, infinite, total, first, last = (list(x) for x in zip(*each, strict=True)) if each else ([] for _ in range(6))
+            bits = np.packbits(met, axis=1, bitorder="little").view("<i8")
+            row, word = np.nonzero(bits)
+            none, idx = [None] * len(row), [held[i][0] for i in row.tolist()]
+            columns = [which + none, n + none, infinite + none, total + none, first + none, last + none, [None] * len(which) + idx, [None] * len(which) + word.tolist(), [None] * len(which) + bits[row, word].tolist()]
+            types = [pa.int32(), *[pa.int64()] * 2, pa.float64(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["which", "n", "infinite", "total", "first", "last", "seq_idx", "word", "bits"])
+
+    found = cut_up.mapInArrow(work, "which int, n bigint, infinite bigint, total double, first bigint, last bigint, seq_idx bigint, word int, bits bigint")
+    sums = [F.sum("n").alias("n"), F.sum("infinite").alias("infinite"), F.sum("total").alias("total"), F.min("first").alias("first"), F.max("last").alias("last")]
+    once = found.groupBy("which", "seq_idx", "word").agg(*sums, F.bit_or("bits").alias("bits"))
+    held_by = F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1), lambda k: F.col("word") * 64 + k)
+    each = once.withColumn("which", F.explode(F.when(F.col("word").isNull(), F.array("which")).otherwise(held_by)))
+    added = each.groupBy("which").agg(*sums, F.count("seq_idx").alias("n_seqs"))
+    return added.select(*kind_columns(scorer), F.col("n").alias("n_hits"), F.col("infinite").alias("n_infinite"), "n_seqs", "total", F.col("first").alias("first_loc"), F.col("last").alias("last_loc"))
+
+
+def _hit_totals(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None, met: np.ndarray) -> list[tuple]:
+    """(kind, hits, infinite ones, total, first and last loc) of the pieces' hits; marks in met the kinds that each piece has."""
+    out = []
+    for k, piece, loc, score in _own_hits(held, scorer, nucs_after_tss):
+        met[piece, k] = True
+        out.append((k, len(loc), int(np.isinf(score).sum()), float(score.sum()), int(loc.min()), int(loc.max())))
+    return out
+
+
+def _word_totals(held: list[tuple], scorer: Scorer, words: dict[int, np.ndarray], nucs_after_tss: int | None, met: np.ndarray) -> list[tuple]:
+    """_hit_totals by counts of words, whose scores are known: the work on a start does not grow with the library."""
+    starts, own, shift = _placed(held, nucs_after_tss)
+    code = encode("\0".join([*(x[-1] for x in held), ""]))
+    kinds, out = np.array([len(p.mat) for _ in scorer.strands for p in scorer.pwms]), []
+    bad = np.concatenate(([0], np.cumsum(code < 0)))
+    safe = np.maximum(code, 0).astype(np.int64)
+    for w, scores in words.items():
+        size = len(code) - w + 1
+        if size <= 0:
+            continue
+        at = np.flatnonzero(own[:size] & (bad[w:] == bad[:size]))
+        number = np.zeros(len(at), np.int64)
+        for m in range(w):
+            number = number * 4 + safe[at + m]
+        piece = np.searchsorted(starts, at, "right") - 1
+        loc = at + shift[piece]
+        count = np.bincount(number, minlength=4**w)
+        low, high = np.full(4**w, np.iinfo(np.int64).max), np.full(4**w, np.iinfo(np.int64).min)
+        np.minimum.at(low, number, loc)
+        np.maximum.at(high, number, loc)
+        hit = scores != 0
+        mine = np.flatnonzero(hit[:, count > 0].any(1))
+        n, total = hit[mine] @ count, scores[mine] @ count
+        marks = hit[mine].T.astype(np.float32)
+        for a in range(0, len(held), 512):
+            lo, hi = np.searchsorted(piece, (a, a + 512))
+            has = np.zeros((min(512, len(held) - a), 4**w), np.float32)
+            has[piece[lo:hi] - a, number[lo:hi]] = 1
+            met[a : a + 512, mine] |= has @ marks > 0
+        first, last = np.where(hit[mine], low, np.iinfo(np.int64).max).min(1), np.where(hit[mine], high, np.iinfo(np.int64).min).max(1)
+        out += list(zip(mine.tolist(), n.tolist(), [0] * len(mine), total.tolist(), first.tolist(), last.tolist(), strict=True))
+    return out
+
+
+def curve(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None) -> DataFrame:
+    """(strand, pwm_idx, pwm_id, loc, cumscore): the hits of score_pieces added up by place, first over the sequences of a task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = {}, 0
+        for held in _held(batches):
+            for k, _, loc, score in _own_hits(held, scorer, nucs_after_tss):
+                parts.setdefault(k, []).append((loc, score))
+                size += len(loc)
+            if size > ADDED:
+                parts = {k: [_by_place(x)] for k, x in parts.items()}
+                size = sum(len(x[0][0]) for x in parts.values())
+                if size > ADDED // 2:
+                    yield from _curve_rows(parts)
+                    parts, size = {}, 0
+        yield from _curve_rows({k: [_by_place(x)] for k, x in parts.items()})
+
+    found = cut_up.mapInArrow(work, "which int, loc bigint, score double")
+    return found.groupBy("which", "loc").agg(F.sum("score").alias("cumscore")).select(*kind_columns(scorer), "loc", "cumscore")
+
+
+def _by_place(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order and the sums of their scores."""
+    loc, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    low, span = loc.min(), loc.max() - loc.min() + 1
+    if span > 8 * len(loc) + TOGETHER:
+        places, at = np.unique(loc, return_inverse=True)
+        return places, np.bincount(at, score)
+    at = np.flatnonzero(np.bincount(loc - low))
+    return at + low, np.bincount(loc - low, score)[at]
+
+
+def _curve_rows(parts: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    for k, [(loc, score)] in parts.items():
+        for a in range(0, len(loc), 1 << 16):
+            mine = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(loc[mine]), k), pa.int32()), pa.array(loc[mine], pa.int64()), pa.array(score[mine])], ["which", "loc", "score"])
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int = TOGETHER) -> Iterator[list[tuple]]:
+    """Pieces that are scored together."""
+    for batch in batches:
+        held, size = [], 0
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(row)
+            size += len(row[-1])
+            if size >= most:
+                yield held
+                held, size = [], 0
+        yield held
+
+
+def _placed(held: list[tuple], nucs_after_tss: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the joined text of pieces: where each begins, the starts that they answer for, and what leads from a start to its place relative to the TSS."""
     starts = np.cumsum([0, *(len(x[-1]) + 1 for x in held)])
     own = np.zeros(starts[-1], bool)
-    shift = np.empty(len(held), np.int64)  # from a place in the joined text to one relative to the TSS
+    shift = np.empty(len(held), np.int64)
     for i, (_, _, n, offset, skip, many, _) in enumerate(held):
         own[starts[i] + skip : starts[i] + skip + many] = True
         shift[i] = offset - starts[i] - (n - (n // 2 if nucs_after_tss is None else nucs_after_tss))
-    rows, locs, scores, sizes = [], [], [], [0]
+    return starts, own, shift
+
+
+def _own_hits(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, piece, loc, score) of the hits whose starts the pieces answer for, of kinds that have one."""
+    starts, own, shift = _placed(held, nucs_after_tss)
     for k, (_, _, at, score) in enumerate(scorer.hits([(x[-1], x[2]) for x in held])):
         mine = own[at]
         at, score = at[mine], score[mine]
-        if not len(at):
-            continue
-        piece = np.searchsorted(starts, at, "right") - 1
+        if len(at):
+            piece = np.searchsorted(starts, at, "right") - 1
+            yield k, piece, at + shift[piece], score
+
+
+def _found(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None) -> Iterator[pa.RecordBatch]:
+    """Hits of the starts that pieces answer for; the pieces are scored together."""
+    rows, locs, scores, sizes = [], [], [], [0]
+    for k, piece, loc, score in _own_hits(held, scorer, nucs_after_tss):
         first = np.flatnonzero(np.diff(piece, prepend=-1))
         rows += [(k, held[i][0], held[i][1]) for i in piece[first].tolist()]
-        locs.append(at + shift[piece])
+        locs.append(loc)
         scores.append(score)
         base = sizes[-1]
-        sizes += (base + np.append(first[1:], len(at))).tolist()
+        sizes += (base + np.append(first[1:], len(loc))).tolist()
         if sizes[-1] > 1 << 20:
             yield _lists(rows, locs, scores, sizes)
             rows, locs, scores, sizes = [], [], [], [0]

@@ -36,18 +36,37 @@ def named(seqs: DataFrame, seq_name: str | None) -> DataFrame:
 
 def scan_hits(seqs: DataFrame, pwms: list[Pwm], m0: list[float] | None = None, m1: list[list[float]] | None = None, use_m1: bool = False, strand: str = "BOTH", cutoffs: list[float] | None = None, nucs_after_tss: int | None = 0) -> DataFrame:
     """Hits under a global background, counted from the sequences unless given; first order if use_m1 or m1 is given."""
+    return scan.score_sites(seqs, scan_scorer(seqs, pwms, m0, m1, use_m1, strand, cutoffs), nucs_after_tss)
+
+
+def scan_scorer(seqs: DataFrame, pwms: list[Pwm], m0: list[float] | None = None, m1: list[list[float]] | None = None, use_m1: bool = False, strand: str = "BOTH", cutoffs: list[float] | None = None) -> Scorer:
     bg = Background("global", m0, m1) if m0 else global_background(seqs, use_m1 and m1 is None)
     if m1 is not None:
         bg.m1 = m1
-    return scan.score_sites(seqs, Scorer(pwms, bg, strands_of(strand), cutoffs), nucs_after_tss)
+    return Scorer(pwms, bg, strands_of(strand), cutoffs)
+
+
+def scan_totals(seqs: DataFrame, pwms: list[Pwm], nucs_after_tss: int | None = 0, **options) -> DataFrame:
+    """What scan_hits finds, added up by strand and matrix (scan.totals); no hit leaves the tasks."""
+    scorer = scan_scorer(seqs, pwms, **options)
+    return scan.totals(scan.pieces(seqs, *scan.reach(scorer)), scorer, nucs_after_tss)
 
 
 def scan_split_fasta(spark: SparkSession, path: str, pwms: list[Pwm], m0: list[float] | None = None, strand: str = "BOTH", cutoffs: list[float] | None = None, nucs_after_tss: int | None = 0) -> DataFrame:
     """scan_hits of a sequence file whose records may be of any length: no task holds a whole one. The background has order 0."""
+    return scan.score_pieces(*_split_scan(spark, path, pwms, m0, strand, cutoffs), nucs_after_tss)
+
+
+def split_fasta_totals(spark: SparkSession, path: str, pwms: list[Pwm], m0: list[float] | None = None, strand: str = "BOTH", cutoffs: list[float] | None = None, nucs_after_tss: int | None = 0) -> DataFrame:
+    """scan_totals of such a file."""
+    return scan.totals(*_split_scan(spark, path, pwms, m0, strand, cutoffs), nucs_after_tss)
+
+
+def _split_scan(spark: SparkSession, path: str, pwms: list[Pwm], m0: list[float] | None, strand: str, cutoffs: list[float] | None) -> tuple[DataFrame, Scorer]:
     segments = split_fasta.read_split_fasta(spark, path)
     bg = Background("global", m0) if m0 else global_background(segments.select(F.col("bases").alias("seq")))
     scorer = Scorer(pwms, bg, strands_of(strand), cutoffs)
-    return scan.score_pieces(split_fasta.segment_pieces(segments, *scan.reach(scorer)), scorer, nucs_after_tss)
+    return split_fasta.segment_pieces(segments, *scan.reach(scorer)), scorer
 
 
 def curves(seqs: DataFrame, pwms: list[Pwm], bg_window: int = BG_WINDOW, strand: str = "BOTH", cutoffs: list[float] | None = None, nucs_after_tss: int | None = None, seq_name: str | None = None, min_flank: int = 1000) -> DataFrame:
@@ -55,8 +74,9 @@ def curves(seqs: DataFrame, pwms: list[Pwm], bg_window: int = BG_WINDOW, strand:
     n = F.length("seq")
     after = F.floor(n / 2) if nucs_after_tss is None else F.lit(nucs_after_tss)
     kept = named(seqs, seq_name).where((after >= min_flank) & (n - after - 1 >= min_flank))
-    hits = scan.score_sites(kept, Scorer(pwms, local(bg_window), strands_of(strand), cutoffs), nucs_after_tss)
-    return features.cumulative_by_strand(hits)
+    scorer = Scorer(pwms, local(bg_window), strands_of(strand), cutoffs)
+    found = scan.curve(scan.pieces(kept, *scan.reach(scorer)), scorer, nucs_after_tss)
+    return found.groupBy("strand", "pwm_id", "loc").agg(F.sum("cumscore").alias("cumscore"))
 
 
 def regions(seqs: DataFrame, pwms: list[Pwm], pwm_rows: DataFrame, length: int, nucs_after_tss: int, flank: int = 1000, **options) -> DataFrame:
