@@ -7,7 +7,9 @@ scoring it. The sql form scores with plain expressions and is what it is tested
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ TASK = 32 << 20  # bytes of input
 UNKNOWN = 1 << 60  # what Spark gives for tables without a size is beyond
 TOGETHER = 1 << 16  # characters of short pieces that are scored at once
 ADDED = 1 << 21  # hits that a task holds before it adds them up by place
+FEW = 1 << 18  # scored words that are broadcast
 SHORT = 1 << 10  # of a piece whose substrings are taken by expressions
 
 
@@ -99,6 +102,56 @@ def score_pieces(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None =
     return rows.select(*kind_columns(scorer), "seq_idx", "seq_id", "loc", F.get("scores", F.col("i")).alias("score"))
 
 
+def different_words(seqs: DataFrame, width: int) -> DataFrame:
+    """(motif): every different run of width characters of the sequences; a task names each once or seldom, then Spark drops repeats."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for held in _held(batches, 1 << 20):
+            parts = []
+            for _, _, _, _, skip, own, piece in held:
+                end = min(skip + own, len(piece) - width + 1)
+                if end > skip:
+                    text = np.frombuffer(piece[skip : end + width - 1].encode("ascii"), np.uint8)
+                    parts.append(np.lib.stride_tricks.sliding_window_view(text, width))
+            if not parts:
+                continue
+            rows = np.concatenate(parts)
+            if width <= 8:
+                words = np.zeros(len(rows), np.uint64)
+                for m in range(width):
+                    words = words << np.uint64(8) | rows[:, m]
+                found = {int(x).to_bytes(width, "big") for x in np.unique(words)}
+            else:
+                found = set(np.unique(np.ascontiguousarray(rows).view(f"S{width}").ravel()).tolist())
+            new = found - seen
+            seen = (seen if len(seen) < ADDED else set()) | new
+            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in new], pa.string())], ["motif"])
+
+    return pieces(seqs, width, 0).mapInArrow(work, "motif string").distinct()
+
+
+def hit_texts(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None, text: Callable[[np.ndarray, np.ndarray], list[str]]) -> DataFrame:
+    """(which, seq_idx, seq_id, first, packed) for each piece, matrix and strand with hits: text of the places and scores, joined by tabs and compressed, as
+    it is to be sorted; first is the first place. unpacked makes it text again."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches):
+            rows = []
+            for k, piece, loc, score in _own_hits(held, scorer, nucs_after_tss):
+                words = text(loc, score)
+                first = np.flatnonzero(np.diff(piece, prepend=-1)).tolist()
+                rows += [(k, *held[i][:2], at, zlib.compress("\t".join(words[a:b]).encode(), 1)) for i, at, a, b in zip(piece[first].tolist(), loc[first].tolist(), first, [*first[1:], len(loc)], strict=True)]
+            types = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], ["which", "seq_idx", "seq_id", "first", "packed"])
+
+    return cut_up.mapInArrow(work, "which int, seq_idx bigint, seq_id string, first bigint, packed binary")
+
+
+def unpacked(packed: bytes) -> str:
+    return zlib.decompress(packed).decode()
+
+
 def kind_columns(scorer: Scorer) -> list[Column]:
     """strand, pwm_idx and pwm_id of a row's number `which` of strand and matrix."""
     kinds = [(s, p) for s in scorer.strands for p in scorer.pwms]
@@ -118,7 +171,7 @@ def totals(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None)
         words = scorer.by_word()
         for held in _held(batches, 1 << 20 if words else TOGETHER):
             met = np.zeros((len(held), -(-size // 64) * 64), bool)
-            each = _word_totals(held, scorer, words, nucs_after_tss, met) if words else _hit_totals(held, scorer, nucs_after_tss, met)
+            each = _word_totals(held, scorer, words, nucs_after_tss, met) if words else hit_totals(held, scorer, nucs_after_tss, met)
             which, n, infinite, total, first, last = (list(x) for x in zip(*each, strict=True)) if each else ([] for _ in range(6))
             bits = np.packbits(met, axis=1, bitorder="little").view("<i8")
             row, word = np.nonzero(bits)
@@ -136,7 +189,7 @@ def totals(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None)
     return added.select(*kind_columns(scorer), F.col("n").alias("n_hits"), F.col("infinite").alias("n_infinite"), "n_seqs", "total", F.col("first").alias("first_loc"), F.col("last").alias("last_loc"))
 
 
-def _hit_totals(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None, met: np.ndarray) -> list[tuple]:
+def hit_totals(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None, met: np.ndarray) -> list[tuple]:
     """(kind, hits, infinite ones, total, first and last loc) of the pieces' hits; marks in met the kinds that each piece has."""
     out = []
     for k, piece, loc, score in _own_hits(held, scorer, nucs_after_tss):
@@ -278,7 +331,7 @@ def _lists(rows: list[tuple], locs: list[np.ndarray], scores: list[np.ndarray],
 
 
 def score_sites_sql(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None) -> DataFrame:
-    """score_sites for equal and global backgrounds in plain expressions: every different k-mer is scored once and joined to its starts."""
+    """score_sites for equal and global backgrounds in plain expressions: every k-mer is scored once and joined to its starts."""
     bg, spark = scorer.background, seqs.sparkSession
     if bg.kind == "local":
         raise ValueError("local backgrounds are scored by score_sites")
@@ -290,13 +343,19 @@ def score_sites_sql(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None
     b1 = F.array(*[F.lit(ln(x)) for row in bg.m1 for x in row]) if first_order else None
     tss = F.col("n") - (F.floor(F.col("n") / 2) if nucs_after_tss is None else F.lit(nucs_after_tss))
     width = max((len(p.mat) for p in scorer.pwms), default=1)
-    starts = pieces(seqs, width, 0, SHORT).select("seq_idx", "seq_id", F.upper("piece").alias("piece"), "skip", (F.col("skip") + F.col("own") - 1).alias("last"), (F.col("offset") - tss).alias("shift"))
+    starts = pieces(seqs, width, 0, SHORT).select("seq_idx", "seq_id", F.upper("piece").cast("binary").alias("piece"), "skip", (F.col("skip") + F.col("own") - 1).alias("last"), (F.col("offset") - tss).alias("shift"))
+    widths = sorted({len(p.mat) for p in scorer.pwms})
     sites = starts.join(F.broadcast(lib.select("w").distinct()), F.length("piece") >= F.col("w"))
     sites = sites.where(F.least("last", F.length("piece") - F.col("w")) >= F.col("skip"))
     sites = sites.withColumn("j", F.explode(F.expr("sequence(skip, least(last, length(piece) - w))")))
-    sites = sites.select("seq_idx", "seq_id", (F.col("j") + F.col("shift")).alias("loc"), "w", F.substr("piece", (F.col("j") + 1).cast("int"), F.col("w")).alias("kmer"))
-    sites = sites.where(F.col("kmer").rlike("^[ACGT]+$"))
-    kmers = sites.select("w", "kmer").distinct()
+    sites = sites.select("seq_idx", "seq_id", (F.col("j") + F.col("shift")).alias("loc"), "w", F.substr("piece", (F.col("j") + 1).cast("int"), F.col("w")).cast("string").alias("kmer"))
+    few = sum(4**w for w in widths) * len(rows) <= FEW
+    if few:  # all words there are, so the sites are not looked through for them, and the scored ones are broadcast
+        every = [spark.range(4**w).select(F.lit(w).alias("w"), F.concat(*[F.substr(F.lit("ACGT"), (F.shiftright("id", 2 * m) % 4 + 1).cast("int"), F.lit(1)) for m in range(w)], F.lit("")).alias("kmer")) for w in widths]
+        kmers = reduce(DataFrame.unionByName, every) if every else sites.select("w", "kmer").limit(0)
+    else:
+        sites = sites.where(F.col("kmer").rlike("^[ACGT]+$"))
+        kmers = sites.select("w", "kmer").distinct()
     codes = F.transform(F.split("kmer", ""), lambda c: F.instr(F.lit("ACGT"), c) - 1)
     scored = kmers.withColumn("codes", F.slice(codes, F.lit(1), F.col("w"))).join(F.broadcast(lib), "w")
 
@@ -309,7 +368,8 @@ def score_sites_sql(seqs: DataFrame, scorer: Scorer, nucs_after_tss: int | None
 
     score = F.aggregate(F.sequence(F.lit(1), F.col("w")), F.lit(0.0), lambda acc, i: acc + term(i))
     scored = scored.withColumn("score", score).where((F.col("score") > F.col("cutoff")) & ~F.isnan("score"))
-    return sites.join(scored.drop("codes", "theta", "cutoff"), ["w", "kmer"]).select("strand", "pwm_idx", "pwm_id", "seq_idx", "seq_id", "loc", "score")
+    scored = scored.drop("codes", "theta", "cutoff")
+    return sites.join(F.broadcast(scored) if few else scored, ["w", "kmer"]).select("strand", "pwm_idx", "pwm_id", "seq_idx", "seq_id", "loc", "score")
 
 
 def ordered(hits: DataFrame) -> DataFrame:
