@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifspark.functions.alphabet import BASES
-from motifspark.operators.kernel import Background, encode, local_background
+from motifspark.operators.kernel import Background, encode, local_background, local_counts
 from motifspark.operators.scan import PIECE, pieces
 
 
@@ -89,6 +89,37 @@ def local_frequencies(seqs: DataFrame, window: int = 250, first_order: bool = Tr
     return cut.mapInArrow(work, "seq_idx bigint, pos bigint, b array<double>, b1 array<double>")
 
 
+def local_totals(seqs: DataFrame, window: int = 250, piece: int = PIECE) -> DataFrame:
+    """(seq_idx, n_places, b, b1): sums of local_frequencies over the places of each sequence that have a pair frequency, null where there is
+    none; added up in the kernel. Sequences without such a place have no row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for idx, n, _, skip, own, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n < 2 * window + 2:
+                    continue
+                mine = slice(skip, skip + own)
+                base, pair = (x[:, mine] for x in local_counts(encode(seq), window))
+                held = pair.any(0)
+                base, pair = base[:, held], pair[:, held].reshape(4, 4, -1)
+                if not base.shape[1]:
+                    continue
+                each, total = base.sum(0), pair.sum(1)
+                b = (base / np.maximum(each, 1)).sum(1)
+                b1 = (pair / np.maximum(total, 1)[:, None]).sum(2).ravel()
+                b1[np.repeat(~total.any(1), 4)] = np.nan
+                rows.append((idx, base.shape[1], b, b1))
+            idx, count, b, b1 = zip(*rows, strict=True) if rows else ((), (), (), ())
+            lists = [_lists(np.array(x, float).reshape(len(rows), k)) for x, k in ((b, 4), (b1, 16))]
+            yield pa.RecordBatch.from_arrays([pa.array(idx, pa.int64()), pa.array(count, pa.int64()), *lists], ["seq_idx", "n_places", "b", "b1"])
+
+    cut = pieces(seqs.withColumn("seq_id", F.lit("")), 1, window, piece).drop("seq_id")
+    found = cut.mapInArrow(work, "seq_idx bigint, n_places bigint, b array<double>, b1 array<double>")
+    added = lambda name, size: F.array(*[F.sum(F.col(name)[k]) for k in range(size)]).alias(name)
+    return found.groupBy("seq_idx").agg(F.sum("n_places").alias("n_places"), added("b", 4), added("b1", 16))
+
+
 def local_base_frequencies_sql(seqs: DataFrame, window: int = 250) -> DataFrame:
     """(seq_idx, pos, base, freq) by sliding frames: the plain form that local_frequencies is tested against."""
     places = seqs.where(F.length("seq") >= 2 * window + 1).select("seq_idx", F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "c"))
