@@ -137,11 +137,18 @@ def open_tiles(seqs: DataFrame, pwms: list[Pwm], intervals: DataFrame, up: int,
 
 
 def open_regions(seqs: DataFrame, pwms: list[Pwm], roe: DataFrame, intervals: DataFrame, bg_window: int = BG_WINDOW, cutoffs: list[float] | None = None, nucs_after_tss: int | None = None) -> DataFrame:
-    """(seq_id, feature_id, tissue, value) over the open intervals of the regions' windows, as they are given."""
+    """(seq_id, feature_id, tissue, value) over the open intervals of the regions' windows, as they are given.
+
+    Intervals without a column feature_id are those of every window: they are summed once for each matrix and strand, and named at the end.
+    """
     scorer = Scorer(pwms, local(bg_window), cutoffs=cutoffs)
     places = [(p.pwm_idx, s, k) for k, (s, p) in enumerate((s, p) for s in scorer.strands for p in pwms)]
     which = seqs.sparkSession.createDataFrame(places, "pwm_idx int, strand string, which int")
-    own = windows.roe_windows(roe).join(which, ["pwm_idx", "strand"]).select("feature_id", "which")
+    own = windows.roe_windows(roe).join(which, ["pwm_idx", "strand"]).select("feature_id", "which", "pwm_idx", "strand")
+    if "feature_id" not in intervals.columns:
+        given = intervals.select("seq_id", "tissue", F.lit(None).cast("string").alias("feature_id"), F.lit(None).cast("int").alias("which"), F.col("start").alias("left"), F.col("end").alias("right"))
+        sums = interval_sums(seqs, scorer, given, nucs_after_tss).drop("feature_id")
+        return sums.join(windows.parameters(own.drop("which")), ["pwm_idx", "strand"]).select("seq_id", "feature_id", "tissue", "value")
     met = intervals.join(own, "feature_id").select("seq_id", "tissue", "feature_id", "which", F.col("start").alias("left"), F.col("end").alias("right"))
     return interval_sums(seqs, scorer, met, nucs_after_tss).select("seq_id", "feature_id", "tissue", "value")
 
