@@ -56,8 +56,8 @@ def open_backgrounds(seqs: DataFrame, name: str) -> None:
 
 
 def open_scan(spark: SparkSession, seqs: DataFrame, pwms: list[Pwm], bg: Background | None = None, cutoffs: list[float] | None = None, nucs_after_tss: int | None = 0, name: str = "sites") -> None:
-    """The table function `name` (n, offset, skip, own, piece) -> (strand, pwm_idx, pwm_id, loc, score), hits above the cutoffs, and the views
-    name_pieces of seqs (seq_idx, seq_id, seq), cut and dealt to the tasks, and name_matrices."""
+    """The table function `name` (n, offset, skip, own, piece) -> (strand, pwm_idx, pwm_id, loc, score), hits above the cutoffs, the table
+    function name_totals of the same -> (strand, pwm_idx, pwm_id, n_hits, total, first_loc, last_loc), which adds up a piece's, and the views name_pieces of seqs (seq_idx, seq_id, seq), cut and dealt to the tasks, and name_matrices."""
     scorer = Scorer(pwms, bg or Background(), cutoffs=cutoffs)
     scan.pieces(seqs, *scan.reach(scorer)).createOrReplaceTempView(f"{name}_pieces")
     readers.pwm_table(spark, pwms).createOrReplaceTempView(f"{name}_matrices")
@@ -71,3 +71,12 @@ def open_scan(spark: SparkSession, seqs: DataFrame, pwms: list[Pwm], bg: Backgro
                     yield strand, p.pwm_idx, p.pwm_id, loc, value
 
     spark.udtf.register(name, udtf(Sites, returnType="strand string, pwm_idx int, pwm_id string, loc bigint, score double"))
+
+    class Totals:
+        def eval(self, n: int, offset: int, skip: int, own: int, piece: str) -> Iterator[tuple]:
+            met = np.zeros((1, len(kinds)), bool)
+            for k, hits, _, total, first, last in scan.hit_totals([(None, None, n, offset, skip, own, piece)], scorer, nucs_after_tss, met):
+                yield *kinds[k], hits, total, first, last
+
+    kinds = [(s, p.pwm_idx, p.pwm_id) for s in scorer.strands for p in scorer.pwms]
+    spark.udtf.register(f"{name}_totals", udtf(Totals, returnType="strand string, pwm_idx int, pwm_id string, n_hits bigint, total double, first_loc bigint, last_loc bigint"))
