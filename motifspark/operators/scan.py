@@ -7,6 +7,7 @@ scoring it. The sql form scores with plain expressions and is what it is tested
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -25,6 +26,7 @@ TOGETHER = 1 << 16  # characters of short pieces that are scored at once
 ADDED = 1 << 21  # hits that a task holds before it adds them up by place
 FEW = 1 << 18  # scored words that are broadcast
 SHORT = 1 << 10  # of a piece whose substrings are taken by expressions
+BEYOND, BELOW = 1 << 62, (1 << 62) + 1  # what stands for an infinite score, and for one that rounds to -0
 
 
 def ascii_bytes(seq: Column) -> Column:
@@ -131,25 +133,108 @@ def different_words(seqs: DataFrame, width: int) -> DataFrame:
     return pieces(seqs, width, 0).mapInArrow(work, "motif string").distinct()
 
 
-def hit_texts(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None, text: Callable[[np.ndarray, np.ndarray], list[str]]) -> DataFrame:
-    """(which, seq_idx, seq_id, first, packed) for each piece, matrix and strand with hits: text of the places and scores, joined by tabs and compressed, as
-    it is to be sorted; first is the first place. unpacked makes it text again."""
+def hit_numbers(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None, scores: bool, part: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    """(part, which, seq_idx, seq_id, first, packed) for each piece, matrix and strand with hits, as they are to be sorted: packed are the scores, or the
+    places from first, the first one, on; unpacked_hits reads them. part gives the number of a row's task from a kind and seq_idx."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _held(batches):
-            rows = []
-            for k, piece, loc, score in _own_hits(held, scorer, nucs_after_tss):
-                words = text(loc, score)
-                first = np.flatnonzero(np.diff(piece, prepend=-1)).tolist()
-                rows += [(k, *held[i][:2], at, zlib.compress("\t".join(words[a:b]).encode(), 1)) for i, at, a, b in zip(piece[first].tolist(), loc[first].tolist(), first, [*first[1:], len(loc)], strict=True)]
-            types = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], ["which", "seq_idx", "seq_id", "first", "packed"])
-
-    return cut_up.mapInArrow(work, "which int, seq_idx bigint, seq_id string, first bigint, packed binary")
-
-
-def unpacked(packed: bytes) -> str:
-    return zlib.decompress(packed).decode()
+        words = scorer.by_word()
+        ranks = {w: np.stack([_ranks(x)[0] for x in t]) for w, t in words.items()} if words and scores else None
+        for held in _held(batches, 1 << 18 if words else TOGETHER):
+            rows, idx = [], np.array([x[0] for x in held], np.int64)
+            for k, at, score, low, high, shift in _by_piece(held, scorer, nucs_after_tss, words, ranks):
+                mine = np.flatnonzero(high > low)
+                if not len(mine):
+                    continue
+                values = score if ranks else thousandths(score) if scores else at
+                pack = packed if scores else packed_places
+                for i, to, a, b in zip(mine.tolist(), part(k, idx[mine]).tolist(), low[mine].tolist(), high[mine].tolist(), strict=True):
+                    rows.append((to, k, *held[i][:2], int(at[a] + shift[i]), pack(values[a:b])))
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], ["part", "which", "seq_idx", "seq_id", "first", "packed"])
+
+    return cut_up.mapInArrow(work, "part int, which int, seq_idx bigint, seq_id string, first bigint, packed binary")
+
+
+def unpacked_hits(scorer: Scorer, scores: bool) -> Callable[[int, int, bytes], np.ndarray]:
+    """What makes places, or thousandths of scores, of a row's which, first and packed in hit_numbers."""
+    words = scorer.by_word() if scores else None
+    values = {k: _ranks(t[k])[1] for w, t in words.items() for k, width in enumerate(_widths(scorer)) if w == width} if words else None
+    if not scores:
+        return lambda which, first, data: unpacked(data) + first
+    return (lambda which, first, data: values[which][unpacked(data)]) if values else (lambda which, first, data: unpacked(data))
+
+
+def _widths(scorer: Scorer) -> list[int]:
+    return [len(p.mat) for _ in scorer.strands for p in scorer.pwms]
+
+
+def _ranks(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of words' scores among their different thousandths, what most words have first, and the thousandths by rank."""
+    values, at, n = np.unique(thousandths(scores), return_inverse=True, return_counts=True)
+    n[values == 0] = 1  # mostly of words that are no hits
+    order = np.argsort(-n, kind="stable")
+    rank = np.argsort(order, kind="stable").astype(np.uint16 if len(order) < 1 << 16 else np.int32)
+    return rank[at], values[order]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as what they exceed the least one by: a byte each, after one of 255 for each 255 in it; where that takes more than two bytes
+    for a number, in as few as the largest needs, byte by byte place, coded by frequency."""
+    low = int(values.min())
+    above = values - low
+    top, width = int(above.max()), 0
+    if top < 255:
+        data = above.astype(np.uint8).tobytes()
+    elif int((many := above // 255).sum()) <= len(above):
+        data = np.full(len(above) + int(many.sum()), 255, np.uint8)
+        data[np.cumsum(many + 1) - 1] = above - many * 255
+        data = data.tobytes()
+    else:
+        width = next(w for w in (2, 4, 8) if top < 1 << 8 * w)
+        coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+        data = coder.compress(above.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()) + coder.flush()
+    return struct.pack("<bq", width, low) + data
+
+
+def packed_places(places: np.ndarray) -> bytes:
+    """packed steps between rising numbers from the first one on; bits where these are fewer."""
+    span = int(places[-1] - places[0]) + 1
+    if span > 8 * len(places):
+        return struct.pack("<b", -1) + packed(np.diff(places, prepend=places[0]))
+    marks = np.zeros(span, bool)
+    marks[places - places[0]] = True
+    return struct.pack("<b", -2) + np.packbits(marks).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """What packed and packed_places have packed; of the latter, the distances from the first number."""
+    width = struct.unpack_from("<b", data)[0]
+    if width == -2:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
+    if width == -1:
+        return np.cumsum(unpacked(data[1:]))
+    low, data = struct.unpack_from("<q", data, 1)[0], memoryview(data)[9:]
+    if width:
+        planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+        return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64) + low
+    found = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(found != 255)
+    return found[at] + (np.diff(at, prepend=-1) - 1) * 255 + low
+
+
+def thousandths(score: np.ndarray) -> np.ndarray:
+    """The numbers that three places show, half to even; BEYOND for infinite ones, BELOW for a zero that shows a sign."""
+    times = score * 1000
+    with np.errstate(invalid="ignore"):
+        whole = np.rint(times)
+        sure = np.abs(np.abs(times - whole) - 0.5) > 1e-6 + np.abs(times) * 1e-15
+        sure &= np.isfinite(times) & ((whole != 0) | ~np.signbit(score))
+    out = np.where(sure, whole, 0).astype(np.int64)
+    for i in np.flatnonzero(~sure).tolist():
+        text = f"{score[i]:.3f}"
+        out[i] = BEYOND if text == "inf" else BELOW if text == "-0.000" else int(text.replace(".", ""))
+    return out
 
 
 def kind_columns(scorer: Scorer) -> list[Column]:
@@ -159,19 +244,20 @@ def kind_columns(scorer: Scorer) -> list[Column]:
     return [named([s for s, _ in kinds]).alias("strand"), named([p.pwm_idx for _, p in kinds]).alias("pwm_idx"), named([p.pwm_id for _, p in kinds]).alias("pwm_id")]
 
 
-def totals(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None) -> DataFrame:
+def totals(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None, by_word: bool = True) -> DataFrame:
     """(strand, pwm_idx, pwm_id, n_hits, n_infinite, n_seqs, total, first_loc, last_loc) of the hits of score_pieces, for matrices and strands that have any.
 
     Hits are added up in the kernel; a sequence leaves it as bits, one for each matrix and strand with a hit, so that sequences in
-    several pieces or rows count once.
+    several pieces or rows count once. by_word: count words where they have scores, so that the
+    library's size does not matter; else look them up, which a small one is done with sooner.
     """
     size = len(scorer.strands) * len(scorer.pwms)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = scorer.by_word()
-        for held in _held(batches, 1 << 20 if words else TOGETHER):
+        for held in _held(batches, 1 << (20 if by_word else 18) if words else TOGETHER):
             met = np.zeros((len(held), -(-size // 64) * 64), bool)
-            each = _word_totals(held, scorer, words, nucs_after_tss, met) if words else hit_totals(held, scorer, nucs_after_tss, met)
+            each = _word_totals(held, scorer, words, nucs_after_tss, met) if words and by_word else hit_totals(held, scorer, nucs_after_tss, met, words)
             which, n, infinite, total, first, last = (list(x) for x in zip(*each, strict=True)) if each else ([] for _ in range(6))
             bits = np.packbits(met, axis=1, bitorder="little").view("<i8")
             row, word = np.nonzero(bits)
@@ -189,12 +275,18 @@ def totals(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None = None)
     return added.select(*kind_columns(scorer), F.col("n").alias("n_hits"), F.col("infinite").alias("n_infinite"), "n_seqs", "total", F.col("first").alias("first_loc"), F.col("last").alias("last_loc"))
 
 
-def hit_totals(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None, met: np.ndarray) -> list[tuple]:
+def hit_totals(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None, met: np.ndarray, words: dict[int, np.ndarray] | None = None) -> list[tuple]:
     """(kind, hits, infinite ones, total, first and last loc) of the pieces' hits; marks in met the kinds that each piece has."""
     out = []
-    for k, piece, loc, score in _own_hits(held, scorer, nucs_after_tss):
-        met[piece, k] = True
-        out.append((k, len(loc), int(np.isinf(score).sum()), float(score.sum()), int(loc.min()), int(loc.max())))
+    for k, at, score, low, high, shift in _by_piece(held, scorer, nucs_after_tss, words):
+        mine = high > low
+        n = int((high - low).sum())
+        if n:
+            met[mine, k] = True
+            if n < len(at):
+                score = np.concatenate([score[a:b] for a, b in zip(low[mine].tolist(), high[mine].tolist(), strict=True)])
+            first, last = at[low[mine]] + shift[mine], at[high[mine] - 1] + shift[mine]
+            out.append((k, n, int(np.isinf(score).sum()), float(score.sum()), int(first.min()), int(last.max())))
     return out
 
 
@@ -307,6 +399,38 @@ def _own_hits(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None) ->
             yield k, piece, at + shift[piece], score
 
 
+def _by_piece(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None, words: dict[int, np.ndarray] | None = None, values: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, starts, scores, low, high, shift) of every kind: the hits that piece i answers for are those from low[i] to high[i], their places starts + shift[i].
+
+    With words (Scorer.by_word) scores are looked up by word, or what values has instead."""
+    starts, own, shift = _placed(held, nucs_after_tss)
+    first = starts[:-1] + np.array([x[4] for x in held], np.int64)
+    end = first + np.array([x[5] for x in held], np.int64)
+    for k, at, score in _word_hits(held, scorer, own, words, values or words) if words else ((k, *x[2:]) for k, x in enumerate(scorer.hits([(x[-1], x[2]) for x in held]))):
+        yield k, at, score, np.searchsorted(at, first), np.searchsorted(at, end), shift
+
+
+def _word_hits(held: list[tuple], scorer: Scorer, own: np.ndarray, words: dict[int, np.ndarray], values: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    code = encode("\0".join([*(x[-1] for x in held), ""]))
+    bad, safe, made = np.flatnonzero(code < 0), np.maximum(code, 0), {}
+    for k, w in enumerate(_widths(scorer)):
+        size = len(code) - w + 1
+        if size <= 0:
+            continue
+        if w not in made:
+            number, mine = safe[:size].astype(np.uint16 if w < 8 else np.int32), own[:size].copy()
+            for m in range(w):
+                at = bad - m
+                mine[at[(at >= 0) & (at < size)]] = False
+                if m:
+                    number *= 4
+                    number += safe[m : m + size].view(np.uint8)
+            made[w] = number.astype(np.intp), mine
+        number, mine = made[w]
+        at = np.flatnonzero((words[w][k] != 0)[number] & mine)
+        yield k, at, values[w][k][number[at]]
+
+
 def _found(held: list[tuple], scorer: Scorer, nucs_after_tss: int | None) -> Iterator[pa.RecordBatch]:
     """Hits of the starts that pieces answer for; the pieces are scored together."""
     rows, locs, scores, sizes = [], [], [], [0]

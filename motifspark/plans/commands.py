@@ -14,6 +14,7 @@ from motifspark.operators.background import global_background
 from motifspark.operators.intervals import Tiles, interval_sums
 from motifspark.operators.kernel import STRANDS, Background, Pwm, Scorer
 from motifspark.sources import readers, sinks, split_fasta
+from motifspark.sources.scratch import stored
 
 BG_WINDOW = 250
 PSEUDO = {"scan": 0.25, "curve": 0.25, "features": 0.01, "by_place": 0.0, "open": 0.001}
@@ -46,6 +47,13 @@ def scan_scorer(seqs: DataFrame, pwms: list[Pwm], m0: list[float] | None = None,
     return Scorer(pwms, bg, strands_of(strand), cutoffs)
 
 
+def stored_scan(seqs: DataFrame, pwms: list[Pwm], strand: str = "BOTH", cutoffs: list[float] | None = None) -> tuple[DataFrame, Scorer]:
+    """Pieces (scan.pieces), written once, and scan_scorer by a background of order 0 that is counted from the starts they answer for."""
+    cut_up = stored(scan.pieces(seqs, *scan.reach(Scorer(pwms))))
+    own = F.substr("piece", (F.col("skip") + 1).cast("int"), F.col("own").cast("int"))
+    return cut_up, scan_scorer(cut_up.select("seq_idx", "seq_id", own.alias("seq")), pwms, strand=strand, cutoffs=cutoffs)
+
+
 def scan_totals(seqs: DataFrame, pwms: list[Pwm], nucs_after_tss: int | None = 0, **options) -> DataFrame:
     """What scan_hits finds, added up by strand and matrix (scan.totals); no hit leaves the tasks."""
     scorer = scan_scorer(seqs, pwms, **options)

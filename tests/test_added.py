@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,47 @@ def test_open_regions_of_every_window(spark, seqs):
     each = intervals.crossJoin(windows.roe_windows(corpus.regions(spark)).select("feature_id"))
     rounded = lambda x: sorted((r.seq_id, r.feature_id, r.tissue, round(r.value, 6)) for r in commands.open_regions(own, LIB, corpus.regions(spark), x, 20).collect())
     assert rounded(intervals) == rounded(each) != []
+
+
+def test_lines_are_dealt_without_scores(spark, seqs):
+    """Bounds come from the sequences' numbers and the counts of hits: with sampled ones every start was scored again for each file."""
+    scorer = Scorer(LIB, BACKGROUNDS[1])
+    assert scorer.by_word() is not None
+    for what in ("locations", "scores"):
+        lines = sinks.scan_lines(scan.pieces(seqs, *scan.reach(scorer), 100), scorer, what)
+        assert "rangepartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_and_scores_as_numbers():
+    rng = np.random.default_rng(1)
+    scores = np.concatenate([rng.normal(0, 3, 20_000), [0.0005, 0.0015, 0.0625, 0.1875, -0.0625, -0.0004, -0.0, 0.0, 2.0005, np.inf, 123456.0625, -9.9995]])
+    assert sinks._score_texts(scan.thousandths(scores)).to_pylist() == [f"{x:.3f}".replace("inf", "∞") for x in scores.tolist()]
+    for top in (1, 254, 255, 256, 700, 70_000, 1 << 40):
+        for n in (1, 2, 1000):
+            values = rng.integers(-3, top, n, np.int64)
+            assert (scan.unpacked(scan.packed(values)) == values).all()
+            rising = np.cumsum(np.abs(values) + 1)
+            assert (scan.unpacked(scan.packed_places(rising)) == rising - rising[0]).all()
+
+
+@pytest.mark.parametrize("kind", range(len(BACKGROUNDS)))
+def test_scan_lines_of_every_background(spark, seqs, kind):
+    own = seqs.where("seq NOT LIKE 'GATCACGATG%'")
+    scorer = Scorer(LIB, BACKGROUNDS[kind], cutoffs=[-2.0, 0.5])
+    cut, hits = scan.pieces(own, *scan.reach(scorer), 100), scan.score_sites(own, scorer, 0)
+    for what in ("locations", "scores"):
+        assert [tuple(r) for r in sinks.scan_lines(cut, scorer, what).collect()] == [tuple(r) for r in sinks.hit_lines(hits, what).collect()]
+    plain = {(r.strand, r.pwm_id): r.n_hits for r in scan.totals(cut, scorer).collect()}
+    assert {(r.strand, r.pwm_id): r.n_hits for r in scan.totals(cut, scorer, by_word=False).collect()} == plain
+
+
+def test_scan_lines_without_hits(spark, seqs):
+    scorer = Scorer(LIB, BACKGROUNDS[1], cutoffs=[99.0, 99.0])
+    assert sinks.scan_lines(scan.pieces(seqs, *scan.reach(scorer), 100), scorer).collect() == []
+
+
+def test_background_of_stored_pieces(spark, seqs, monkeypatch):
+    monkeypatch.setattr(scan.pieces, "__defaults__", (50,))
+    cut_up, scorer = commands.stored_scan(seqs, LIB)
+    assert cut_up.count() > seqs.count()
+    assert scorer == commands.scan_scorer(seqs, LIB)
