@@ -14,13 +14,18 @@ from motifspark.operators.kernel import Background, encode, local_background, lo
 from motifspark.operators.scan import PIECE, pieces
 
 
-def _count(seq: Column, what: str) -> Column:
-    return F.length(seq) - F.length(F.replace(F.upper(seq), F.lit(what), F.lit("")))
+def base_frequencies(seqs: DataFrame) -> DataFrame:
+    """(base, freq) over all recognised characters, counted per batch before Spark sums them."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(5, np.int64)
+            for seq in batch.column(0).to_pylist():
+                total += np.bincount(encode(seq or "") + 1, minlength=5)
+            yield pa.RecordBatch.from_arrays([pa.array(total[i : i + 1]) for i in range(1, 5)], list(BASES))
 
-def base_frequencies(seqs: DataFrame) -> DataFrame:
-    """(base, freq) over all recognised characters; only four counts of each sequence are shuffled, pre-summed."""
-    sums = seqs.agg(*[F.sum(_count(F.col("seq"), b)).alias(b) for b in BASES])
+    counts = seqs.select("seq").mapInArrow(work, ", ".join(f"{b} bigint" for b in BASES))
+    sums = counts.agg(*[F.sum(b).alias(b) for b in BASES])
     total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
     return sums.select(F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.try_divide(F.col(b), total).alias("freq")) for b in BASES])).alias("x")).select("x.*")
 

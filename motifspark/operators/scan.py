@@ -70,7 +70,8 @@ def cut(rows: DataFrame, first: Column, end: Column, width: int, window: int, si
 
 def pieces(seqs: DataFrame, width: int, window: int, size: int = PIECE) -> DataFrame:
     """(seq_idx, seq_id, n, offset, skip, own, piece): overlapping pieces, own the number of starts from `skip` on that a piece answers for."""
-    rows = cut(seqs.select("seq_idx", "seq_id", "seq").where(F.length("seq") > 0), F.lit(0), F.length("seq"), width, window, size)
+    rows = cut(seqs.select("seq_idx", "seq_id", "seq"), F.lit(0), F.length("seq"), width, window, size)
+    rows = rows.where(F.coalesce(F.col("k") < F.col("n"), F.lit(False)))  # none of no text; a condition on seq alone would compute it once more, before an exchange below
     return spread(rows.select("seq_idx", "seq_id", "n", "offset", "skip", "own", "k", "piece"), "seq_idx", "k").drop("k")
 
 
@@ -146,10 +147,9 @@ def hit_numbers(cut_up: DataFrame, scorer: Scorer, nucs_after_tss: int | None, s
                 mine = np.flatnonzero(high > low)
                 if not len(mine):
                     continue
-                values = score if ranks else thousandths(score) if scores else at
-                pack = packed if scores else packed_places
-                for i, to, a, b in zip(mine.tolist(), part(k, idx[mine]).tolist(), low[mine].tolist(), high[mine].tolist(), strict=True):
-                    rows.append((to, k, *held[i][:2], int(at[a] + shift[i]), pack(values[a:b])))
+                pack = packed_places if not scores else packed_slices if ranks else _packed_each
+                each = pack(thousandths(score) if pack is _packed_each else score if scores else at, low[mine], high[mine])
+                rows += [(to, k, *held[i][:2], first, data) for i, to, first, data in zip(mine.tolist(), part(k, idx[mine]).tolist(), (at[low[mine]] + shift[mine]).tolist(), each, strict=True)]
             types = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], ["part", "which", "seq_idx", "seq_id", "first", "packed"])
 
@@ -182,45 +182,67 @@ def packed(values: np.ndarray) -> bytes:
     """Whole numbers as what they exceed the least one by: a byte each, after one of 255 for each 255 in it; where that takes more than two bytes
     for a number, in as few as the largest needs, byte by byte place, coded by frequency."""
     low = int(values.min())
-    above = values - low
-    top, width = int(above.max()), 0
-    if top < 255:
-        data = above.astype(np.uint8).tobytes()
-    elif int((many := above // 255).sum()) <= len(above):
-        data = np.full(len(above) + int(many.sum()), 255, np.uint8)
-        data[np.cumsum(many + 1) - 1] = above - many * 255
-        data = data.tobytes()
+    above, width = values - low, 0
+    if int((above // 255).sum()) <= len(above):
+        data = _in_bytes(above)[0].tobytes()
     else:
-        width = next(w for w in (2, 4, 8) if top < 1 << 8 * w)
+        width = next(w for w in (2, 4, 8) if int(above.max()) < 1 << 8 * w)
         coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
         data = coder.compress(above.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()) + coder.flush()
     return struct.pack("<bq", width, low) + data
 
 
-def packed_places(places: np.ndarray) -> bytes:
-    """packed steps between rising numbers from the first one on; bits where these are fewer."""
-    span = int(places[-1] - places[0]) + 1
-    if span > 8 * len(places):
-        return struct.pack("<b", -1) + packed(np.diff(places, prepend=places[0]))
-    marks = np.zeros(span, bool)
-    marks[places - places[0]] = True
-    return struct.pack("<b", -2) + np.packbits(marks).tobytes()
+def _in_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes, of 255 for each 255 in one before its rest, and where each ends."""
+    many = values // 255
+    ends = np.cumsum(many + 1, dtype=np.int64)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = values - many * 255
+    return out, ends
+
+
+def _packed_each(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[bytes]:
+    return (packed(values[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True))
+
+
+def packed_slices(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[bytes]:
+    """packed of the slices of small numbers, made at once."""
+    data, ends = _in_bytes(values)
+    if len(data) > 2 * len(values):
+        yield from _packed_each(values, low, high)
+    else:
+        data, ends, head = data.tobytes(), np.concatenate(([0], ends)), struct.pack("<bq", 0, 0)
+        yield from (head + data[a:b] for a, b in zip(ends[low].tolist(), ends[high].tolist(), strict=True))
+
+
+def packed_places(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[bytes]:
+    """Of each slice of rising numbers the distances from its first one, as bits, or as packed steps where these are fewer."""
+    start, marks = places[0], np.zeros(places[-1] - places[0] + 1, bool)
+    marks[places - start] = True
+    for a, b, first, last in zip(low.tolist(), high.tolist(), places[low].tolist(), places[high - 1].tolist(), strict=True):
+        if last - first >= 8 * (b - a):
+            yield struct.pack("<b", -1) + packed(np.diff(places[a:b], prepend=first))
+        else:
+            yield b"\xfe" + np.packbits(marks[first - start : last - start + 1]).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
     """What packed and packed_places have packed; of the latter, the distances from the first number."""
     width = struct.unpack_from("<b", data)[0]
     if width == -2:
-        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).view(bool))
     if width == -1:
         return np.cumsum(unpacked(data[1:]))
-    low, data = struct.unpack_from("<q", data, 1)[0], memoryview(data)[9:]
+    low = struct.unpack_from("<q", data, 1)[0]
     if width:
-        planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+        planes = np.frombuffer(zlib.decompress(memoryview(data)[9:]), np.uint8).reshape(width, -1)
         return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64) + low
-    found = np.frombuffer(data, np.uint8)
-    at = np.flatnonzero(found != 255)
-    return found[at] + (np.diff(at, prepend=-1) - 1) * 255 + low
+    found = np.frombuffer(data, np.uint8, offset=9)
+    if data.find(b"\xff", 9) < 0:
+        return found.astype(np.int64) + low
+    sums = np.cumsum(found, dtype=np.int64)[found != 255]
+    sums[1:] -= sums[:-1].copy()
+    return sums + low
 
 
 def thousandths(score: np.ndarray) -> np.ndarray:

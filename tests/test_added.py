@@ -130,8 +130,11 @@ def test_places_and_scores_as_numbers():
         for n in (1, 2, 1000):
             values = rng.integers(-3, top, n, np.int64)
             assert (scan.unpacked(scan.packed(values)) == values).all()
-            rising = np.cumsum(np.abs(values) + 1)
-            assert (scan.unpacked(scan.packed_places(rising)) == rising - rising[0]).all()
+            rising, cut = np.cumsum(np.abs(values % 5000) + 1), np.array([0, n // 2, n])
+            low, high = cut[:-1][np.diff(cut) > 0], cut[1:][np.diff(cut) > 0]
+            for a, b, places, ranks in zip(low, high, scan.packed_places(rising, low, high), scan.packed_slices(values % 900, low, high), strict=True):
+                assert (scan.unpacked(places) == rising[a:b] - rising[a]).all()
+                assert (scan.unpacked(ranks) == values[a:b] % 900).all()
 
 
 @pytest.mark.parametrize("kind", range(len(BACKGROUNDS)))
@@ -155,3 +158,13 @@ def test_background_of_stored_pieces(spark, seqs, monkeypatch):
     cut_up, scorer = commands.stored_scan(seqs, LIB)
     assert cut_up.count() > seqs.count()
     assert scorer == commands.scan_scorer(seqs, LIB)
+
+
+def test_pieces_compute_their_sequences_once(spark, tmp_path):
+    """No condition on the sequence is moved below the exchange that its text comes from."""
+    spark.createDataFrame([(1, "gatc"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = scan.pieces(corpus.sequences(spark, str(tmp_path)), 4, 0)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert [r.seq_idx for r in found.collect()] == [1]
+    empty = spark.createDataFrame([(1, "a", None), (2, "b", ""), (3, "c", "ACGT")], "seq_idx long, seq_id string, seq string")
+    assert [r.seq_idx for r in scan.pieces(empty, 4, 0).collect()] == [3]
